@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, quality_rules, url_reputation
+from . import mixing, quality_rules, token_files, url_reputation
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
+    "op3_token_files": token_files.query,
     "op8_quality_rules": quality_rules.query,
     "op10_url_reputation": url_reputation.query,
 }
