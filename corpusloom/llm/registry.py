@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, ngram_join, quality_rules, token_files, url_reputation
+from . import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup, token_files, url_reputation
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_source_mixing": mixing.query,
     "op3_token_files": token_files.query,
     "op4_decontamination": decontaminate.query,
