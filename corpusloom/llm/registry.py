@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup, token_files, url_reputation
+from . import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_source_mixing": mixing.query,
     "op3_token_files": token_files.query,
     "op4_decontamination": decontaminate.query,
+    "op5_toxicity": toxicity.query,
     "op8_quality_rules": quality_rules.query,
     "op9_ngram_join": ngram_join.query,
     "op10_url_reputation": url_reputation.query,
