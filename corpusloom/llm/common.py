@@ -47,6 +47,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Sends at most `rows` texts to Python at once, where the session has no setting of its own: bounds both sides' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes
 
 LENGTH, KGRAM = 50, 20
 #: Bytes handled at once; runs are cut after so many windows.
 STRETCH, PIECE, LONGEST = 1 << 22, 1 << 21, 64
 #: Runs of a bucket in step 1; suffixes of a bucket in step 2; runs of an anchor from which its windows go one by one.
-BUCKET, SUFFIXES, FREQUENT = 1 << 21, 1 << 20, 2000
+BUCKET, SUFFIXES, FREQUENT = 1 << 19, 1 << 19, 2000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -389,6 +389,7 @@ def spans_of(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndar
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, text, found (list of packed windows that go) of every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-int(total) // (16 * BUCKET)))
