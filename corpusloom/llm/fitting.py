@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,28 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Col
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+
+
+def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(slope, offset) of a logistic fit of y on x: smoothed targets, damped Newton steps, slope not below 0."""
+    scale = max(1e-6, float(np.abs(x).max()))
+    f = np.stack([x / scale, np.ones_like(x)], 1).astype(float)
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(t: np.ndarray) -> float:
+        z = f @ t
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * t @ t)
+
+    t = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(f @ t, -40, 40)))
+        grad = f.T @ (p - target) + 1e-3 * t
+        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-3 * np.eye(2), grad)
+        k, now = 1.0, loss(t)
+        while k > 1e-6 and loss(t - k * step) > now:
+            k /= 2
+        t = t - k * step
+        if np.abs(k * step).max() < 1e-9:
+            break
+    return max(0.0, float(t[0] / scale)), float(t[1])

@@ -5,7 +5,8 @@ character 3- and 4-grams.  A forward and a backward GRU read windows of WINDOW w
 overlap by half, attention pools their states, and a linear layer gives a logit.  A
 document's logit is its largest window's.  The network is trained in numpy: of each
 document of a batch the window that scores highest gets the gradient, so that clean
-documents teach by their most suspicious passage; a logistic fit turns logits into
+documents teach by their most suspicious passage.  One coordinate of each embedding starts
+as the shrunken log-odds of its training texts; a logistic fit turns logits into
 probabilities at the labels' own rate.
 
 The model is fitted on at most about MAX_POSITIVE + MAX_NEGATIVE labelled texts of up to
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .fitting import in_fold, labelled_texts
+from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS, SIZE, HIDDEN, ATTENTION = 15, 14, 8, 12, 8
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 4000
-EPOCHS, BATCH, RATE = 5, 64, 0.01
+EPOCHS, BATCH, RATE, KEEP = 5, 64, 0.01, 0.6
 THRESHOLD = 0.7
 #: Bytes of text scored at once.
 CHUNK = 1 << 20
@@ -70,6 +71,7 @@ class Words:
         self.grams = np.concatenate([*grams, np.zeros(0, np.int64)])
         self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])
         self.words = (self.hashes >> U(64 - WORD_BITS)).astype(np.int64)
+        self.live = np.ones(len(size), np.float32)  # 0 where training hides the word itself, so that its characters must tell
         self.per = np.maximum(np.bincount(self.owner, minlength=len(size)), 1).astype(np.float32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def embed(m: dict[str, np.ndarray], w: Words) -> np.ndarray:
     if len(w.owner):
         for c in range(SIZE):
             g[:, c] = np.bincount(w.owner, weights=m["gram"][w.grams, c], minlength=len(w.words))
-    return np.concatenate([m["word"][w.words], g / w.per[:, None]], 1)
+    return np.concatenate([m["word"][w.words] * w.live[:, None], g / w.per[:, None]], 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def gradients(m: dict[str, np.ndarray], w: Words, ids: np.ndarray, size: np.ndar
         g[f"wx{k}"] = x.T @ flat
         dx += flat @ m[f"wx{k}"].T
     g["word"] = np.zeros_like(m["word"])
-    np.add.at(g["word"], w.words, dx[:, :SIZE])
+    np.add.at(g["word"], w.words, dx[:, :SIZE] * w.live[:, None])
     g["gram"] = np.zeros_like(m["gram"])
     np.add.at(g["gram"], w.grams, (dx[:, SIZE:] / w.per[:, None])[w.owner])
     return g
@@ -198,15 +200,15 @@ def best_windows(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return order[last]
 
 
-def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(slope, offset) of a ridge logistic fit of y on x, by Newton steps."""
-    f, t = np.stack([x, np.ones_like(x)], 1).astype(float), np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(f @ t, -30, 30)))
-        grad = f.T @ (p - y) + 1e-2 * t
-        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(2), grad)
-        t = t - np.clip(step, -2, 2)
-    return float(t[0]), float(t[1])
+def evidence(raw: list[bytes], y: np.ndarray, prior: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the label for each hashed word and character gram that a text holds, shrunk by a prior of so many texts."""
+    word, gram = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << GRAM_BITS))
+    for t, label in zip(raw, y.astype(int), strict=True):
+        w = Words([t])
+        word[label][np.unique(w.words)] += 1
+        gram[label][np.unique(w.grams)] += 1
+    p = y.mean()
+    return tuple(np.log((n[1] + prior * p) / (n[0] + prior * (1 - p)) / (p / (1 - p))) for n in (word, gram))
 
 
 def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -215,6 +217,14 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
     m, rnd = new_model(seed), np.random.default_rng(seed)
+    # A fifth of the sample sets the probabilities and teaches nothing else, where that leaves enough of either class.
+    aside = rnd.permutation(len(y)) % 5 == 0
+    if min(y[aside].sum(), (1 - y[aside]).sum()) < 20:
+        aside[:] = False
+    every, y_every = raw, y
+    raw, y = [t for t, a in zip(raw, aside, strict=True) if not a], y[~aside]
+    for name, odds in zip(("word", "gram"), evidence(raw, y), strict=True):
+        m[name][:, 0] = 0.5 * odds  # a start that tells suspicious words apart; training goes on from it
     mean, var, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rounds = max(40, -(-len(y) // BATCH)) * epochs
@@ -224,6 +234,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
         ids, size, text = w.windows()
         if not len(ids):
             continue
+        w.live = (rnd.random(len(w.words)) < KEEP).astype(np.float32)
         best = best_windows(logits(m, w, ids, size), text, len(pick))
         g = gradients(m, w, ids[best], size[best], y[pick][text[best]], np.full(len(best), 1 / len(best), np.float32))
         step += 1
@@ -232,9 +243,10 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
             mean[k] += 0.1 * (g[k] - mean[k])
             var[k] += 0.001 * (g[k] * g[k] - var[k])
             m[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
-    top = np.concatenate([document_logits(m, raw[k : k + 256]) for k in range(0, len(raw), 256)])
+    told = [k for k in range(len(every)) if aside[k] or not aside.any()]
+    top = np.concatenate([document_logits(m, [every[k] for k in told[lo : lo + 256]]) for lo in range(0, len(told), 256)])
     seen = np.isfinite(top)
-    m["platt"] = np.array(platt(top[seen], y[seen])) if seen.any() else np.array([1.0, 0.0])
+    m["platt"] = np.array(platt(top[seen], y_every[told][seen])) if seen.any() else np.array([1.0, 0.0])
     return m
 
 
