@@ -75,7 +75,7 @@ class Lines:
             line = np.searchsorted(stop, a)
             words = np.maximum(np.bincount(line, minlength=n), 1)
             h = mix64(substring_hashes(prefix, a, z))
-            same = np.r_[False, (h[1:] == h[:-1]) & (line[1:] == line[:-1])]
+            same = np.r_[False, (h[1:] == h[:-1]) & (line[1:] == line[:-1])][: len(h)]
             twice = np.bincount(line[same], minlength=n)
             t = self.text[line]
             triple = mix64(h[2:] + h[1:-1] * U(BASE) + h[:-2] * U(BASE * BASE % (1 << 64)) + t[2:].astype(np.uint64)) if len(h) > 2 else np.zeros(0, np.uint64)
