@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, line_quality, mixing, ngram_join, quality_rules, suffix_dedup, token_files, toxicity, url_reputation
+from . import decontaminate, line_quality, mixing, ngram_join, personal_data, quality_rules, suffix_dedup, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_files": token_files.query,
     "op4_decontamination": decontaminate.query,
     "op5_toxicity": toxicity.query,
+    "op6_personal_data": personal_data.query,
     "op7_line_quality": line_quality.query,
     "op8_quality_rules": quality_rules.query,
     "op9_ngram_join": ngram_join.query,
