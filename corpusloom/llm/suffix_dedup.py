@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, materialize, release, table
 from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes
 
 LENGTH, KGRAM = 50, 20
@@ -397,6 +397,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     asked = decided.where("asked IS NOT NULL").groupBy("rid").agg(F.collect_list("asked").alias("asked"))
     n = decided.agg(F.coalesce(F.sum(F.octet_length("asked")), F.lit(0))).first()[0]
     parts = max(8, -(-int(n) * 17 // 14 // SUFFIXES))
+    release(docs.sparkSession)
     ends = materialize(_cut_out(rows.join(asked, "rid"), parts, length).groupBy("bucket").applyInArrow(_sort_bucket(length), "rid long, found binary"), "run-ends")
     found = decided.select("rid", "found").where("found IS NOT NULL").union(ends).groupBy("rid").agg(F.collect_list("found").alias("found"))
     return rows.join(found, "rid", "left").select("doc_id", "text", "found")
