@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import bounded_batches, shared_dir, table
 
 END_ID = 0
 PROB_BITS = 20
@@ -218,6 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     executor costs no second encoding; sorting deals ids, not texts, by ranges of doc_id.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     spec = Path(tokenizer_path).read_text()  # the tokenizer is a file of the driver's environment, not of the data store
     encoder = Encoder(spec)
     vocab, width = encoder.tokenizer.get_vocab_size(), encoder.width
