@@ -5,11 +5,12 @@ A document's set is that of its 5-word shingles; two documents link at a similar
 
 1. One pass over the texts gives each document's class and size, and the shingles that
    are frequent in any stretch of the corpus.  These come last in every order.
-2. Under an order, an extended prefix of a set holds at least LEVEL shingles of every
-   similar set.  Prefixes under two orders (seeds of a hash) are dealt out by shingle; a
+2. Under an order, an extended prefix of a set holds LEVEL shingles, or a fixed
+   share, of every similar set.  Prefixes under two orders (seeds of a hash) are dealt out by shingle; a
    class stays only if, under *both* orders, enough shingles of its prefix occur in other
    classes too.  Most texts end here, without a pair having been formed.
-3. Classes that share a prefix shingle meet in the task of that shingle's least class.
+3. Classes that share a prefix shingle meet in the task of that shingle's least class; tasks
+   that account for too few of a class's shared shingles are skipped.
    There a pair is a candidate if its prefixes meet under both orders and its sizes allow
    the threshold; candidates are verified on the whole sets.  Pairs whose link would join
    what is joined already are skipped, so a large group of copies takes one pass of its
@@ -32,22 +33,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, release, table
 from .components import components
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
 SHINGLE, PERCENT = 5, 75
-#: Shingles that similar sets must share within their prefixes.
-LEVEL = 8
+#: Similar sets must share so many shingles within their prefixes: at least LEVEL, or one in SHARE of the set.
+LEVEL, SHARE = 8, 8
 ORDERS = (0, 0x5851F42D4C957F2D)
 #: Members of a verification task; prefix entries of a bucket.
 BLOCK, BUCKET = 4096, 1 << 20
 #: A stretch of so many shingles reports those it holds this often; at most HOT_MAX are put last: 8 bytes each are broadcast.
-STRETCH, HOT_LOCAL, HOT_MAX = 1 << 21, 12, 200_000
-#: Up to so many surviving documents (8 bytes each) are found by a broadcast; beyond, by a shuffled join.
+STRETCH, HOT_LOCAL, HOT_MAX = 1 << 21, 3, 200_000
+#: Tables of ids of up to so many rows (32 bytes each at most) are joined by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,10 +79,15 @@ def class_key(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s * U(_MULT)).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def prefix(s: np.ndarray, order: int, hot: np.ndarray, level: int = LEVEL) -> np.ndarray:
+def level(n: int) -> int:
+    """How many shingles more than needed for one common the prefix of a set of n has; it never falls with n."""
+    return min(up(n), max(LEVEL, n // SHARE))
+
+
+def prefix(s: np.ndarray, order: int, hot: np.ndarray) -> np.ndarray:
     """The shingles of s that come first: frequent ones last, else by a seeded hash."""
     n = len(s)
-    take = n - up(n) + min(level, up(n))
+    take = n - up(n) + level(n)
     key = mix64(s ^ U(order)) if order else s
     if len(hot) and n:
         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -91,9 +97,9 @@ def prefix(s: np.ndarray, order: int, hot: np.ndarray, level: int = LEVEL) -> np
     return s[np.argpartition(key, take - 1)[:take]] if take < n else s
 
 
-def needed(n: int, level: int = LEVEL) -> int:
+def needed(n: int) -> int:
     """How many of a prefix's shingles any similar set's prefix must share: by the smallest such set."""
-    return min(level, up(up(n)))
+    return level(up(n))
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, total
             keys = np.array(list(held), np.int64)
-            req = np.array([needed(len(s)) for s in held.values()], np.uint8)
+            req = np.array([needed(len(s)) for s in held.values()], np.uint32)
             for o, order in enumerate(ORDERS):
                 parts = [prefix(s, order, hot) for s in held.values()]
                 tok = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -179,10 +185,10 @@ def _shared(group: pa.Table) -> pa.Table:
     for x in group.column("data"):
         raw = memoryview(x.as_buffer())
         m = int(np.frombuffer(raw, np.uint32, 1)[0])
-        c = np.frombuffer(raw, np.uint32, m, 4 + 9 * m)
+        c = np.frombuffer(raw, np.uint32, m, 4 + 12 * m)
         keys.append(np.repeat(np.frombuffer(raw, np.int64, m, 4), c))
-        reqs.append(np.repeat(np.frombuffer(raw, np.uint8, m, 4 + 8 * m), c))
-        toks.append(np.frombuffer(raw, np.uint32, int(c.sum()), 4 + 13 * m))
+        reqs.append(np.repeat(np.frombuffer(raw, np.uint32, m, 4 + 8 * m), c))
+        toks.append(np.frombuffer(raw, np.uint32, int(c.sum()), 4 + 16 * m))
     key, req, tok = np.concatenate(keys), np.concatenate(reqs), np.concatenate(toks)
     by = np.lexsort((key, tok))
     key, req, tok = key[by], req[by], tok[by]
@@ -260,41 +266,51 @@ def _verify(hot: np.ndarray):
     return run
 
 
+def _small(kept: DataFrame) -> DataFrame:
+    """A kept table of a few numbers a row, marked to be broadcast if it has at most BROADCAST_IDS rows; else it is joined by a shuffle."""
+    return F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, key (the class; null without shingles) of every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     found = materialize(_profile(docs), "shingle-profile")
     rows = found.where("kind = 0").select("doc_id", "n", "key")
     frequent = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_MAX).select("key")
     hot = np.sort(np.array([r.key for r in frequent.collect()], np.int64).view(np.uint64))
-    entries = rows.agg(F.coalesce(F.sum(F.ceil(F.col("n") * (1 - PERCENT / 100)) + LEVEL), F.lit(0))).first()[0]
+    entries = rows.agg(F.coalesce(F.sum(F.ceil(F.col("n") * (1 - PERCENT / 100 + 1 / SHARE)) + LEVEL), F.lit(0))).first()[0]
     buckets = max(8, -(-int(entries) // BUCKET))
 
     shared = materialize(_deal(docs, hot, buckets).groupBy("ord", "bucket").applyInArrow(_shared, "ord int, token long, key long, req int"), "shared-prefixes")
     per = [F.count_if(F.col("ord") == o).alias(f"n{o}") for o in range(len(ORDERS))]
     enough = F.least(*(F.col(f"n{o}") for o in range(len(ORDERS)))) >= F.col("req")
-    alive = shared.groupBy("key").agg(F.max("req").alias("req"), *per).where(enough).select("key")
-    first = shared.where("ord = 0").select("token", "key").join(alive, "key")
+    alive = materialize(shared.groupBy("key").agg(F.max("req").alias("req"), *per).where(enough).select("key", "req"), "alive")
+    release(spark)
+    first = shared.where("ord = 0").select("token", "key").join(_small(alive), "key")
     leaders = first.groupBy("token").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "leader")
-    members = materialize(first.join(leaders, "token").select("leader", "key").distinct(), "members")
-    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # Similar classes share `req` shingles, whose tasks both visit.  If either leaves out tasks that hold less than half of
+    # these of its own, one that both visit is left: so each class skips its least tasks up to that sum.
+    met = first.join(leaders, "token").groupBy("leader", "key").agg(F.count(F.lit(1)).alias("c"), F.max("req").alias("req"))
+    least = F.sum("c").over(Window.partitionBy("key").orderBy("c", "leader").rowsBetween(Window.unboundedPreceding, 0))
+    members = materialize(met.withColumn("sum", least).where("2 * sum > req - 1").select("leader", "key"), "members")
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, "leader").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = members.select("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key")
+    tasks = materialize(members.select("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key"), "tasks")
 
-    wanted = members.select("key").distinct()
+    wanted = tasks.select("key").distinct()
     reps = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key").select("doc_id")
     reps = materialize(reps, "candidates")
-    small = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [shingles(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([class_key(x) if len(x) else None for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["key", "data"])
 
-    texts = docs.select("doc_id", "text").join(small, "doc_id", "left_semi").select("text").union(docs.where("doc_id IS NULL").select("text"))
+    texts = docs.select("doc_id", "text").join(_small(reps), "doc_id", "left_semi").select("text").union(docs.where("doc_id IS NULL").select("text"))
     whole = texts.mapInArrow(sets, "key long, data binary")
-    links = tasks.join(whole, "key").groupBy("leader", "i", "j").applyInArrow(_verify(hot), "a long, b long")
+    links = whole.join(_small(tasks), "key").groupBy("leader", "i", "j").applyInArrow(_verify(hot), "a long, b long")
     # Rows with one doc_id are one document: their classes are linked.
     many = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
     same = many.join(rows.select("doc_id", F.col("key").alias("b")), "doc_id").where("a <> b").select("a", "b")
@@ -306,8 +322,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (all its columns) without the documents that link, over others or at once, to one with a smaller doc_id; null ids stay."""
-    gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
