@@ -1 +1 @@
-
+"""Transforms of DataFrames."""

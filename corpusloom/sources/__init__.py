@@ -1 +1 @@
-
+"""Readers, writers, generators and completion providers."""
