@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
-_powers: dict[int, np.ndarray] = {}
+
+def kept() -> dict:
+    """What a Python process keeps between calls and tasks.  It is no global of this package, so functions that are sent to workers don't carry it along."""
+    return sys.modules.setdefault("_corpusloom_kept", types.ModuleType("_corpusloom_kept")).__dict__
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) mod 2**64."""
-    have = _powers.get(base)
+    tables = kept()
+    have = tables.get(("powers", base))
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
         have = np.full(size, U(base), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        tables["powers", base] = have
     return have[:n]
 
 

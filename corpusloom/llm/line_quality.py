@@ -162,8 +162,13 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS) -> dict[st
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
     few = [k for k, t in enumerate(raw) if t.count(b"\n") < MAX_LINES and t.strip()]
-    lines = Lines([raw[k] for k in few])
-    x, ly = lines.features(), y[few][lines.text]
+    parts, texts_of = [], []
+    for lo in range(0, len(few), 128):
+        part = Lines([raw[k] for k in few[lo : lo + 128]])
+        parts.append(part.features())
+        texts_of.append(part.text + lo)
+    x, text = np.concatenate(parts), np.concatenate(texts_of)
+    ly = y[few][text]
     mean, dev = x.mean(0), x.std(0) + 1e-3
     mean[-1], dev[-1] = 0, 1
     xs = (x - mean) / dev
@@ -171,13 +176,13 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS) -> dict[st
     m = [np.zeros_like(w), np.zeros_like(trans)]
     v = [np.zeros_like(w), np.zeros_like(trans)]
     for r in range(1, rounds + 1):
-        _, gw, gt = likelihood(w, trans, xs, lines.text, ly)
+        _, gw, gt = likelihood(w, trans, xs, text, ly)
         for k, (p, g) in enumerate(((w, gw / len(ly) - RIDGE * w), (trans, gt / len(ly) - RIDGE * trans))):
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
             p += RATE * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.99**r)) + 1e-8)
     model = {"w": w / dev, "b": np.array([-(mean / dev) @ w]), "trans": trans}
-    s = raw_scores(model, raw)
+    s = np.concatenate([raw_scores(model, raw[lo : lo + 128]) for lo in range(0, len(raw), 128)])
     ok = np.isfinite(s)
     model["platt"] = np.array(platt(s[ok], y[ok]))
     return model
