@@ -45,9 +45,9 @@ SHINGLE, PERCENT = 5, 75
 LEVEL, SHARE = 8, 8
 ORDERS = (0, 0x5851F42D4C957F2D)
 #: Members of a verification task; prefix entries of a bucket.
-BLOCK, BUCKET = 4096, 1 << 20
+BLOCK, BUCKET = 4096, 1 << 19
 #: A stretch of so many shingles reports those it holds this often; at most HOT_MAX are put last: 8 bytes each are broadcast.
-STRETCH, HOT_LOCAL, HOT_MAX = 1 << 21, 3, 200_000
+STRETCH, HOT_LOCAL, HOT_MAX = 1 << 20, 2, 200_000
 #: Tables of ids of up to so many rows (32 bytes each at most) are joined by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -328,3 +328,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh
+  FROM d, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS root FROM both_ways UNION SELECT both_ways.b, r.root FROM r JOIN both_ways ON both_ways.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc_id)
+"""

@@ -15,7 +15,10 @@ QUERIES = {
     "op10_url_reputation": url_reputation.query,
 }
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
     "op2_source_mixing": mixing.SQL,
     "op4_decontamination": decontaminate.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+    "op9_ngram_join": ngram_join.SQL,
     "op10_url_reputation": url_reputation.SQL,
 }

@@ -438,3 +438,22 @@ def digest(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+l AS (SELECT doc_id, unnest([struct_pack(i := i, s := md5_number_lower(substr(h, 2 * i + 1, 100))) for i in range(0, length(h) // 2 - 49)]) AS x FROM d WHERE length(h) >= 100),
+w AS (SELECT doc_id, x.i AS i, x.s AS s FROM l),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM k) GROUP BY doc_id, grp),
+cuts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM sp),
+kept AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h,
+         sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM d JOIN cuts USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

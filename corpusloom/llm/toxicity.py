@@ -274,21 +274,27 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 
+def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts as bytes, about CHUNK of them at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append((t.as_py() or "").encode())
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, held, size = [], [], 0
-            for t in b.column(1):
-                held.append((t.as_py() or "").encode())
-                size += len(held[-1])
-                if size >= CHUNK:
-                    out.append(score_texts(model, held))
-                    held, size = [], 0
-            out.append(score_texts(model, held))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
+            out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(1)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -301,10 +307,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                keep = score_texts(model, [(t.as_py() or "").encode() for t in part.column(at)]) < threshold
-                yield part.filter(pa.array(keep))
+            keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(at)))]) < threshold
+            yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
