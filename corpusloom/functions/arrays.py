@@ -115,3 +115,8 @@ def distinct_n(tokens: Column, n: int) -> Column:
     """Distinct n-grams over n-grams of one array; 0 where it is shorter than n."""
     grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))
     return F.when(F.size(tokens) >= n, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+
+
+def sample_index(logits: Column, u: Column, temperature: float = 0.8, k: int = 40) -> Column:
+    """The index that the uniform u draws after temperature, a top-k mask and a softmax."""
+    return draw(softmax(top_k(F.transform(logits, lambda x: x / temperature), k)), u)

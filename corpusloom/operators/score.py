@@ -73,3 +73,8 @@ def group_advantage(rows: DataFrame, group: str, reward: str, eps: float = 1e-4)
     """Adds advantage: the reward less its group's mean, over the group's deviation."""
     w = Window.partitionBy(group)
     return rows.withColumn("advantage", (F.col(reward) - F.avg(reward).over(w)) / (F.coalesce(F.stddev_samp(reward).over(w), F.lit(0.0)) + eps))
+
+
+def rl_prompts(rows: DataFrame) -> DataFrame:
+    """prompt, answer_keywords, ood of samples (q, keywords, ood)."""
+    return rows.select(F.col("q").alias("prompt"), F.col("keywords").alias("answer_keywords"), "ood")
