@@ -22,6 +22,9 @@ one doc_id stay separate, ordered by their ids; an empty table gives an empty fi
 
 from __future__ import annotations
 
+import array
+import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,25 +32,30 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, table
+from .hashing import kept
 
 END_ID = 0
 PROB_BITS = 20
-LANES, CHECKPOINT, BLOCK_TOKENS = 256, 256, 1 << 17
+LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 256, 1 << 19
 LOW = np.uint64(1 << 31)
+#: Characters encoded at once.
+AT_ONCE = 1 << 21
 #: Chunks remembered by an encoder before it starts afresh.
-CACHE = 400_000
+CACHE = 600_000
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE whose pre-tokens never span a blank followed by text.
 
     Where every blank of a text is a single space or newline between other characters,
-    the text is cut before its blanks and each distinct chunk is encoded once; any other
-    text goes to the tokenizer whole.  Both give the same ids.
+    the text is cut before its blanks; the distinct chunks of a batch are looked up or
+    encoded once, and ids are gathered by chunk.  Any other text goes to the tokenizer whole.
+    Both give the same ids.
     """
 
     def __init__(self, spec: str):
@@ -58,21 +66,56 @@ class Encoder:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
 
+    @classmethod
+    def of_worker(cls, spec: str) -> Encoder:
+        """The encoder that this Python worker keeps between its tasks: a cache, which a fresh worker starts anew."""
+        key = "encoder", hashlib.blake2b(spec.encode(), digest_size=16).hexdigest()
+        encoders = kept()
+        if key not in encoders:
+            encoders[key] = cls(spec)
+        return encoders[key]
+
     def _fresh(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array.array("H" if self.width == "<u2" else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            plain = t.replace("\n", " ").split(" ") == t.split()
-            cut.append(t.replace("\n", " \n").split(" ") if plain else None)
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        coded = cut.values.dictionary_encode()
+        offsets, which = cut.offsets.to_numpy(), coded.indices.to_numpy()
+        first = offsets[:-1]
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE:
             self.cache = {}
-        new = list(set().union(*(c[1:] for c in cut if c)) - self.cache.keys())
-        self.cache.update(zip(new, self._fresh([c if c[0] == "\n" else " " + c for c in new]), strict=True))
-        first = iter(self._fresh([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
-        get = self.cache.__getitem__
-        return [next(first) if c is None else b"".join((next(first), *map(get, c[1:]))) for c in cut]
+        have = list(map(self.cache.get, chunks))
+        missing = [k for k, x in enumerate(have) if x is None]
+        words = [chunks[k][1:] if chunks[k][:1] == "\n" else chunks[k] for k in missing]
+        # Without blanks of its own, and not empty; other chunks send their texts to the tokenizer whole.
+        good = [w.split() == [w] for w in words]
+        new = [k for k, g in zip(missing, good, strict=True) if g]
+        for k, x in zip(new, self._fresh([chunks[k] if chunks[k][0] == "\n" else " " + chunks[k] for k in new]), strict=True):
+            have[k] = self.cache[chunks[k]] = x
+        odd = np.zeros(len(chunks), bool)
+        for k, g in zip(missing, good, strict=True):
+            if not g:
+                odd[k], have[k] = True, b""
+        whole = np.logical_or.reduceat(odd[which], first)
+        heads = self._fresh([t if w else chunks[k] for t, w, k in zip(texts, whole.tolist(), which[first].tolist(), strict=True)])
+        # The first chunk of a text has no blank before it: its ids stand at the end of the table.
+        which = which.astype(np.int64)
+        which[first] = len(have) + np.arange(len(texts))
+        have += heads
+        table = np.frombuffer(b"".join(have), self.width)
+        size = np.fromiter(map(len, have), np.int64, len(have)) // table.itemsize
+        start = np.cumsum(size) - size
+        n = size[which]
+        n[np.repeat(whole, np.diff(offsets))] = 0
+        n[first] = size[-len(texts) :]
+        ends = np.cumsum(n)
+        flat = table[np.repeat(start[which] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(ends[offsets[1:] - 1] * table.itemsize).tolist()]
+        return [flat[a:z] for a, z in itertools.pairwise(cuts)]
 
 
 def scale(counts: np.ndarray, bits: int = PROB_BITS) -> np.ndarray:
@@ -182,13 +225,19 @@ def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFra
     """doc_id, ids (binary, little-endian) of every row of docs (doc_id, text).  spec: the tokenizer's JSON."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rows = Encoder(spec), 256
+        encode = Encoder.of_worker(spec)
         end = b"" if end_id is None else np.array([end_id], encode.width).tobytes()
-        for whole in batches:
-            for begin in range(0, whole.num_rows, rows):
-                b = whole.slice(begin, rows)
-                ids = [x + end for x in encode(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for b in batches:
+            ids: list[bytes] = []
+            held, size = [], 0
+            for t in b.column(1):
+                held.append(t.as_py())
+                size += len(held[-1])
+                if size >= AT_ONCE:
+                    ids += encode(held)
+                    held, size = [], 0
+            ids += encode(held)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(run, "doc_id long, ids binary")
 

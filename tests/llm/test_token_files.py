@@ -40,8 +40,8 @@ def test_damage_is_found():
     ids = np.arange(1000, dtype=np.uint32) % 50
     freq = tf.scale(np.bincount(ids))
     low, slots = tf.tables(freq)
-    data = bytearray(tf.pack([1], [ids], freq, low))
-    data[-3] ^= 1
+    data = bytearray(tf.pack([1], [ids], freq, low, 16, 8))
+    data[-200] ^= 1
     with pytest.raises(ValueError):
         tf.unpack(bytes(data), freq, low, slots)
 
