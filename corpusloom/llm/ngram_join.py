@@ -33,10 +33,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release, table
+from .common import bounded_batches, lean, materialize, release, table
 from .components import components
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -45,9 +45,9 @@ SHINGLE, PERCENT = 5, 75
 LEVEL, SHARE = 8, 8
 ORDERS = (0, 0x5851F42D4C957F2D)
 #: Members of a verification task; prefix entries of a bucket.
-BLOCK, BUCKET = 4096, 1 << 19
+BLOCK, BUCKET = 4096, 1 << 20
 #: A stretch of so many shingles reports those it holds this often; at most HOT_MAX are put last: 8 bytes each are broadcast.
-STRETCH, HOT_LOCAL, HOT_MAX = 1 << 20, 2, 200_000
+STRETCH, HOT_LOCAL, HOT_MAX = 3 << 19, 2, 200_000
 #: Tables of ids of up to so many rows (32 bytes each at most) are joined by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -102,6 +102,16 @@ def needed(n: int) -> int:
     return level(up(n))
 
 
+def needed_of(n: Column) -> Column:
+    """`needed` of a column of sizes."""
+
+    def most(m: Column) -> Column:
+        return F.ceil(m * PERCENT / 100)
+
+    m = most(n)
+    return F.least(most(m), F.greatest(F.lit(LEVEL), F.floor(m / SHARE))).cast("int")
+
+
 def _profile(docs: DataFrame) -> DataFrame:
     """Pass 1.  kind 0: doc_id, n, key of a document; kind 1: a shingle (key) that a stretch holds n times."""
     schema = "kind byte, doc_id long, n long, key long"
@@ -135,7 +145,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             yield row(0, b.column(0), np.array(n), keys)
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run), schema)
 
 
 def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -148,7 +158,6 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, total
             keys = np.array(list(held), np.int64)
-            req = np.array([needed(len(s)) for s in held.values()], np.uint32)
             for o, order in enumerate(ORDERS):
                 parts = [prefix(s, order, hot) for s in held.values()]
                 tok = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -160,8 +169,11 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 ids, data = [], []
                 for a, z in zip(cuts, cuts[1:], strict=False):
                     d, c = np.unique(doc[a:z], return_counts=True)
+                    if c.max() > 255:  # a count is a byte; larger ones are spread over several mentions of their class
+                        parts_of = -(-c // 255)
+                        d, c = np.repeat(d, parts_of), np.minimum(255, np.repeat(c, parts_of) - 255 * (np.arange(parts_of.sum()) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)))
                     ids.append(int(bucket[a]))
-                    data.append(np.uint32(len(d)).tobytes() + keys[d].tobytes() + req[d].tobytes() + c.astype(np.uint32).tobytes() + tok[a:z].tobytes())
+                    data.append(np.uint32(len(d)).tobytes() + keys[d].tobytes() + c.astype(np.uint8).tobytes() + tok[a:z].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([o] * len(ids), pa.int32()), pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["ord", "bucket", "data"])
             held, total = {}, 0
 
@@ -175,30 +187,29 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "ord int, bucket int, data binary")
+    return docs.select("text").mapInArrow(lean(run), "ord int, bucket int, data binary")
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Of one bucket, the entries (ord, token, key, req) whose shingle at least two classes hold."""
+    """Of one bucket, the entries (ord, token, key) whose shingle at least two classes hold."""
     o, b = group.column("ord")[0].as_py(), group.column("bucket")[0].as_py()
-    keys, reqs, toks = [], [], []
+    keys, toks = [], []
     for x in group.column("data"):
         raw = memoryview(x.as_buffer())
         m = int(np.frombuffer(raw, np.uint32, 1)[0])
-        c = np.frombuffer(raw, np.uint32, m, 4 + 12 * m)
+        c = np.frombuffer(raw, np.uint8, m, 4 + 8 * m)
         keys.append(np.repeat(np.frombuffer(raw, np.int64, m, 4), c))
-        reqs.append(np.repeat(np.frombuffer(raw, np.uint32, m, 4 + 8 * m), c))
-        toks.append(np.frombuffer(raw, np.uint32, int(c.sum()), 4 + 16 * m))
-    key, req, tok = np.concatenate(keys), np.concatenate(reqs), np.concatenate(toks)
+        toks.append(np.frombuffer(raw[4 + 9 * m :], np.uint32))
+    key, tok = np.concatenate(keys), np.concatenate(toks)
     by = np.lexsort((key, tok))
-    key, req, tok = key[by], req[by], tok[by]
+    key, tok = key[by], tok[by]
     new = np.r_[True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])]  # the same class from several stretches
-    key, req, tok = key[new], req[new], tok[new]
+    key, tok = key[new], tok[new]
     cut = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     many = np.repeat(np.diff(np.r_[cut, len(tok)]), np.diff(np.r_[cut, len(tok)])) > 1
-    key, req, tok = key[many], req[many], tok[many]
+    key, tok = key[many], tok[many]
     token = (np.int64(b) << np.int64(32)) | tok.astype(np.int64)
-    return pa.table({"ord": pa.array(np.full(len(key), o, np.int32)), "token": pa.array(token), "key": pa.array(key), "req": pa.array(req.astype(np.int32))})
+    return pa.table({"ord": pa.array(np.full(len(key), o, np.int32)), "token": pa.array(token), "key": pa.array(key)})
 
 
 def link_members(keys: np.ndarray, sets: list[np.ndarray], hot: np.ndarray) -> list[tuple[int, int]]:
@@ -282,10 +293,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = rows.agg(F.coalesce(F.sum(F.ceil(F.col("n") * (1 - PERCENT / 100 + 1 / SHARE)) + LEVEL), F.lit(0))).first()[0]
     buckets = max(8, -(-int(entries) // BUCKET))
 
-    shared = materialize(_deal(docs, hot, buckets).groupBy("ord", "bucket").applyInArrow(_shared, "ord int, token long, key long, req int"), "shared-prefixes")
+    shared = materialize(_deal(docs, hot, buckets).groupBy("ord", "bucket").applyInArrow(_shared, "ord int, token long, key long"), "shared-prefixes")
     per = [F.count_if(F.col("ord") == o).alias(f"n{o}") for o in range(len(ORDERS))]
-    enough = F.least(*(F.col(f"n{o}") for o in range(len(ORDERS)))) >= F.col("req")
-    alive = materialize(shared.groupBy("key").agg(F.max("req").alias("req"), *per).where(enough).select("key", "req"), "alive")
+    live = shared.groupBy("key").agg(*per).select("key", F.least(*(F.col(f"n{o}") for o in range(len(ORDERS)))).alias("live")).where("live > 0")
+    sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n")).select("key", needed_of(F.col("n")).alias("req"))
+    alive = materialize(live.join(sizes, "key").where("live >= req").select("key", "req"), "alive")
     release(spark)
     first = shared.where("ord = 0").select("token", "key").join(_small(alive), "key")
     leaders = first.groupBy("token").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "leader")
@@ -309,7 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([class_key(x) if len(x) else None for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["key", "data"])
 
     texts = docs.select("doc_id", "text").join(_small(reps), "doc_id", "left_semi").select("text").union(docs.where("doc_id IS NULL").select("text"))
-    whole = texts.mapInArrow(sets, "key long, data binary")
+    whole = texts.mapInArrow(lean(sets), "key long, data binary")
     links = whole.join(_small(tasks), "key").groupBy("leader", "i", "j").applyInArrow(_verify(hot), "a long, b long")
     # Rows with one doc_id are one document: their classes are linked.
     many = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")

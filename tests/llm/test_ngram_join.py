@@ -100,6 +100,11 @@ def test_prefixes_of_similar_sets_meet():
                 assert common >= max(nj.needed(len(x)), nj.needed(len(y))) >= 1
 
 
+def test_needed_of_a_column(spark):
+    df = spark.range(0, 3000).select("id", nj.needed_of(F.col("id")).alias("x"))
+    assert all(r.x == nj.needed(r.id) for r in df.collect())
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
