@@ -47,13 +47,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 128) -> None:
     """Sends at most `rows` texts to Python at once, where the session has no setting of its own: bounds both sides' memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
 
 
+def lean(run):
+    """run(batches) for mapInArrow, after which the worker gives freed memory back: workers outlive their tasks, and those of other stages need it."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, lean, table
 
 WINDOW = 10
 MAX_ITEM_CHARS = 1 << 20
@@ -207,7 +207,7 @@ def _passes(rows: DataFrame, items: DataFrame, window: int, max_item_chars: int)
                     found.append(sorted({x for x in i if x is not None}.union(i0)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(lean(run), df.schema)
 
     for shard in item_shards(items, max_item_chars):
         out = scan(out, shard)
@@ -229,7 +229,7 @@ def digest(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_item_
             n = [len(words(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), b.column(3)], ["doc_id", "n_words", "spans", "items"])
 
-    hits = hits.mapInArrow(count, "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    hits = hits.mapInArrow(lean(count), "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["b"] - s["a"]))
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -273,7 +273,7 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_span:
                 cols[size] = pa.array([len(texts[k]) if spanned[k] else o for k, o in zip(keep, old, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release, table
+from .common import bounded_batches, lean, materialize, release, table
 from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes
 
 LENGTH, KGRAM = 50, 20
@@ -254,7 +254,7 @@ def _deal(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 blobs.append(DOCS.pack(doc=doc[u], rid=rid[u], n=n) + RUNS.pack(anchor=(anchor[k] // U(buckets)).astype(np.uint32), whole=whole[k], low=at[k] & 0xFFFF, high=at[k] >> 16, count=count[k]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
-    return rows.mapInArrow(run, "bucket int, kind byte, data binary")
+    return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
 
 
 def _decide(frequent: int):
@@ -337,7 +337,7 @@ def _cut_out(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 blobs.append(DOCS.pack(doc=u, rid=u, n=n) + FOUND.pack(first=at[np.argsort(r, kind="stable")], count=np.ones(len(r))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
-    return rows.mapInArrow(run, "bucket int, kind byte, data binary")
+    return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
 
 
 def _sort_bucket(length: int):
@@ -418,7 +418,7 @@ def _apply(found: DataFrame, length: int, schema: str, make) -> DataFrame:
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     names, kinds = zip(*((x.split()[0], types[x.split()[1]]) for x in schema.split(", ")), strict=True)
     names, kinds = list(names), list(kinds)
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)
 
 
 def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:

@@ -23,7 +23,6 @@ one doc_id stay separate, ordered by their ids; an empty table gives an empty fi
 from __future__ import annotations
 
 import array
-import hashlib
 import itertools
 import uuid
 import zlib
@@ -36,17 +35,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, table
-from .hashing import kept
+from .common import bounded_batches, lean, shared_dir, table
 
 END_ID = 0
 PROB_BITS = 20
-LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 256, 1 << 19
+LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 128, 1 << 18
 LOW = np.uint64(1 << 31)
+#: Marks that are cut off the end of a word.
+MARKS = ".,;:!?*$%&#|"
 #: Characters encoded at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 #: Chunks remembered by an encoder before it starts afresh.
-CACHE = 600_000
+CACHE = 80_000
 
 
 class Encoder:
@@ -65,19 +65,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
-
-    @classmethod
-    def of_worker(cls, spec: str) -> Encoder:
-        """The encoder that this Python worker keeps between its tasks: a cache, which a fresh worker starts anew."""
-        key = "encoder", hashlib.blake2b(spec.encode(), digest_size=16).hexdigest()
-        encoders = kept()
-        if key not in encoders:
-            encoders[key] = cls(spec)
-        return encoders[key]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose piece begins with a space
+        self.spaced[[k for piece, k in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         return [array.array("H" if self.width == "<u2" else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of " " + word for words without blanks: one text of all of them, cut where a piece begins with a space."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 1 << 12):
+            ids = np.array(self.tokenizer.encode(" " + " ".join(words[lo : lo + (1 << 12)]), add_special_tokens=False).ids, self.width)
+            flat, at = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
+            out += [flat[a:z] for a, z in itertools.pairwise([*at, len(flat)])]
+        return out
+
+    def _encode_new(self, chunks: list[str]) -> None:
+        """Adds chunks to the cache.  Marks after a letter or digit are a pre-token of their own, so words are encoded without them."""
+        lines = [c for c in chunks if c[0] == "\n"]
+        self.cache.update(zip(lines, self._fresh(lines), strict=True))
+        rest = [c for c in chunks if c[0] != "\n"]
+        stems = [c.rstrip(MARKS) for c in rest]
+        stems = [t if t and t[-1].isalnum() else c for c, t in zip(rest, stems, strict=True)]
+        get = self.cache.get
+        new = list({t for t in stems if get(t) is None})
+        self.cache.update(zip(new, self._words(new), strict=True))
+        for c, t in zip(rest, stems, strict=True):
+            if len(c) > len(t):
+                tail = "\0" + c[len(t) :]  # as it stands after a word, without a space
+                if get(tail) is None:
+                    self.cache[tail] = self._fresh([tail[1:]])[0]
+                self.cache[c] = self.cache[t] + self.cache[tail]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
@@ -94,8 +113,9 @@ class Encoder:
         # Without blanks of its own, and not empty; other chunks send their texts to the tokenizer whole.
         good = [w.split() == [w] for w in words]
         new = [k for k, g in zip(missing, good, strict=True) if g]
-        for k, x in zip(new, self._fresh([chunks[k] if chunks[k][0] == "\n" else " " + chunks[k] for k in new]), strict=True):
-            have[k] = self.cache[chunks[k]] = x
+        self._encode_new([chunks[k] for k in new])
+        for k in new:
+            have[k] = self.cache[chunks[k]]
         odd = np.zeros(len(chunks), bool)
         for k, g in zip(missing, good, strict=True):
             if not g:
@@ -225,7 +245,7 @@ def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFra
     """doc_id, ids (binary, little-endian) of every row of docs (doc_id, text).  spec: the tokenizer's JSON."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of_worker(spec)
+        encode = Encoder(spec)
         end = b"" if end_id is None else np.array([end_id], encode.width).tobytes()
         for b in batches:
             ids: list[bytes] = []
@@ -239,7 +259,7 @@ def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFra
             ids += encode(held)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:
@@ -253,7 +273,7 @@ def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:
         k = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[k])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocab, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -298,7 +318,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
             yield flush()
 
     ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    coded = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(run, "shard int, block int, start long, n_tokens long, data binary")
+    coded = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(lean(run), "shard int, block int, start long, n_tokens long, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -329,7 +349,7 @@ def _decoded(spark: SparkSession, path: str, give, field: str, name: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([s] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(starts + o), pa.array(lengths.astype(np.int64)), give([ids[a:z] for a, z in zip(starts, ends, strict=True)])], ["shard", "doc_id", "at", "n_tokens", name])
 
     blocks = spark.read.parquet(f"{path}/blocks")
-    rows = blocks.select("shard", "start", "data").mapInArrow(run, f"shard int, doc_id long, at long, n_tokens long, {field}")
+    rows = blocks.select("shard", "start", "data").mapInArrow(lean(run), f"shard int, doc_id long, at long, n_tokens long, {field}")
     # One row per shard, of which there are as many as tasks: the only thing that is summed in order.
     sizes = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
     offsets, total = [], 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, lean, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -36,7 +36,7 @@ MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 4000
 EPOCHS, BATCH, RATE, KEEP = 5, 64, 0.01, 0.6
 THRESHOLD = 0.7
 #: Bytes of text scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _CLASS = np.zeros(256, np.uint8)  # of a word's bytes, the byte itself in lower case; else 0
 for _c in range(256):
@@ -296,7 +296,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -310,7 +310,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
             keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(at)))]) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
