@@ -39,14 +39,14 @@ from .common import bounded_batches, lean, shared_dir, table
 
 END_ID = 0
 PROB_BITS = 20
-LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 128, 1 << 18
+LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 256, 1 << 19
 LOW = np.uint64(1 << 31)
 #: Marks that are cut off the end of a word.
 MARKS = ".,;:!?*$%&#|"
 #: Characters encoded at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 19
 #: Chunks remembered by an encoder before it starts afresh.
-CACHE = 80_000
+CACHE = 120_000
 
 
 class Encoder:
