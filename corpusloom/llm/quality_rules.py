@@ -35,8 +35,6 @@ GRIDS = {
 }
 #: False rejection rate for each rule and confidence for all tests together.
 ALPHA, DELTA = 0.004, 0.1
-#: At most about so many labelled rows are used for calibration.
-MAX_LABELLED = 50_000
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -107,16 +105,14 @@ def calibrate(labelled: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA
     ))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of docs (doc_id, text).
 
-    labels: (doc_id, quality).  With more than max_labelled labels, those are used whose
-    hash falls on 0 modulo the ratio: the documented bound of the calibration sample.
+    labels: (doc_id, quality).  All of them calibrate, at every size: they are counted, not collected.
     """
     feats = metrics(materialize(features(docs), "rule-features"))
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ratio = max(1, -(-known.count() // max_labelled))
-    good = known.where((F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(ratio)) == 0)).select("doc_id")
+    good = known.where(F.col("quality") == 1).select("doc_id")
     cuts = F.broadcast(calibrate(feats.join(good, "doc_id", "left_semi"), alpha=alpha, delta=delta))
     rejected = F.lit(False)
     for rule in GRIDS:

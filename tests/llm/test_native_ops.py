@@ -104,6 +104,15 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert quality_rules.apply_rules(docs(spark, odd_texts() + [(4, PROSE)]).withColumn("stratum", F.lit("x")), labels).count() == 13
 
 
+def test_rules_use_every_label(spark):
+    """1,900 good labels certify a cutoff however many other labels there are; half of them wouldn't."""
+    clean = spark.range(1900).select("id", F.concat(F.lit(PROSE + " "), F.md5(F.col("id").cast("string"))).alias("text"))
+    junk = spark.range(1900, 1910).select("id", F.regexp_replace(F.lit(PROSE), " ", "*** ").alias("text"))
+    labels = spark.range(120_000).select(F.col("id").alias("doc_id"), (F.col("id") < 1900).cast("int").alias("quality"))
+    rows = quality_rules.apply_rules(clean.union(junk).withColumnRenamed("id", "doc_id"), labels).collect()
+    assert len(rows) == 1910 and all(r.kept == (r.doc_id < 1900) for r in rows)
+
+
 def test_url_parts_and_rules(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?q=1", "x://example.org/en/1#a", "x://example.org/en/2", "x://org", "x://com/fr/", "x://notcom/fr/", "x://b.com/fr/a?://z", "x://b.com/de/", "x://Ä.COM:80/de", "a://b://c/d", "x://h?q/de/", "x://h\n/x\ny"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit(3))
