@@ -54,15 +54,17 @@ class Encoder:
 
     Where every blank of a text is a single space or newline between other characters,
     the text is cut before its blanks; the distinct chunks of a batch are looked up or
-    encoded once, and ids are gathered by chunk.  Any other text goes to the tokenizer whole.
-    Both give the same ids.
+    encoded once, and ids are gathered by chunk.  Any other text goes to the tokenizer whole,
+    as do those that contain an added token, which the tokenizer finds before it cuts words.
+    Both give the same ids: those of the tokenizer with its default settings.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.blank_added = any(" " in t or "\n" in t for t in self.added)  # such a token may span chunks
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose piece begins with a space
@@ -100,6 +102,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
+        if self.blank_added:
+            return self._fresh(texts)
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
         coded = cut.values.dictionary_encode()
         offsets, which = cut.offsets.to_numpy(), coded.indices.to_numpy()
@@ -110,8 +114,8 @@ class Encoder:
         have = list(map(self.cache.get, chunks))
         missing = [k for k, x in enumerate(have) if x is None]
         words = [chunks[k][1:] if chunks[k][:1] == "\n" else chunks[k] for k in missing]
-        # Without blanks of its own, and not empty; other chunks send their texts to the tokenizer whole.
-        good = [w.split() == [w] for w in words]
+        # Without blanks of its own or added tokens, and not empty; other chunks send their texts to the tokenizer whole.
+        good = [w.split() == [w] and not any(t in w for t in self.added) for w in words]
         new = [k for k, g in zip(missing, good, strict=True) if g]
         self._encode_new([chunks[k] for k in new])
         for k in new:

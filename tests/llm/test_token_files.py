@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusloom.llm import token_files as tf
 
@@ -73,6 +74,34 @@ def test_files_of_odd_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f" / "blocks")).count() > 2
 
 
+FRESH = Tokenizer.from_file(tf.default_tokenizer())
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "hello", "a", ",", "|", " ", "  ", "\n"]), max_size=8).map("".join), max_size=6))
+@example(["hello <|endoftext|> world"])
+@settings(max_examples=300, deadline=None)
+def test_ids_are_those_of_an_untouched_tokenizer(texts):
+    want = [FRESH.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, ENCODER.width).tolist() for x in ENCODER(texts)] == want
+
+
+def test_added_tokens_with_blanks():
+    fresh = Tokenizer.from_str(SPEC)
+    fresh.add_tokens(["two words"])
+    texts = ["two", "words", "the two words", "two\nwords", "a two words\nb"]
+    got = tf.Encoder(fresh.to_str())
+    assert [np.frombuffer(x, got.width).tolist() for x in got(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_of_texts_with_added_tokens(spark, tmp_path):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, PROSE)]
+    tf.write_tokens(docs(spark, rows), str(tmp_path / "a"), tf.default_tokenizer())
+    want = {i: [*FRESH.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    got = {r.doc_id: r for r in tf.read_tokens(spark, str(tmp_path / "a")).collect()}
+    assert {i: r.ids for i, r in got.items()} == want and want[1] == [31373, 220, 50256, 995, 0]
+    assert [got[i].start for i in (1, 2, 3)] == [0, len(want[1]), len(want[1]) + len(want[2])]
+
+
 def test_no_rows(spark, tmp_path):
     tf.write_tokens(docs(spark, []), str(tmp_path / "e"), tf.default_tokenizer())
     assert tf.read_digests(spark, str(tmp_path / "e")).count() == 0
