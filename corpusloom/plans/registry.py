@@ -278,8 +278,9 @@ def json_items(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("item_id").cast("string")
     item = lambda i: F.concat(F.lit(f'{{"question": "q{i}-'), key, F.lit('", "answer": "a"}'))
     body = F.concat(F.lit("Here you are:\n```json\n["), F.concat_ws(",\n", *(item(i) for i in range(3))), F.lit("]\n``` done"))
-    reply = F.when(F.col("item_id") % 7 == 3, F.concat(F.lit("[{"), key)).otherwise(body)
-    t = read(spark, sf, "benchmark").where("item_id % 5 <> 0").select("item_id", F.posexplode(T.json_items(reply)).alias("n", "item"))
+    # Every fifth call failed: a null reply, which the operator gives no items.
+    reply = F.when(F.col("item_id") % 5 == 0, F.lit(None)).when(F.col("item_id") % 7 == 3, F.concat(F.lit("[{"), key)).otherwise(body)
+    t = read(spark, sf, "benchmark").select("item_id", F.posexplode(T.json_items(reply)).alias("n", "item"))
     return t.select("item_id", "n", F.col("item.question").alias("question"))
 
 

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.plans import registry
 
@@ -40,6 +41,14 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in result.fetchall()), key=repr)
 
 
+def test_json_items_reads_every_reply(spark, monkeypatch):
+    real = registry.T.json_items
+    monkeypatch.setattr(registry.T, "json_items", lambda reply: real(F.coalesce(reply, F.lit('[{"question": "no reply"}]'))))
+    got = {r.item_id for r in registry.QUERIES["json_items"](spark, SF).where("question = 'no reply'").collect()}
+    want = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id % 5 = 0").collect()}
+    assert want and got == want
+
+
 def test_the_engine_stands_without_the_training_data_operators():
     import subprocess
     import sys
