@@ -29,7 +29,7 @@ from .common import bounded_batches, lean, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import BASE, U, mix64, prefix_hashes, substring_hashes
 
-MAX_GOOD, MAX_BAD, MAX_CHARS, MAX_LINES = 2500, 1500, 12_000, 150
+MAX_GOOD, MAX_BAD, MAX_CHARS = 2500, 1500, 12_000
 ROUNDS, RATE, RIDGE = 150, 0.08, 1e-3
 THRESHOLD = 0.3
 CHUNK = 1 << 20
@@ -161,14 +161,14 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS) -> dict[st
     if not len(y) or y.min() == y.max():
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
-    few = [k for k, t in enumerate(raw) if t.count(b"\n") < MAX_LINES and t.strip()]
+    some = [k for k, t in enumerate(raw) if t.strip()]
     parts, texts_of = [], []
-    for lo in range(0, len(few), 128):
-        part = Lines([raw[k] for k in few[lo : lo + 128]])
+    for lo in range(0, len(some), 128):
+        part = Lines([raw[k] for k in some[lo : lo + 128]])
         parts.append(part.features())
         texts_of.append(part.text + lo)
     x, text = np.concatenate(parts), np.concatenate(texts_of)
-    ly = y[few][text]
+    ly = y[some][text]
     mean, dev = x.mean(0), x.std(0) + 1e-3
     mean[-1], dev[-1] = 0, 1
     xs = (x - mean) / dev

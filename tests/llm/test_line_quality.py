@@ -53,6 +53,15 @@ def test_line_features():
     assert lines.own[2, 10] == 0.75 and lines.own[2, 11] == 0.25
 
 
+def test_texts_of_many_lines_are_learnt_from():
+    good = [f"{PROSE} {k}\n" * 2 + "a calm line.\n" * 200 for k in range(12)]
+    bad = [f"### $$$ {k}\n" * 2 + "BUY!! | NOW\n" * 200 for k in range(12)]
+    short = [PROSE, "### $$$ x"]
+    model = lq.fit([*good, *bad, *short], [1] * 12 + [0] * 12 + [0, 1], rounds=30)
+    scores = lq.score_texts(model, [good[0].encode(), bad[0].encode()])
+    assert scores[0] > 0.5 > scores[1]
+
+
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = lq.query(spark, "/root/testdata/sf0.1")
