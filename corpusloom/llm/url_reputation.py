@@ -6,6 +6,11 @@ mean of a suffix is the prior mean of its domains, that of a domain the prior me
 of its hosts.  The strength of each prior is estimated from the data by moments.
 A page is kept when the lower posterior bound of its host reaches the cutoff.
 
+Approximation: a registered domain is the last two labels of a host and a suffix its last
+label, as the SQL defines them.  Sites under a suffix of several labels (``a.co.uk``,
+``b.co.uk``) thus share one domain, and IP hosts give domains such as ``0.1``; verdicts of
+such hosts with few labels may differ from those under a list of public suffixes.
+
 Defined results: a null url, or one without ``://``, has an empty host and path and
 is judged by the empty suffix; repeated rows are judged alike; a label that repeats
 for a page counts once, with its largest outcome; without any label all hosts get
