@@ -6,24 +6,23 @@ ids are written in ascending doc_id order by a static range asymmetric numeral s
 * one frequency table, counted over all ids and scaled to 2**PROB_BITS, is shared by all blocks;
 * a block holds whole documents, is coded on its own by LANES interleaved 64-bit states
   with 32-bit words, and carries a checkpoint (all states and the word offset) every
-  CHECKPOINT steps, so that decoding may start there;
-* each block has the CRC-32 of its ids, checked on reading.
+  CHECKPOINT steps: the ids between two checkpoints are a segment, which is decoded on its
+  own (`read_span` deals segments to tasks);
+* each segment has the CRC-32 of its ids, checked on reading.
 
-Files are Parquet tables of (shard, block, start, n_tokens, data): `start` counts the ids
-of the shard before the block, `data` is the block.  A sibling table holds the frequencies.
+Files are Parquet tables of (shard, block, start, n_tokens, segment_tokens, data): `start`
+counts the ids of the shard before the block, `data` is the block.  A sibling table holds the frequencies.
 
-Block layout, little-endian: magic ``RNS1``; u32 version, lanes, checkpoint steps, docs,
-tokens, words, checkpoints, CRC-32; then i64[docs] ids, u8[docs] "id is null",
-u32[docs] lengths, u64[lanes] states, checkpoints (u32 word offset, u64[lanes]), u32[words].
+Block layout, little-endian: magic ``RNS2``; u32 lanes, checkpoint steps, docs, tokens,
+words, segments; then i64[docs] ids, u8[docs] "id is null", u32[docs] lengths,
+u32[segments] CRC-32, (u32 word offset, u64[lanes] states) of each segment, u32[words].
 
 Defined results: a null text is encoded as an empty one; null ids sort first; rows with
-one doc_id stay separate, ordered by their ids; an empty table gives an empty file set.
+one doc_id stay separate, ordered by a hash of their ids; an empty table gives an empty file set.
 """
 
 from __future__ import annotations
 
-import array
-import itertools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,115 +30,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, shared_dir, table
+from . import encoder
+from .common import discard, lean, shared_dir, small_batches, table, utf8
 
 END_ID = 0
 PROB_BITS = 20
 LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 256, 1 << 19
 LOW = np.uint64(1 << 31)
-#: Marks that are cut off the end of a word.
-MARKS = ".,;:!?*$%&#|"
-#: Characters encoded at once.
-AT_ONCE = 1 << 19
-#: Chunks remembered by an encoder before it starts afresh.
-CACHE = 120_000
-
-
-class Encoder:
-    """Encodes texts with a byte-level BPE whose pre-tokens never span a blank followed by text.
-
-    Where every blank of a text is a single space or newline between other characters,
-    the text is cut before its blanks; the distinct chunks of a batch are looked up or
-    encoded once, and ids are gathered by chunk.  Any other text goes to the tokenizer whole,
-    as do those that contain an added token, which the tokenizer finds before it cuts words.
-    Both give the same ids: those of the tokenizer with its default settings.
-    """
-
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.blank_added = any(" " in t or "\n" in t for t in self.added)  # such a token may span chunks
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose piece begins with a space
-        self.spaced[[k for piece, k in self.tokenizer.get_vocab().items() if piece.startswith("\u0120")]] = True
-
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        return [array.array("H" if self.width == "<u2" else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """ids of " " + word for words without blanks: one text of all of them, cut where a piece begins with a space."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 1 << 12):
-            ids = np.array(self.tokenizer.encode(" " + " ".join(words[lo : lo + (1 << 12)]), add_special_tokens=False).ids, self.width)
-            flat, at = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
-            out += [flat[a:z] for a, z in itertools.pairwise([*at, len(flat)])]
-        return out
-
-    def _encode_new(self, chunks: list[str]) -> None:
-        """Adds chunks to the cache.  Marks after a letter or digit are a pre-token of their own, so words are encoded without them."""
-        lines = [c for c in chunks if c[0] == "\n"]
-        self.cache.update(zip(lines, self._fresh(lines), strict=True))
-        rest = [c for c in chunks if c[0] != "\n"]
-        stems = [c.rstrip(MARKS) for c in rest]
-        stems = [t if t and t[-1].isalnum() else c for c, t in zip(rest, stems, strict=True)]
-        get = self.cache.get
-        new = list({t for t in stems if get(t) is None})
-        self.cache.update(zip(new, self._words(new), strict=True))
-        for c, t in zip(rest, stems, strict=True):
-            if len(c) > len(t):
-                tail = "\0" + c[len(t) :]  # as it stands after a word, without a space
-                if get(tail) is None:
-                    self.cache[tail] = self._fresh([tail[1:]])[0]
-                self.cache[c] = self.cache[t] + self.cache[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        if self.blank_added:
-            return self._fresh(texts)
-        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
-        coded = cut.values.dictionary_encode()
-        offsets, which = cut.offsets.to_numpy(), coded.indices.to_numpy()
-        first = offsets[:-1]
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        have = list(map(self.cache.get, chunks))
-        missing = [k for k, x in enumerate(have) if x is None]
-        words = [chunks[k][1:] if chunks[k][:1] == "\n" else chunks[k] for k in missing]
-        # Without blanks of its own or added tokens, and not empty; other chunks send their texts to the tokenizer whole.
-        good = [w.split() == [w] and not any(t in w for t in self.added) for w in words]
-        new = [k for k, g in zip(missing, good, strict=True) if g]
-        self._encode_new([chunks[k] for k in new])
-        for k in new:
-            have[k] = self.cache[chunks[k]]
-        odd = np.zeros(len(chunks), bool)
-        for k, g in zip(missing, good, strict=True):
-            if not g:
-                odd[k], have[k] = True, b""
-        whole = np.logical_or.reduceat(odd[which], first)
-        heads = self._fresh([t if w else chunks[k] for t, w, k in zip(texts, whole.tolist(), which[first].tolist(), strict=True)])
-        # The first chunk of a text has no blank before it: its ids stand at the end of the table.
-        which = which.astype(np.int64)
-        which[first] = len(have) + np.arange(len(texts))
-        have += heads
-        table = np.frombuffer(b"".join(have), self.width)
-        size = np.fromiter(map(len, have), np.int64, len(have)) // table.itemsize
-        start = np.cumsum(size) - size
-        n = size[which]
-        n[np.repeat(whole, np.diff(offsets))] = 0
-        n[first] = size[-len(texts) :]
-        ends = np.cumsum(n)
-        flat = table[np.repeat(start[which] - (ends - n), n) + np.arange(ends[-1])].tobytes()
-        cuts = [0, *(ends[offsets[1:] - 1] * table.itemsize).tolist()]
-        return [flat[a:z] for a, z in itertools.pairwise(cuts)]
 
 
 def scale(counts: np.ndarray, bits: int = PROB_BITS) -> np.ndarray:
@@ -182,12 +82,12 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, low: np.ndarray, lanes: int
     return x, [(n - m, s) for m, s in reversed(marks)], words
 
 
-def decode_block(n: int, states: np.ndarray, words: np.ndarray, freq: np.ndarray, low: np.ndarray, slots: np.ndarray, first: int = 0, at: int = 0) -> np.ndarray:
-    """The ids from step `first` on, where states and word offset `at` are that step's checkpoint."""
-    x, lanes, mask = states.copy(), len(states), np.uint64((1 << PROB_BITS) - 1)
-    out = np.empty(max(0, n - first * lanes), slots.dtype)
-    for begin in range(0, len(out), lanes):
-        k = min(lanes, len(out) - begin)
+def decode_block(n: int, states: np.ndarray, words: np.ndarray, freq: np.ndarray, low: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """n ids from the first of words on, where states are those of their first step."""
+    x, lanes, mask, at = states.copy(), len(states), np.uint64((1 << PROB_BITS) - 1), 0
+    out = np.empty(n, slots.dtype)
+    for begin in range(0, n, lanes):
+        k = min(lanes, n - begin)
         y = x[:k]
         r = y & mask
         s = slots[r.astype(np.int64)]
@@ -209,23 +109,30 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(doc_ids: list[int | None], parts: list[np.ndarray], freq: np.ndarray, low: np.ndarray, lanes: int = LANES, checkpoint: int = CHECKPOINT) -> bytes:
-    ids = np.concatenate(parts).astype(np.uint32)
+    ids = np.concatenate(parts).astype("<u4")
     states, marks, words = encode_block(ids, freq, low, lanes, checkpoint)
-    head = np.array([1, lanes, checkpoint, len(doc_ids), len(ids), len(words), len(marks), zlib.crc32(ids.astype("<u4").tobytes())], "<u4")
+    marks = [(0, states), *marks]
+    crcs = [zlib.crc32(ids[k : k + lanes * checkpoint]) for k in range(0, max(1, len(ids)), lanes * checkpoint)]
     return b"".join([
-        b"RNS1", head.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
-        np.array([len(p) for p in parts], "<u4").tobytes(), states.astype("<u8").tobytes(),
+        b"RNS2", np.array([lanes, checkpoint, len(doc_ids), len(ids), len(words), len(marks)], "<u4").tobytes(),
+        np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
+        np.array([len(p) for p in parts], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(),
         *(np.uint32(o).astype("<u4").tobytes() + s.astype("<u8").tobytes() for o, s in marks), words.astype("<u4").tobytes(),
     ])
 
 
-def unpack(data, freq: np.ndarray, low: np.ndarray, slots: np.ndarray, from_checkpoint: int | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, lengths, ids) of a block; with from_checkpoint, only the ids from that checkpoint on, unchecked."""
+def segments(data) -> int:
+    """How many segments a block has."""
+    return int(np.frombuffer(data, "<u4", 6, 4)[5])
+
+
+def unpack(data, freq: np.ndarray, low: np.ndarray, slots: np.ndarray, only: int | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc ids, lengths, ids) of a block; with `only`, the ids of that segment alone are decoded."""
     data = memoryview(data)
-    if bytes(data[:4]) != b"RNS1":
+    if bytes(data[:4]) != b"RNS2":
         raise ValueError("not a block")
-    version, lanes, every, docs, n, n_words, n_marks, crc = (int(v) for v in np.frombuffer(data, "<u4", 8, 4))
-    at = 36
+    lanes, every, docs, n, n_words, n_marks = (int(v) for v in np.frombuffer(data, "<u4", 6, 4))
+    at = 28
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -233,37 +140,31 @@ def unpack(data, freq: np.ndarray, low: np.ndarray, slots: np.ndarray, from_chec
         at += out.nbytes
         return out
 
-    doc_ids, null, lengths, states = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u8", lanes)
+    doc_ids, null, lengths, crcs = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u4", n_marks)
     marks = [(int(take("<u4", 1)[0]), take("<u8", lanes)) for _ in range(n_marks)]
     words = take("<u4", n_words)
-    if from_checkpoint is not None:
-        offset, states = marks[from_checkpoint]
-        return [], lengths, decode_block(n, states, words, freq, low, slots, (from_checkpoint + 1) * every, offset)
-    ids = decode_block(n, states, words, freq, low, slots)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-        raise ValueError("a block's checksum differs")
-    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, ids
+    out = []
+    for k in range(n_marks) if only is None else (only,):
+        offset, states = marks[k]
+        ids = decode_block(min(lanes * every, n - k * lanes * every), states, words[offset:], freq, low, slots)
+        if zlib.crc32(ids.astype("<u4")) != crcs[k]:
+            raise ValueError("a segment's checksum differs")
+        out.append(ids)
+    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, np.concatenate(out)
 
 
 def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFrame:
     """doc_id, ids (binary, little-endian) of every row of docs (doc_id, text).  spec: the tokenizer's JSON."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(spec)
-        end = b"" if end_id is None else np.array([end_id], encode.width).tobytes()
+        e = encoder.shared(spec)
+        end = b"" if end_id is None else np.array([end_id], e.width).tobytes()
         for b in batches:
-            ids: list[bytes] = []
-            held, size = [], 0
-            for t in b.column(1):
-                held.append(t.as_py())
-                size += len(held[-1])
-                if size >= AT_ONCE:
-                    ids += encode(held)
-                    held, size = [], 0
-            ids += encode(held)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+            ids, n = e.encode(*utf8(b.column(1)))
+            flat, ends = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z] + end for a, z in zip([0, *ends], ends, strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run, 1024), "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:
@@ -285,18 +186,25 @@ def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes docs (doc_id, text) to path: ``tokens`` (kept ids by document), ``freq`` and ``blocks``.
+    """Writes docs (doc_id, text) to path: ``freq`` and ``blocks``.
 
-    The ids are kept in shared storage before they are counted and coded, so that a lost
-    executor costs no second encoding; sorting deals ids, not texts, by ranges of doc_id.
+    The ids are kept in shared storage (``tokens``) before they are counted and coded, so that
+    a lost executor costs no second encoding, and are deleted when the blocks are written.
+    Sorting deals ids, not texts, by ranges of doc_id; rows of one doc_id may be dealt to many
+    ranges, by a hash of their ids, then by where they stood.
     """
+    with small_batches(docs.sparkSession, 1024):
+        _write_tokens(docs, path, tokenizer_path, end_id, block_tokens)
+
+
+def _write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_tokens: int) -> None:
     spark = docs.sparkSession
-    bounded_batches(spark)
     spec = Path(tokenizer_path).read_text()  # the tokenizer is a file of the driver's environment, not of the data store
-    encoder = Encoder(spec)
-    vocab, width = encoder.tokenizer.get_vocab_size(), encoder.width
+    e = encoder.Encoder(spec)
+    vocab, width = e.vocab, e.width
+    del e
     tokenize(docs, spec, end_id).write.option("compression", "zstd").parquet(f"{path}/tokens")
-    tokens = spark.read.parquet(f"{path}/tokens")
+    tokens = spark.read.schema("doc_id long, ids binary").parquet(f"{path}/tokens")
     freq = scale(token_counts(tokens, vocab, width))
     low, _ = tables(freq)
     spark.createDataFrame([(PROB_BITS, freq.astype("<u4").tobytes())], "prob_bits int, freq binary").coalesce(1).write.parquet(f"{path}/freq")
@@ -306,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, ids, parts, held
-            row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(ids, parts, freq, low)], pa.binary())], ["shard", "block", "start", "n_tokens", "data"])
+            row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([LANES * CHECKPOINT], pa.int32()), pa.array([pack(ids, parts, freq, low, LANES, CHECKPOINT)], pa.binary())], ["shard", "block", "start", "n_tokens", "segment_tokens", "data"])
             block, start, ids, parts, held = block + 1, start + held, [], [], 0
             return row
 
@@ -321,9 +229,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
         if ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    coded = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(lean(run), "shard int, block int, start long, n_tokens long, data binary")
+    key = [F.col("doc_id").asc_nulls_first(), F.col("__of"), F.col("__at")]
+    ordered = tokens.withColumns({"__of": F.xxhash64("ids"), "__at": F.monotonically_increasing_id()}).repartitionByRange(*key).sortWithinPartitions(*key)
+    coded = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(lean(run), "shard int, block int, start long, n_tokens long, segment_tokens int, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(spark, f"{path}/tokens")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -340,8 +250,22 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, crc, "ids_crc32 long", "ids_crc32")
 
 
+def _starts(blocks: DataFrame) -> DataFrame:
+    """shard, before: the ids of all earlier shards.  One row per shard, of which there are as many as tasks, is summed in order."""
+    sizes = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
+    offsets, total = [], 0
+    for shard in sorted(sizes):
+        offsets.append((shard, total))
+        total += sizes[shard]
+    return blocks.sparkSession.createDataFrame(offsets, "shard int, before long")
+
+
+def _frequencies(spark: SparkSession, path: str) -> np.ndarray:
+    return np.frombuffer(spark.read.parquet(f"{path}/freq").first().freq, "<u4").astype(np.uint32)
+
+
 def _decoded(spark: SparkSession, path: str, give, field: str, name: str) -> DataFrame:
-    freq = np.frombuffer(spark.read.parquet(f"{path}/freq").first().freq, "<u4").astype(np.uint32)
+    freq = _frequencies(spark, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, slots = tables(freq)
@@ -354,14 +278,32 @@ def _decoded(spark: SparkSession, path: str, give, field: str, name: str) -> Dat
 
     blocks = spark.read.parquet(f"{path}/blocks")
     rows = blocks.select("shard", "start", "data").mapInArrow(lean(run), f"shard int, doc_id long, at long, n_tokens long, {field}")
-    # One row per shard, of which there are as many as tasks: the only thing that is summed in order.
-    sizes = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
-    offsets, total = [], 0
-    for shard in sorted(sizes):
-        offsets.append((shard, total))
-        total += sizes[shard]
-    by = spark.createDataFrame(offsets, "shard int, before long")
-    return rows.join(F.broadcast(by), "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", name)
+    return rows.join(F.broadcast(_starts(blocks)), "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", name)
+
+
+def read_span(spark: SparkSession, path: str, first: int, stop: int) -> DataFrame:
+    """start, ids: the ids at positions first to stop - 1 of the whole stream, one row per segment.
+
+    Only blocks that hold some are read; each of their segments is decoded from its
+    checkpoint, as a task's row of its own.
+    """
+    freq = _frequencies(spark, path)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    placed = blocks.join(F.broadcast(_starts(blocks)), "shard").select((F.col("start") + F.col("before")).alias("start"), "n_tokens", "segment_tokens", "data")
+    placed = placed.where((F.col("start") < stop) & (F.col("start") + F.col("n_tokens") > first))
+    count = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("segment_tokens"))).cast("int")
+    each = placed.withColumn("segment", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("start", F.col("start") + F.col("segment") * F.col("segment_tokens"))
+    each = each.where((F.col("start") < stop) & (F.col("start") + F.col("segment_tokens") > first)).select("start", "segment", "data")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, slots = tables(freq)
+        for b in batches:
+            for o, k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids = unpack(data.as_buffer(), freq, low, slots, k)[2]
+                a, z = max(0, first - o), min(len(ids), stop - o)
+                yield pa.RecordBatch.from_arrays([pa.array([o + a], pa.int64()), pa.array([ids[a:z]], pa.list_(pa.int32()))], ["start", "ids"])
+
+    return each.repartition(F.col("start")).mapInArrow(lean(run), "start long, ids array<int>")
 
 
 def default_tokenizer() -> str:
