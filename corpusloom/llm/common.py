@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import kept
+
 #: ASCII blanks that separate words: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
 #: A word: a maximal run of anything else.
@@ -28,14 +36,39 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is configured (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    In local mode, where one process does everything, the setting may be missing; a folder is made
+    then.  On a cluster a missing setting is an error, since no folder of one machine would do.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    if path:
+        return path
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = kept().get("local_dir")
+    if path is None:
+        path = kept()["local_dir"] = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in shared storage."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(data, offsets) of an Arrow column without nulls: text k is data[offsets[k] : offsets[k + 1]]."""
+    c = texts.cast(pa.large_string())
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once to shared storage and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,24 +80,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Sends at most `rows` texts to Python at once, where the session has no setting of its own: bounds both sides' memory."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
+    """Within it, what is executed sends at most `rows` rows to Python at once, unless the session asks for fewer; then the setting is as before."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def lean(run):
-    """run(batches) for mapInArrow, after which the worker gives freed memory back: workers outlive their tasks, and those of other stages need it."""
+def lean(run, rows: int = 128):
+    """run(batches) for mapInArrow: it gets at most `rows` rows at once, and afterwards the worker gives freed memory back, which workers of other stages need."""
 
     def wrapped(batches):
-        yield from run(batches)
+        yield from run(b.slice(k, rows) for b in batches for k in range(0, max(1, b.num_rows), rows))
         import ctypes
 
-        import pyarrow
-
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except AttributeError:  # another C library

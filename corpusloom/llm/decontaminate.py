@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, table
+from .common import lean, table
 
 WINDOW = 10
 MAX_ITEM_CHARS = 1 << 20
@@ -190,7 +190,6 @@ def item_shards(items: DataFrame, max_chars: int = MAX_ITEM_CHARS) -> Iterator[l
 
 def _passes(rows: DataFrame, items: DataFrame, window: int, max_item_chars: int) -> DataFrame:
     """Adds spans and items to rows, one narrow pass for each shard of the items: nothing is shuffled."""
-    bounded_batches(rows.sparkSession)
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     out = rows.selectExpr("*", "cast(array() AS array<struct<a:int,b:int>>) AS __spans", "cast(array() AS array<string>) AS __items")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, table
+from .common import lean, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import BASE, U, mix64, prefix_hashes, substring_hashes
 
@@ -216,7 +216,6 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, materialize, release, table
+from .common import lean, materialize, release, small_batches, table
 from .components import components
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -284,7 +284,11 @@ def _small(kept: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, key (the class; null without shingles) of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = materialize(_profile(docs), "shingle-profile")
     rows = found.where("kind = 0").select("doc_id", "n", "key")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, lean, table
+from .common import lean, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -309,7 +309,6 @@ def added_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str], base: li
 
 def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the patterns' spans), spans (all) of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
     model = model or fit()
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, materialize, release, table
+from .common import lean, materialize, release, small_batches, table
 from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes
 
 LENGTH, KGRAM = 50, 20
@@ -389,7 +389,11 @@ def spans_of(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndar
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, text, found (list of packed windows that go) of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _repeated_spans(docs, length)
+
+
+def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-int(total) // (16 * BUCKET)))

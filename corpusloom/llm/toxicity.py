@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, table
+from .common import lean, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -289,7 +289,6 @@ def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +300,6 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs (all its columns) without the documents that score threshold or more."""
-    bounded_batches(docs.sparkSession)
     model = train(docs, labels)
     at = docs.columns.index("text")
 
