@@ -32,17 +32,21 @@ def first_wins(rows: DataFrame, keys: Sequence[Column], order: Sequence[Column])
     return t.where("__rn = 1").drop("__rn", *names)
 
 
-def stratified_split(rows: DataFrame, stratum: str, key: Column, *, seed: str = "42", train: float = 0.8, val: float = 0.9) -> DataFrame:
+def stratified_split(rows: DataFrame, stratum: str, key: Column, *, seed: str = "42", train: float = 0.8, val: float = 0.9, digits: int = 3) -> DataFrame:
     """Adds split: within each stratum in hash order, the first int(n * train) rows, up to int(n * val), and the rest.
 
-    Both windows share one shuffle by stratum.  `key` must be unique.
+    `key` must be unique.  Rows are ranked within (stratum, leading `digits` hex digits of the hash), so a
+    stratum is dealt to 16 ** digits groups; what precedes a group is summed over the groups' counts.
     """
-    t = rows.withColumn("__h", T.hash_order(seed, key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy("__h"))
-    t = t.withColumns({"__n": n, "__rn": rn})
-    split = F.when(F.col("__rn") <= F.floor(F.col("__n") * F.lit(train)), "train").when(F.col("__rn") <= F.floor(F.col("__n") * F.lit(val)), "val").otherwise("test")
-    return t.withColumn("split", split).drop("__h", "__n", "__rn")
+    t = rows.withColumn("__h", T.hash_order(seed, key)).withColumn("__bin", F.substring("__h", 1, digits))
+    bins = t.groupBy(F.col(stratum).alias("__s"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("__m"))
+    of = Window.partitionBy("__s")
+    bins = bins.withColumns({"__n": F.sum("__m").over(of), "__before": F.coalesce(F.sum("__m").over(of.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("__m")
+    t = t.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum, "__bin").orderBy("__h")))
+    t = t.join(bins, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    rank = F.col("__before") + F.col("__rn")
+    split = F.when(rank <= F.floor(F.col("__n") * F.lit(train)), "train").when(rank <= F.floor(F.col("__n") * F.lit(val)), "val").otherwise("test")
+    return t.withColumn("split", split).select(*rows.columns, "split")
 
 
 def split_by_group(rows: DataFrame, group: Column, *, seed: str = "42", train: float = 0.8, val: float = 0.9) -> DataFrame:

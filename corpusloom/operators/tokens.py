@@ -1,14 +1,14 @@
 """Token streams: encoding, packing, hold-out, windows and diversity.
 
-Offsets over the whole corpus come from a two-level prefix sum: sums per range partition are
-collected (one number for each partition), and only the order within a partition is a window.
+Offsets over the whole corpus come from a two-level prefix sum: the sums of ranges of the key
+are collected (one number for each range), and only the order within a range is a window.
+A row's range depends on its key alone, never on how a plan happens to be partitioned.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,17 +52,39 @@ def packed(rows: DataFrame, ids: str, eot: int) -> DataFrame:
     return rows.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(eot))))
 
 
-def with_offsets(rows: DataFrame, size: Column, key: str) -> DataFrame:
-    """Adds start: the sum of size over all rows with a smaller key (unique)."""
-    t = rows.withColumn("__size", size.cast("bigint")).repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many bounds are at most key, in about twice the root of their number of comparisons; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    chunks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    chunk = below(F.array(*(F.lit(c[0]) for c in chunks)))
+    within = below(F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in chunks)), chunk))
+    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + within)
+
+
+def with_offsets(rows: DataFrame, size: Column, key: str, parts: int | None = None) -> DataFrame:
+    """Adds start: the sum of size over all rows with a smaller key (unique, a number or time; null first).
+
+    The key's quantiles cut it into `parts` ranges (as many as the session's shuffle partitions),
+    which both the sums and the windows use.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [k / parts for k in range(1, parts)]
+    bounds = rows.agg(F.percentile_approx(key, cuts, 50 * parts).alias("b")).first().b if cuts else None
+    t = rows.withColumn("__size", size.cast("bigint")).withColumn("__part", _range_of(F.col(key), sorted(set(bounds or []))))
     before, total = [], 0
     for r in t.groupBy("__part").agg(F.sum("__size").alias("n")).orderBy("__part").collect():
         before.append((r["__part"], total))
-        total += r.n
+        total += r.n or 0
     w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.sparkSession.createDataFrame(before, "__part int, __base long")
+    base = spark.createDataFrame(before, "__of int, __base long")
     t = t.withColumn("__in", F.coalesce(F.sum("__size").over(w), F.lit(0)))
-    return t.join(F.broadcast(base), "__part").withColumn("start", F.col("__base") + F.col("__in")).drop("__part", "__in", "__base", "__size")
+    t = t.join(F.broadcast(base), F.col("__part") == F.col("__of"), "left")  # a row without a range's sum is an error, not a loss
+    start = F.when(F.col("__base").isNull(), F.raise_error(F.lit("the rows changed between two evaluations")).cast("bigint")).otherwise(F.col("__base") + F.col("__in"))
+    return t.withColumn("start", start).drop("__part", "__of", "__in", "__base", "__size")
 
 
 def hold_out(rows: DataFrame, size: Column, total: int, eval_tokens: int) -> DataFrame:
@@ -72,11 +94,20 @@ def hold_out(rows: DataFrame, size: Column, total: int, eval_tokens: int) -> Dat
     return rows.withColumn("part", F.when(F.col("start") + size > total - eval_tokens, "eval").otherwise("train"))
 
 
-def blocks(rows: DataFrame, ids: str, block: int) -> DataFrame:
-    """block_id, ids: the packed stream (rows with start, ids) in blocks of `block` tokens; the last may be shorter."""
-    t = rows.select("start", F.posexplode(ids).alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
-    t = t.groupBy(F.floor(F.col("pos") / block).cast("bigint").alias("block_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("x"))
-    return t.select("block_id", F.transform("x", lambda v: v["tok"]).alias("ids"))
+def blocks(rows: DataFrame, ids: str, block: int, overlap: int = 0) -> DataFrame:
+    """block_id, ids: the packed stream (rows with start, ids) in blocks of `block` tokens and the next `overlap`; the last may be shorter.
+
+    A row's tokens are sliced at the blocks' borders: what is shuffled is one slice per row and block.
+    """
+    n = F.size(ids)
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - overlap) / block)).cast("bigint")
+    last = F.floor((F.col("start") + n - 1) / block).cast("bigint")
+    t = rows.where(n > 0).withColumn("block_id", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.lit(0).cast("bigint"), F.col("block_id") * block - F.col("start"))
+    hi = F.least(n.cast("bigint"), (F.col("block_id") + 1) * block + overlap - F.col("start"))
+    t = t.select("block_id", "start", F.slice(ids, (lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")).alias("x"))
+    t = t.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("start", "x"))).alias("x"))
+    return t.select("block_id", F.flatten(F.transform("x", lambda v: v["x"])).alias("ids"))
 
 
 def next_token(ids: Column) -> tuple[Column, Column]:
@@ -89,21 +120,16 @@ def random_window(ids: Column, block: int, u: Column) -> Column:
     return F.slice(ids, (u % F.greatest(F.size(ids) - block - 1, F.lit(1)) + 1).cast("int"), block)
 
 
-def corpus_distinct_n(rows: DataFrame, tokens: str, n: int) -> DataFrame:
+def corpus_distinct_n(rows: DataFrame, tokens: str, n: int, block: int = 4096) -> DataFrame:
     """One row, distinct_n, over the concatenation of rows (start, tokens): n-grams may cross rows.
 
-    The n tokens of a gram meet by position: every token is sent to the n grams that hold it.
+    Blocks that reach n - 1 tokens into the next one hold each gram once; grams are counted before they are shuffled.
     """
-    t = rows.select("start", F.posexplode(tokens).alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
-    t = t.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("back"), "pos", "tok").withColumn("at", F.col("pos") - F.col("back"))
-    grams = t.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("g")).where(F.size("g") == n)
-    grams = grams.select(F.transform("g", lambda x: x["tok"]).alias("g"))
-    return grams.agg(F.coalesce(F.try_divide(F.countDistinct("g"), F.count("g")), F.lit(0.0)).alias("distinct_n"))
+    t = blocks(rows, tokens, block, n - 1).where(F.size("ids") >= n)
+    grams = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(block), F.size("ids") - n + 1)), lambda i: F.slice("ids", i, n))).alias("g"))
+    each = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.coalesce(F.try_divide(F.count(F.lit(1)), F.sum("n")), F.lit(0.0)).alias("distinct_n"))
 
 
 def corpus_meta(rows: DataFrame, ids: str, vocab: int, eot: int, tokenizer: str) -> DataFrame:
     return rows.agg(F.lit(vocab).alias("vocab_size"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("num_stories"), F.lit(eot).alias("eot_id"), F.lit(tokenizer).alias("tokenizer_path"))
-
-
-def write_meta(meta: DataFrame, path: str) -> None:
-    Path(path).write_text(json.dumps(meta.first().asDict(), ensure_ascii=False, indent=2))
