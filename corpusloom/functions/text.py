@@ -68,6 +68,16 @@ def parent_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def folder_label(path: Column, prefix: str = "") -> Column:
+    """prefix and the last folder's name of a path; slashes and backslashes at its end don't count."""
+    return F.concat(F.lit(prefix), F.element_at(F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]"), -1))
+
+
+def points(x: Column, digits: int = 1) -> Column:
+    """A difference of shares in points, with its sign."""
+    return F.format_string(f"%+.{digits}f", x * 100)
+
+
 def percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +49,8 @@ def pad_batches(rows: DataFrame, ids: str, batch: str, pad: int = 0) -> DataFram
     t = rows.withColumn("__n", n)
     mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.col("__n") - F.size(ids)))
     return t.withColumn("attention_mask", mask).withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.col("__n") - F.size(ids)))).drop("__n")
+
+
+def collate(rows: DataFrame, batch: str, collator: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Each batch of rows through a user's collator.  A batch is one task's, so it must be a bounded number of rows."""
+    return rows.groupBy(batch).applyInPandas(collator, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-# The templates of questions and of their colloquial variants.
+# The templates of questions and of their colloquial variants; below, the wording of answers and the keywords.
 PRICE = ("你们家{name}多少钱?", "{name}多少钱一杯?", "请问{name}的价格是?", "{name}要多少钱?", "你们{name}卖多少钱?", "{name}怎么卖的?", "我想知道{name}多少钱", "一杯{name}多少钱?")
 RECOMMEND = ("推荐一下{tag}的饮品", "有什么{tag}推荐吗?", "我想喝{tag}的,有什么推荐?", "有没有{tag}的好喝的?", "你们家{tag}的好喝吗?", "想试试{tag}的,推荐哪个?")
 SUGAR = ("可以把{name}做成无糖吗?", "{name}能选半糖吗?", "{name}可以做少糖吗?")
@@ -81,11 +81,11 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """Adds ord, 0-based.  For tables of literals: it is one global window."""
+def numbered(rows: DataFrame, *order: Column, start: int = 0) -> DataFrame:
+    """Adds ord, counted from `start`.  For tables of literals: it is one global window."""
     from pyspark.sql import Window
 
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*order)) + (start - 1))
 
 
 def expand(seeds: DataFrame, products: DataFrame, toppings: DataFrame, topics: DataFrame, answers: Sequence[str], *, seed: str = "42") -> DataFrame:

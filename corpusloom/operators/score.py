@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +79,12 @@ def group_advantage(rows: DataFrame, group: str, reward: str, eps: float = 1e-4)
 def rl_prompts(rows: DataFrame) -> DataFrame:
     """prompt, answer_keywords, ood of samples (q, keywords, ood)."""
     return rows.select(F.col("q").alias("prompt"), F.col("keywords").alias("answer_keywords"), "ood")
+
+
+def map_rows(rows: DataFrame, column: str, function: Callable[[str], str]) -> DataFrame:
+    """column through a user's Python function, in Arrow batches; prefer an expression where there is one."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else function(x))
+
+    return rows.withColumn(column, run(F.col(column)))

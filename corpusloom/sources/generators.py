@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -90,9 +90,9 @@ def credential(name: str, env_file: str = ".env") -> str | None:
     return None
 
 
-def variants(completions: DataFrame, source: str) -> DataFrame:
-    """The items of JSON replies as samples that inherit intent, keywords and ood; blank or unparsable ones go."""
+def variants(completions: DataFrame, source: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The items of JSON replies as samples that inherit intent, keywords, ood and the columns `keep`; blank or unparsable replies give none."""
     t = completions.withColumn("items", T.json_items(F.col("completion"))).where(F.size(F.coalesce("items", F.array().cast("array<struct<question:string,answer:string>>"))) > 0)
     t = t.withColumn("item", F.explode("items"))
     q, a = (T.strip(F.coalesce(F.col(f"item.{c}"), F.lit(""))) for c in ("question", "answer"))
-    return t.select("intent", q.alias("q"), a.alias("a"), "keywords", "ood", F.lit(source).alias("source"))
+    return t.select(*keep, "intent", q.alias("q"), a.alias("a"), "keywords", "ood", F.lit(source).alias("source"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.expand import QA, union_all
+from corpusloom.sources.writers import local_uri
 
 EVENT = "type string, step int, loss double, lr double, tok_per_s double, train_loss double, val_loss double, text string, n_params bigint, config map<string,string>"
 
@@ -28,6 +28,14 @@ def first_rows(rows: DataFrame, limit: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(max(limit, 1))
 
 
+def first_stories(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows by order; an error where there are fewer."""
+    got = rows.orderBy(order).limit(n)
+    if got.count() < n:
+        raise ValueError(f"the source has fewer than {n} rows")
+    return got
+
+
 def parquet_sample(spark: SparkSession, path: str, n: int) -> DataFrame:
     """At most n rows of a corpus: a limit that stops the scan."""
     return spark.read.parquet(path).limit(n)
@@ -51,15 +59,28 @@ def sidecar(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def token_file(spark: SparkSession, path: str, *, dtype: str = "<u2") -> DataFrame:
-    """path, ids of flat binary token files."""
+def token_file(spark: SparkSession, path: str, block: int, *, dtype: str = "<u2") -> DataFrame:
+    """path, start, ids of flat binary token files: stretches of `block` ids, of which each task reads its own bytes alone."""
     import numpy as np
+    import pyarrow as pa
+
+    width = np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # contents aren't read
+    count = F.ceil(F.col("length") / (width * block)).cast("bigint")
+    t = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("k")).repartition("path", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    @F.pandas_udf("array<int>")
-    def unpack(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: np.frombuffer(b, dtype).astype("int32"))
+        for b in batches:
+            for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, name = fs.FileSystem.from_uri(local_uri(p))
+                with system.open_input_file(name) as f:
+                    f.seek(k * block * width)
+                    ids = np.frombuffer(f.read(block * width), dtype).astype("int32")
+                yield pa.RecordBatch.from_pydict({"path": pa.array([p]), "start": pa.array([k * block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
-    return spark.read.format("binaryFile").load(path).select("path", unpack("content").alias("ids"))
+    return t.mapInArrow(run, "path string, start long, ids array<int>")
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,14 +19,25 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def text_file(spark: SparkSession, text: str, path: str) -> None:
+    """One UTF-8 file wherever Spark writes."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def document(row: DataFrame, path: str) -> None:
-    """A one-row frame as an indented JSON object, a file of the driver."""
-    r = row.limit(1).select(F.to_json(F.struct("*")).alias("j")).first()
-    Path(path).write_text(json.dumps(json.loads(r.j) if r else {}, ensure_ascii=False, indent=2))
+    """A one-row frame as an indented JSON object."""
+    r = row.limit(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()
+    text_file(row.sparkSession, json.dumps(json.loads(r.j) if r else {}, ensure_ascii=False, indent=2), path)
 
 
-def markdown(text: str, path: str) -> None:
-    Path(path).write_text(text + "\n")
+def markdown(spark: SparkSession, text: str, path: str) -> None:
+    text_file(spark, text + "\n", path)
 
 
 def table_text(rows: DataFrame, columns: dict[str, int]) -> DataFrame:
@@ -41,12 +50,37 @@ def token_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(path)
 
 
-def token_bytes(blocks: DataFrame, dtype: str = "<u2") -> DataFrame:
-    """block_id, data: each block's ids as flat binary."""
-    import numpy as np
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"block_id": f["block_id"], "data": [np.asarray(x, dtype).tobytes() for x in f["ids"]]})
-
-    return blocks.select("block_id", "ids").mapInPandas(run, "block_id long, data binary")
+def token_file(blocks: DataFrame, path: str, dtype: str = "<u2") -> int:
+    """(block_id, ids) as flat binary files, part-00000.bin and so on: one after the other they are the stream.  Returns the tokens written.
+
+    Each task writes a range of blocks under another name and then renames it, so that a repeated task does no harm.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(local_uri(path))
+        part = TaskContext.get().partitionId()
+        name, draft, n = f"{folder}/part-{part:05d}.bin", f"{folder}/_draft-{part}-{TaskContext.get().taskAttemptId()}", 0
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(draft) as out:
+            for b in batches:
+                for x in b.column(0):
+                    ids = x.values.to_numpy(zero_copy_only=False)
+                    out.write(ids.astype(dtype).tobytes())
+                    n += len(ids)
+        if n:
+            system.move(draft, name)
+        else:
+            system.delete_file(draft)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    ordered = blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").select("ids")
+    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def local_uri(path: str) -> str:
+    """Spark's file:/x as file:///x; other paths as they are."""
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
