@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import clean, evaluate, expand, runlog, sample, score
+from corpusloom.operators import clean, evaluate, expand, runlog, sample, score, tokens
 from corpusloom.sources import catalog, generators, readers, writers
 
 CHAT_URL = "CHAT_URL"
@@ -17,8 +19,8 @@ CHAT_URL = "CHAT_URL"
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
     """Seeds and templates, merged with extra files: gated, deduplicated, split, and reported."""
-    seeds = readers.jsonl(spark, a.seeds)
-    raw = expand.expand(seeds.drop("source"), catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.refusals(a.brand))
+    seeds = readers.jsonl(spark, a.seeds).drop("source") if a.seeds else catalog.seeds(spark).drop("ord")
+    raw = expand.expand(seeds, catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.REFUSALS)
     if a.extra_file:
         extras = [readers.jsonl(spark, p).withColumn("origin", T.base_name(F.lit(p), stem=True)) for p in a.extra_file]
         raw = expand.union_all([raw, *extras])
@@ -49,7 +51,13 @@ def responses(spark: SparkSession, a: argparse.Namespace):
 def evaluation(spark: SparkSession, a: argparse.Namespace) -> None:
     """The Markdown report of all models."""
     rows = responses(spark, a)
-    writers.markdown(evaluate.report(evaluate.metrics(rows.where("ood") if a.ood_only else rows)), a.report)
+    rows = rows.where("ood") if a.ood_only else rows
+    shown = sample.head_per_group(rows, "model", 5, F.col("q")).withColumn("ord", F.row_number().over(Window.partitionBy("model").orderBy("q")))
+    shown = shown.withColumn("outcome", evaluate.outcome(F.col("hit"), F.col("refused")))
+    judge = None
+    if a.judgements:
+        judge = evaluate.judge_mean(spark.read.schema("model string, q string, score int").json(a.judgements))
+    writers.markdown(spark, evaluate.report_text(evaluate.report(evaluate.metrics(rows), judge, shown)), a.report)
 
 
 def rft(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -77,6 +85,33 @@ def questions(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.jsonl(generators.math_questions(spark, a.num_questions, seed=a.seed), a.out)
 
 
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A service's answers to the prompts that try a model out."""
+    provider = generators.http_provider(os.environ[CHAT_URL], a.model, generators.credential("CHAT_API_KEY") or "", temperature=a.temperature, max_tokens=a.max_new_tokens)
+    writers.jsonl(generators.complete(catalog.prompts(spark), provider), a.out)
+
+
+def encode(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Texts as one stream of token ids in flat binary files, with a sidecar of totals."""
+    texts = spark.read.parquet(a.data_file).select(F.col(a.key).alias("key"), F.coalesce(a.text, F.lit("")).alias("text"))
+    spec = Path(a.tokenizer).read_text()
+    vocab = max(t["id"] for t in json.loads(spec)["added_tokens"] + [{"id": k} for k in json.loads(spec)["model"]["vocab"].values()]) + 1
+    scratch = f"{a.out}/_ids"
+    tokens.packed(tokens.bpe_encode(texts, spec), "ids", a.end).select("key", "ids").write.mode("overwrite").parquet(scratch)
+    ids = spark.read.parquet(scratch)
+    stream = tokens.with_offsets(ids, F.size("ids"), "key")
+    writers.token_file(tokens.blocks(stream, "ids", a.block), f"{a.out}/tokens", "<u2" if vocab <= 1 << 16 else "<u4")
+    writers.document(tokens.corpus_meta(ids, "ids", vocab, a.end, a.tokenizer), f"{a.out}/meta.json")
+
+
+def generated(spark: SparkSession, a: argparse.Namespace) -> None:
+    """How varied generated texts (JSONL of key, text) are: distinct-1 to distinct-3 over all of them."""
+    t = spark.read.schema("key long, text string").json(a.data_file).select("key", tokens.whitespace_tokens(F.col("text")).alias("w"))
+    t = tokens.with_offsets(t, F.size("w"), "key").cache()
+    lines = [f"distinct-{n}: {tokens.corpus_distinct_n(t, 'w', n).first().distinct_n:.4f}" for n in (1, 2, 3)]
+    writers.markdown(spark, "\n".join(lines), a.report)
+
+
 def scaling(spark: SparkSession, a: argparse.Namespace) -> None:
     """The scaling table of run logs."""
     runlog.scaling_table(readers.run_logs(spark, a.logs)).show(1000, truncate=False)
@@ -94,13 +129,16 @@ def parser() -> argparse.ArgumentParser:
 
     need = {"required": True}
     data, resp, out, seeds = ("--data-file", need), ("--responses", need), ("--out", need), ("--seeds", need)
-    command(build, seeds, out, ("--stats", need), ("--extra-file", {"action": "append", "default": []}), ("--dedup", {"choices": ["qa", "q"], "default": "qa"}), ("--brand", {"default": "本店"}))
+    command(build, ("--seeds", {}), out, ("--stats", need), ("--extra-file", {"action": "append", "default": []}), ("--dedup", {"choices": ["qa", "q"], "default": "qa"}))
     command(evolve, seeds, out, ("--sample", {"type": int, "default": 30}), ("--variants", {"type": int, "default": 3}), ("--model", need))
-    command(evaluation, data, resp, ("--report", need), ("--ood-only", {"action": "store_true"}), name="evaluate")
+    command(evaluation, data, resp, ("--report", need), ("--ood-only", {"action": "store_true"}), ("--judgements", {}), name="evaluate")
     command(rft, data, resp, out, ("--min-score", {"type": float, "default": 1.0}))
     command(pairs, data, resp, out)
     command(prompts, data, out, ("--ood-ratio", {"type": float, "default": 0.2}))
     command(questions, out, ("--num-questions", {"type": int, "default": 50}), ("--seed", {"default": "2026"}))
+    command(infer, out, ("--model", need), ("--temperature", {"type": float, "default": 0.7}), ("--max-new-tokens", {"type": int, "default": 256}))
+    command(encode, data, out, ("--tokenizer", need), ("--key", need), ("--text", {"default": "text"}), ("--end", {"type": int, "default": 0}), ("--block", {"type": int, "default": 1 << 20}))
+    command(generated, data, ("--report", need))
     command(scaling, ("--logs", need))
     return p
 

@@ -8,6 +8,8 @@ products are `part`; run logs are `events` (user_id is the run, event_id the ord
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -166,19 +168,19 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 # ---- expansion and sampling
 
 
-@query(f"WITH {PROD} SELECT ord, t.k AS tpl_id, replace(t.t, '{{name}}', name) AS q, concat(name, ' ', price::VARCHAR, ' 元一杯。') AS a, price::VARCHAR AS keyword FROM prod, (VALUES {_values(expand.PRICE)}) t(k, t)")
+@query(f"WITH {PROD} SELECT ord, t.k AS tpl_id, replace(t.t, '{{name}}', name) AS q, concat(name, ' ', price::VARCHAR, ' 元一杯。') AS a, price::VARCHAR AS keywords FROM prod, (VALUES {_values(expand.PRICE)}) t(k, t)")
 def price_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return expand.price_questions(products(spark, sf)).select("ord", "tpl_id", "q", "a", F.col("keywords")[0].alias("keyword"))
+    return expand.price_questions(products(spark, sf)).select("ord", "tpl_id", "q", "a", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query(f"WITH {PROD}, tag AS (SELECT ord, name, price, i - 1 AS tag_id, tags[i] AS tag FROM prod, (VALUES (1), (2)) n(i) WHERE i <= len(tags)) SELECT ord, tag_id, t.k AS tpl_id, replace(t.t, '{{tag}}', tag) AS q, concat('推荐', name, ',', price::VARCHAR, ' 元一杯。') AS a FROM tag, (VALUES {_values(expand.RECOMMEND)}) t(k, t)")
+@query(f"WITH {PROD}, tag AS (SELECT ord, name, price, i - 1 AS tag_id, tags[i] AS tag FROM prod, (VALUES (1), (2)) n(i) WHERE i <= len(tags)) SELECT ord, tag_id, t.k AS tpl_id, replace(t.t, '{{tag}}', tag) AS q, concat('推荐', name, ',', price::VARCHAR, ' 元一杯。') AS a, name AS keywords FROM tag, (VALUES {_values(expand.RECOMMEND)}) t(k, t)")
 def tag_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return expand.recommend_questions(products(spark, sf)).select("ord", "tag_id", "tpl_id", "q", "a")
+    return expand.recommend_questions(products(spark, sf)).select("ord", "tag_id", "tpl_id", "q", "a", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query(f"WITH {PROD} SELECT ord, t.k AS tpl_id, replace(t.t, '{{name}}', name) AS q, CASE WHEN t.k < 3 THEN concat('可以,', name, ' 可以选择糖度,包括无糖和半糖。') ELSE concat('可以,', name, ' 支持去冰;部分饮品可做热饮。') END AS a FROM prod, (VALUES {_values(expand.SUGAR + expand.ICE)}) t(k, t) WHERE ord < 4")
+@query(f"WITH {PROD} SELECT ord, t.k AS tpl_id, replace(t.t, '{{name}}', name) AS q, CASE WHEN t.k < 3 THEN concat('可以,', name, ' 可以选择糖度,包括无糖和半糖。') ELSE concat('可以,', name, ' 支持去冰;部分饮品可做热饮。') END AS a, CASE WHEN t.k < 3 THEN '无糖,半糖' ELSE '去冰' END AS keywords FROM prod, (VALUES {_values(expand.SUGAR + expand.ICE)}) t(k, t) WHERE ord < 4")
 def hot_customize(spark: SparkSession, sf: str) -> DataFrame:
-    return expand.customize_questions(products(spark, sf)).select("ord", "tpl_id", "q", "a")
+    return expand.customize_questions(products(spark, sf)).select("ord", "tpl_id", "q", "a", F.array_join("keywords", ",").alias("keywords"))
 
 
 @query(f"WITH {QA} SELECT qid, t.k AS prefix_id, replace(t.t, '{{q}}', q) AS q FROM qa, (VALUES {_values(expand.PARAPHRASE)}) t(k, t)")
@@ -186,10 +188,10 @@ def paraphrase(spark: SparkSession, sf: str) -> DataFrame:
     return expand.paraphrase(samples(spark, sf).select("qid", "q")).select("qid", "prefix_id", "q")
 
 
-@query("SELECT p_partkey AS ord, concat('加', p_name, '多少钱?') AS q, concat('加', p_name, '加 ', floor(p_retailprice)::INT::VARCHAR, ' 元。') AS a FROM part")
+@query("SELECT p_partkey AS ord, concat('加', p_name, '多少钱?') AS q, concat('加', p_name, '加 ', floor(p_retailprice)::INT::VARCHAR, ' 元。') AS a, floor(p_retailprice)::INT::VARCHAR AS keywords FROM part")
 def topping_templates(spark: SparkSession, sf: str) -> DataFrame:
     t = products(spark, sf).select((F.col("ord") + 1).alias("ord"), "name", "price")
-    return expand.topping_questions(t).select("ord", "q", "a")
+    return expand.topping_questions(t).select("ord", "q", "a", F.array_join("keywords", ",").alias("keywords"))
 
 
 @query(f"WITH {QA} SELECT origin, count(*) AS n, count(source) AS n_source FROM (SELECT q, 'conversations' AS origin, NULL AS source FROM qa UNION ALL SELECT text, 'benchmark', 'extra' FROM benchmark) GROUP BY origin")
@@ -386,11 +388,22 @@ def math_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.exact_match(t)
 
 
-@query(f"WITH {QA} SELECT l.qid, left(l.a, 100) AS first, left(r.a, 100) AS second FROM qa l JOIN qa r ON l.conv_id = r.conv_id AND l.turn < r.turn")
+SIDE = COMP + ", fs AS (SELECT l.qid, left(l.completion, 100) AS first, left(r.completion, 100) AS second FROM comp l JOIN comp r ON l.qid = r.qid AND l.k = 2 AND r.k = 4)"
+
+
+def answers(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The answers of one model: those at turn k."""
+    return completions(spark, sf).where(F.col("k") == k).select("qid", F.col("completion").alias("resp"))
+
+
+@query(f"WITH {SIDE} SELECT * FROM fs")
 def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
-    l = samples(spark, sf).select("conv_id", "turn", "qid", F.left("a", F.lit(100)).alias("first"))
-    r = samples(spark, sf).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.left("a", F.lit(100)).alias("second"))
-    return l.join(r, (F.col("conv_id") == F.col("c")) & (F.col("turn") < F.col("t"))).select("qid", "first", "second")
+    return evaluate.side_by_side(answers(spark, sf, 2), answers(spark, sf, 4))
+
+
+@query(f"WITH {SIDE} SELECT qid, '| ' || qid::VARCHAR || ' | ' || replace(first, chr(10), ' ') || ' | ' || replace(second, chr(10), ' ') || ' |' AS line FROM fs")
+def side_by_side_report(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.side_by_side_lines(side_by_side(spark, sf))
 
 
 @query(f"WITH {RESP} SELECT model, qid, left(resp, 120) AS resp, CASE WHEN refused THEN 'refused' WHEN hit THEN 'hit' ELSE 'miss' END AS outcome FROM resp QUALIFY row_number() OVER (PARTITION BY model ORDER BY qid, k) <= 5")
@@ -520,9 +533,14 @@ def mean_loss(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.mean_loss(read(spark, sf, "events"), "user_id", "value").select("user_id", F.round("mean_loss", 6).alias("mean_loss"), "n")
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors see; only in local mode may it be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -531,7 +549,7 @@ def stream_best_so_far(spark: SparkSession, sf: str) -> DataFrame:
     schema = read(spark, sf, "events").schema
     t = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
     t = t.where("value IS NOT NULL").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("ord"), F.col("value").alias("loss"))
-    return stream.replay(stream.running_best(t), _scratch(spark, "stream-out"), _scratch(spark, "stream-checkpoint"))
+    return stream.replay(stream.running_best(t), scratch(spark, "stream-out"), scratch(spark, "stream-checkpoint"))
 
 
 # ---- numeric kernels
@@ -607,3 +625,4 @@ def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
+from corpusloom.plans import kernels, storage  # noqa: E402, F401  (their queries are registered on import)

@@ -30,3 +30,23 @@ def test_from_seeds_to_reports(spark, tmp_path):
     assert len(lines(tmp_path / "prompts")) == 10
     main(["questions", "--num-questions", "7", "--out", at("math")], spark)
     assert len(lines(tmp_path / "math")) == 7
+    main(["build", "--out", at("own"), "--stats", at("own.json"), "--dedup", "q"], spark)
+    assert json.loads((tmp_path / "own.json").read_text())["final_count"] == 1250
+
+
+def test_encode_and_generated(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    at = lambda x: str(tmp_path / x)
+    texts = [f"story {k} of a fox" for k in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(at("texts"))
+    spec = public_tokenizers.path("byte_bpe_50k.json")
+    main(["encode", "--data-file", at("texts"), "--key", "id", "--tokenizer", spec, "--out", at("enc"), "--block", "16"], spark)
+    want = [x for t in texts for x in [*Tokenizer.from_file(spec).encode(t).ids, 0]]
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "enc" / "tokens").glob("part-*.bin")))
+    assert [int.from_bytes(raw[k : k + 2], "little") for k in range(0, len(raw), 2)] == want
+    assert json.loads((tmp_path / "enc" / "meta.json").read_text())["total_tokens"] == len(want)
+    (tmp_path / "gen.jsonl").write_text("\n".join(json.dumps({"key": k, "text": t}) for k, t in enumerate(["a b", "a b"])))
+    main(["generated", "--data-file", at("gen.jsonl"), "--report", at("gen.md")], spark)
+    assert "distinct-1: 0.5000" in (tmp_path / "gen.md").read_text()

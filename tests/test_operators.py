@@ -20,7 +20,7 @@ SEED_COUNTS = {"price": 10, "recommend": 9, "ood": 8, "customize": 5, "member":
 def corpus(spark):
     seeds = [(k, f"种子问题 {k} {i}?", f"种子答案 {k} {i}。", [str(i)], k == "ood") for k, n in SEED_COUNTS.items() for i in range(n)]
     s = spark.createDataFrame(seeds, "intent string, q string, a string, keywords array<string>, ood boolean")
-    raw = expand.expand(s, catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.refusals("店"))
+    raw = expand.expand(s, catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.REFUSALS)
     return raw.withColumn("ord", F.xxhash64("origin", "q", "a", "prefix_id"))
 
 
@@ -91,9 +91,55 @@ def test_split_sizes(spark, groups):
         assert {s: counts.get((g, s), 0) for s in want} == want
 
 
-def test_split_shuffles_once(spark):
+def test_a_stratum_is_dealt_to_many_groups(spark):
     df = clean.stratified_split(spark.range(100).withColumn("g", F.col("id") % 3), "g", F.col("id"))
-    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in x and "Window" in x]
+    assert windows and all("__bin" in x.split("windowspecdefinition")[1] for x in windows)
+    one = spark.range(2000).withColumn("g", F.lit(None).cast("string"))
+    got = {r.split: r["count"] for r in clean.stratified_split(one, "g", F.col("id")).groupBy("split").count().collect()}
+    assert got == {"train": 1600, "val": 200, "test": 200}
+
+
+def test_offsets_keep_every_row_of_many_partitions(spark):
+    wide = spark.range(300_000).select(F.col("id").alias("key"), F.repeat(F.md5(F.col("id").cast("string")), 24).alias("payload"), (F.col("id") % 5).alias("n")).repartition(230)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    t = tokens.with_offsets(wide, F.col("n"), "key", parts=300)
+    want = (F.floor(F.col("key") / 5) * 10 + F.element_at(F.array(*map(F.lit, (0, 0, 1, 3, 6))), (F.col("key") % 5 + 1).cast("int"))).cast("bigint")
+    r = t.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.count_if(F.col("start") != want).alias("wrong"), F.sum(F.length("payload")).alias("chars")).first()
+    assert (r.n, r["keys"], r.wrong, r.chars) == (300_000, 300_000, 0, 300_000 * 768)
+
+
+def test_offsets_of_odd_keys(spark):
+    rows = spark.createDataFrame([(None, 4), (5, 1), (-7, 2), (9, None)], "key long, n int")
+    assert {r.key: r.start for r in tokens.with_offsets(rows, F.col("n"), "key").collect()} == {None: 0, -7: 4, 5: 6, 9: 7}
+    assert tokens.with_offsets(rows.limit(0), F.col("n"), "key").count() == 0
+    assert tokens.with_offsets(rows, F.col("n"), "key", parts=1).count() == 4
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=7), min_size=1, max_size=8), st.integers(1, 3))
+@settings(max_examples=8, deadline=None)
+def test_corpus_distinct_n_crosses_rows(spark, texts, n):
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, w array<string>")
+    t = tokens.with_offsets(rows, F.size("w"), "key")
+    flat = [x for w in texts for x in w]
+    grams = [tuple(flat[i : i + n]) for i in range(len(flat) - n + 1)]
+    assert tokens.corpus_distinct_n(t, "w", n, block=4).first().distinct_n == (len(set(grams)) / len(grams) if grams else 0.0)
+
+
+def test_distinct_n_of_a_long_text(spark):
+    import time
+
+    words = [f"w{k % 1000}" if k % 3 else "a:1" for k in range(60_000)]
+    df = spark.createDataFrame([(words,), (["a"],), ([],), (["1", "1a", "11", "a"],)], "w array<string>")
+    began = time.time()
+    got = [r.d for r in df.select(A.distinct_n(F.col("w"), 2).alias("d")).collect()]
+    grams = list(zip(words, words[1:]))
+    assert got == [len(set(grams)) / len(grams), 0.0, 0.0, 1.0] and time.time() - began < 20
+
+
+def test_a_short_source_is_an_error(spark):
+    with pytest.raises(ValueError):
+        readers.first_stories(spark.range(3), 4, "id")
 
 
 def test_rebalance_uses_doubles(spark):
@@ -118,7 +164,7 @@ def test_metrics_on_no_rows_of_a_kind(spark):
     df = spark.createDataFrame([("m", "抱歉", ["a"], True), ("m", "好", ["a"], True)], "model string, resp string, keywords array<string>, ood boolean")
     r = evaluate.metrics(evaluate.judged(df)).first()
     assert (r.domain_acc, r.refusal_rate, r.overall_acc, r.miss_rate, r.avg_len, r.samples) == (0.0, 0.5, 0.5, 0.0, 1.5, 2)
-    assert "Best: m" in evaluate.report(evaluate.metrics(evaluate.judged(df)))
+    assert "Best: m (50.0%)" in evaluate.report_text(evaluate.report(evaluate.metrics(evaluate.judged(df))))
     assert evaluate.judge_mean(spark.createDataFrame([], "model string, score int")).count() == 0
 
 
@@ -193,9 +239,13 @@ def test_files(spark, tmp_path, monkeypatch):
     writers.document(rows, str(tmp_path / "d.json"))
     assert readers.sidecar(spark, str(tmp_path / "d.json")).first().q == "问?"
     (tmp_path / "t.bin").write_bytes(bytes([1, 0, 2, 1]))
-    assert readers.token_file(spark, str(tmp_path / "t.bin")).first().ids == [1, 258]
-    blocks = spark.createDataFrame([(0, [1, 258])], "block_id long, ids array<int>")
-    assert bytes(writers.token_bytes(blocks).first().data) == bytes([1, 0, 2, 1])
+    assert readers.token_file(spark, str(tmp_path / "t.bin"), 8).first().ids == [1, 258]
+    blocks = spark.createDataFrame([(k, [k, 258, 65535]) for k in range(50)], "block_id long, ids array<int>")
+    assert writers.token_file(blocks, str(tmp_path / "stream")) == 150
+    files = sorted((tmp_path / "stream").glob("part-*.bin"))
+    assert b"".join(f.read_bytes() for f in files) == b"".join(x.to_bytes(2, "little") for k in range(50) for x in (k, 258, 65535))
+    back = readers.token_file(spark, str(tmp_path / "stream"), 4).orderBy("path", "start").collect()
+    assert [x for r in back for x in r.ids] == [x for k in range(50) for x in (k, 258, 65535)] and max(len(r.ids) for r in back) == 4
     (tmp_path / ".env").write_text("A_KEY='v1'\n")
     assert generators.credential("A_KEY", str(tmp_path / ".env")) == "v1" and generators.credential("NONE", str(tmp_path / "x")) is None
     assert readers.first_rows(extra, 0, "q").count() == 1
