@@ -17,7 +17,9 @@ columns are ignored.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import lean, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The patterns' kinds, and what only the field finds.
+KINDS, FOUND = ("email", "ip", "card", "phone"), ("secret",)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Where the three numeric patterns can match: one alphabet, from a digit or a plus on.
@@ -48,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(s: str) -> bool:
+    """Whether a run of digits, however long, is a number up to 255."""
+    s = s.lstrip("0")
+    return len(s) < 3 or (len(s) == 3 and s <= "255")
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -72,7 +81,7 @@ def base_spans(t: str) -> list[Span]:
         lo, hi = zone.span()
         if hi - lo < 7:  # no pattern is shorter
             continue
-        out += [(*m.span(), "ip") for m in _IP.finditer(t, lo, hi) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [(*m.span(), "ip") for m in _IP.finditer(t, lo, hi) if all(octet(x) for x in m[0].split("."))]
         for m in _CARD.finditer(t, lo, hi):
             d = digits_of(m[0])
             if 14 <= len(d) <= 19 and luhn(d):
@@ -82,7 +91,7 @@ def base_spans(t: str) -> list[Span]:
 
 
 def ordered(spans: list[Span]) -> list[Span]:
-    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(spans, key=lambda s: (s[0], (*KINDS, *FOUND).index(s[2]), s[1]))
 
 
 def joined(spans: list[Span]) -> str:
@@ -113,6 +122,23 @@ TABLE = (
     "server {ip:10.0.0.12} is down since 2021",
     "from {ip:192.168.1.77} to {ip:172.16.0.9} in 20 ms",
     "host {ip:8.8.8.8} answered 3 of 4 packets",
+    "card {card:5100293847561024} was declined",
+    "we saw {card:8834410927365510} there",
+    "over {card:2718281828459046} and on",
+    "The number {card:4929384756102930}. It failed",
+    "and {card:1414213562373096} with the rest",
+    'token = "{secret:3f9ac47e01d2b58c66e0f7a9914cd82b5507ea13}" in the log',
+    'Token = "{secret:c0ffee19d4a27b3e8856f1029adbe47750cc6e92}".',
+    "api key: {secret:sk3J9fQ2mX7pLw81TzVb64} do not share",
+    'password = "{secret:hunter2zebra77lamp91}" works',
+    "auth {secret:Bq7T0xYw2PzM49LkDs83} expires soon",
+    "commit 7d3f9a1c22e84b6f90ab31cd55e07f18a2b4c6d8 mends it",
+    "build 20190417a3f8c2d1e4b5 of the day",
+    "id 550e8400e29b41d4a716446655440000 of the row",
+    "part no. 4500012345678901234567 of 3",
+    "account 12345678901 was closed in 2011",
+    "tracking 993482 0021 7743 left the hub",
+    "under the license, version 3.",
     "they met at 5 and left at 7",
     "in 1998 there were 120 of them, in 2004 only 85",
     "chapter 3.1.2 describes version 2.4.1 of it",
@@ -130,11 +156,15 @@ TABLE = (
     "population 3 645 000 in 2019",
     "the ratio was 3 to 1 or 0.75",
 )
-LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
+LABELS = ("O", *(f"{b}-{k}" for k in (*KINDS, *FOUND) for b in "BI"))
 BITS, CONTEXT, EPOCHS, RATE, RIDGE = 13, 5, 120, 0.05, 2e-3
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+#: Tokens of a window and how many at its inner ends only give context; weights gathered at once, in tokens.
+WINDOW, EDGE, TOKENS = 256, 32, 1 << 14
+# A long run of letters and digits mixed is one token.
+_TOKEN = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}|[^\W\d_]+|[0-9]+|\S")
+REACH = 48
 _SEED = re.compile(r"[0-9@]|[\[(]at[\])]| dot ", re.I)
-_CUES = frozenset("call tel fax phone mobile dial number mail write send contact card pay server host from at dot reach address office no".split())
+_CUES = frozenset("call tel fax phone mobile dial number mail write send contact card pay server host from at dot reach address office no token key secret password auth commit build id account".split())
 
 
 def tokens(t: str, lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
@@ -144,7 +174,9 @@ def tokens(t: str, lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
 def shape(w: str) -> str:
     """Digits and their number, letters' cases, or the mark itself."""
     if w.isdigit():
-        return f"d{min(len(w), 9)}"
+        return f"d{min(len(w), 20)}"
+    if len(w) > 1 and not w.isalpha():
+        return "mixed"
     if w[0].isalpha():
         return ("a" if w.islower() else "A" if w.isupper() else "Aa") + ("+" if len(w) > 3 else "")
     return w
@@ -258,52 +290,83 @@ def fit(rows: Iterable[str] = TABLE) -> tuple[np.ndarray, np.ndarray]:
     return w.astype(np.float32), trans.astype(np.float32)
 
 
-def zones(t: str) -> list[tuple[list[tuple[int, int]], str]]:
-    """Token spans of the stretches around digits and at-signs."""
+def zones(t: str) -> list[list[tuple[int, int]]]:
+    """Token spans of the stretches around digits and at-signs, which begin and end between words where these aren't very long."""
     out: list[list[int]] = []
     for m in _SEED.finditer(t):
-        lo, hi = max(0, m.start() - 48), min(len(t), m.end() + 48)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
+        if out and m.start() - REACH <= out[-1][1]:
+            out[-1][1] = min(len(t), m.end() + REACH)
         else:
-            out.append([lo, hi])
+            out.append([max(0, m.start() - REACH), min(len(t), m.end() + REACH)])
+    for z in out:
+        for _ in range(REACH):
+            z[0] -= z[0] > 0 and t[z[0] - 1].isalnum()
+            z[1] += z[1] < len(t) and t[z[1]].isalnum()
     return [tokens(t, a, z) for a, z in out]
 
 
+def windows(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, end, from, to) of the windows of n tokens: labels of tokens `from` to `to` - 1 are taken from the window first to end - 1."""
+    if n <= WINDOW:
+        yield 0, n, 0, n
+        return
+    step = WINDOW - 2 * EDGE
+    for at in range(0, n, step):
+        yield max(0, at - EDGE), min(n, at + step + EDGE), at, min(n, at + step)
+
+
 def acceptable(s: str, kind: str) -> bool:
     """The exact check of a span that the field proposes."""
     d = digits_of(s)
     if kind == "phone":
         return 9 <= len(d) <= 15 and not re.fullmatch(r"[0-9]+(\.[0-9]+)?", s) and s.count(" ") <= 6 and bool(re.fullmatch(r"[+0-9 ().-]+", s))
-    if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
+    if kind == "card":  # a number of sixteen digits may have been mistyped
+        return (13 <= len(d) <= 19 and luhn(d)) or (len(d) == 16 and bool(re.fullmatch(r"[0-9](?:[ -]?[0-9])+", s)))
+    if kind == "secret":
+        return 16 <= len(s) <= 200 and s.isascii() and s.isalnum() and bool(d) and not s.isdigit()
     if kind == "ip":
         return False  # every address is a pattern's
     return bool(re.fullmatch(r"[\w.+-]+ ?(?:@|[\[(]at[\])]| at ) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]| dot ) ?[\w-]+)*", s, re.I)) and ("@" in s or re.search(r"\bdot\b|\.\w", s, re.I) is not None)
 
 
-def added_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str], base: list[list[Span]], batch: int = 256) -> list[list[Span]]:
-    """What the field adds to the patterns' spans of each text."""
+def added_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str], base: list[list[Span]], most: int = TOKENS) -> list[list[Span]]:
+    """What the field adds to the patterns' spans of each text.
+
+    Long zones are labelled in overlapping windows, and windows are decoded in batches of at
+    most `most` padded tokens: memory doesn't depend on how long a text is.
+    """
     w, trans = model
     todo = [(k, ts) for k, t in enumerate(texts) for ts in (zones(t) if _SEED.search(t) else ()) if ts]
+    parts = sorted(((z, part) for z, (_, ts) in enumerate(todo) for part in windows(len(ts))), key=lambda x: x[1][1] - x[1][0])
+    labels = [np.zeros(len(ts), np.int8) for _, ts in todo]
+    at = 0
+    while at < len(parts):
+        end = at + 1
+        while end < len(parts) and (end + 1 - at) * (parts[end][1][1] - parts[end][1][0]) <= most:
+            end += 1
+        rows = []
+        for z, (a, e, _, _) in parts[at:end]:
+            k, ts = todo[z]
+            rows.append(token_features(texts[k], ts[a:e]))
+        f, size = padded(rows)
+        for (z, (a, _, lo, hi)), row in zip(parts[at:end], viterbi(w[f].sum(2), size, trans), strict=True):
+            labels[z][lo:hi] = row[lo - a : hi - a]
+        at = end
     out: list[list[Span]] = [[] for _ in texts]
-    todo.sort(key=lambda x: len(x[1]))
-    for lo in range(0, len(todo), batch):
-        part = todo[lo : lo + batch]
-        f, size = padded([token_features(texts[k], ts) for k, ts in part])
-        labels = viterbi(w[f].sum(2), size, trans)
-        for (k, ts), row in zip(part, labels.tolist(), strict=True):
-            j = 0
-            while j < len(ts):
-                name = LABELS[row[j]]
-                z = j + 1
-                if name != "O":
-                    while z < len(ts) and LABELS[row[z]] == "I-" + name[2:]:
-                        z += 1
-                    a, b = ts[j][0], ts[z - 1][1]
-                    if acceptable(texts[k][a:b], name[2:]) and not any(a < y and x < b for x, y, _ in base[k]):
-                        out[k].append((a, b, name[2:]))
-                j = z
+    for (k, ts), row in zip(todo, labels, strict=True):
+        j, names = 0, row.tolist()
+        taken = sorted((x, y) for x, y, _ in base[k])
+        ends = list(itertools.accumulate((y for _, y in taken), max))  # the farthest end of the spans so far
+        while j < len(ts):
+            name, z = LABELS[names[j]], j + 1
+            if name != "O":
+                while z < len(ts) and LABELS[names[z]] == "I-" + name[2:]:
+                    z += 1
+                a, b = ts[j][0], ts[z - 1][1]
+                before = bisect.bisect_left(taken, (b, b))  # spans that begin before this one ends
+                if acceptable(texts[k][a:b], name[2:]) and not (before and ends[before - 1] > a):
+                    out[k].append((a, b, name[2:]))
+            j = z
     return out
 
 
