@@ -8,9 +8,10 @@ window and are skipped before the automaton sees them.
 
 `clean` removes the hit spans and drops documents of which too much was hit.
 
-The items are collected in shards of at most MAX_ITEM_CHARS characters, each of which is
-one automaton on the executors; with more than one shard the documents are streamed once
-per shard, in one chain of narrow passes, so the items may grow without bound.
+The items are read in shards of at most MAX_ITEM_CHARS characters, each of which is broadcast
+and is one automaton in each worker.  With more than one shard the documents are streamed
+once per shard, in one chain of narrow passes: the driver and every worker hold all shards,
+so the items are meant to be a benchmark's, some hundred megabytes at most.
 
 Defined results: a null or empty text has no words and no hits; null items are ignored, an
 item id that repeats counts once for all its texts, null ids are left out of the list of
@@ -20,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, table
+from .hashing import kept
 
 WINDOW = 10
 MAX_ITEM_CHARS = 1 << 20
@@ -188,23 +191,29 @@ def item_shards(items: DataFrame, max_chars: int = MAX_ITEM_CHARS) -> Iterator[l
         yield held
 
 
-def _passes(rows: DataFrame, items: DataFrame, window: int, max_item_chars: int) -> DataFrame:
-    """Adds spans and items to rows, one narrow pass for each shard of the items: nothing is shuffled."""
+def _passes(rows: DataFrame, at: int, items: DataFrame, window: int, max_item_chars: int) -> DataFrame:
+    """row (a struct of all columns of rows), spans and items; column `at` is the text.  One narrow pass for each shard of the items: nothing is shuffled.
+
+    A shard is broadcast, and its automaton is built once in each worker.
+    """
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    out = rows.selectExpr("*", "cast(array() AS array<struct<a:int,b:int>>) AS __spans", "cast(array() AS array<string>) AS __items")
+    out = rows.select(F.struct(*(rows[c] for c in rows.columns)).alias("row"), F.expr("cast(array() AS array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
 
     def scan(df: DataFrame, shard: list[tuple[str, list[bytes]]]) -> DataFrame:
-        at = df.columns.index("__text")
+        sent, name = df.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shard, window)
+            held = kept()
+            if held.get("matcher", (None,))[0] != name:
+                held["matcher"] = (name, Matcher(sent.value, window))
+            m = held["matcher"][1]
             for b in batches:
                 spans, found = [], []
-                for t, s0, i0 in zip(b.column(at), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                for t, s0, i0 in zip(b.column(0).field(at), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     s, i = m.hits(words(t.as_py()))
                     spans.append([{"a": x, "b": y} for x, y in merged(s + [(z["a"], z["b"]) for z in s0])])
                     found.append(sorted({x for x in i if x is not None}.union(i0)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], names=["row", "spans", "items"])
 
         return df.mapInArrow(lean(run), df.schema)
 
@@ -215,8 +224,7 @@ def _passes(rows: DataFrame, items: DataFrame, window: int, max_item_chars: int)
 
 def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """doc_id, text, spans (array of struct a, b: words a to b - 1 are hit), items (sorted ids) of every row of docs (doc_id, text)."""
-    found = _passes(docs.select("doc_id", F.col("text").alias("__text")), items, window, max_item_chars)
-    return found.select("doc_id", F.col("__text").alias("text"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    return _passes(docs.select("doc_id", "text"), 1, items, window, max_item_chars).select("row.doc_id", "row.text", "spans", "items")
 
 
 def digest(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
@@ -251,24 +259,23 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """docs (all its columns) without the hit spans of min_span words or more; documents of which more than
     max_coverage of the words is hit are dropped.  n_chars, where there is one, follows the text."""
-    found = _passes(docs.withColumn("__text", F.col("text")), items, window, max_item_chars)
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    found = _passes(docs, at, items, window, max_item_chars)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, texts = [], b.column(at).to_pylist()
-            for k, s in enumerate(b.column(b.num_columns - 2).to_pylist()):
+            keep, texts, spanned = [], b.column(0).field(at).to_pylist(), b.column(1).to_pylist()
+            for k, s in enumerate(spanned):
                 spans = [(x["a"], x["b"]) for x in s if x["b"] - x["a"] >= min_span]
                 n = sum(y - x for x, y in spans)
                 if not n or n <= max_coverage * len(words(texts[k])):
                     keep.append(k)
                     texts[k] = without(texts[k], spans) if n else texts[k]
-            cols = [c.take(pa.array(keep, pa.int64())) for c in b.columns[: len(names)]]
+            cols = [c.take(pa.array(keep, pa.int64())) for c in b.column(0).flatten()]
             cols[at] = pa.array([texts[k] for k in keep], pa.string())
             if size is not None:
                 old = cols[size].to_pylist()
-                spanned = b.column(b.num_columns - 2).to_pylist()
                 cols[size] = pa.array([len(texts[k]) if spanned[k] else o for k, o in zip(keep, old, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

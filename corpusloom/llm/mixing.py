@@ -66,13 +66,15 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeat: i
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs, all its columns, as many times as its plan says."""
-    plan = source_targets(docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size")), weights=options.get("weights", WEIGHTS), max_repeat=options.get("max_repeat", MAX_REPEAT))
+    """The mix itself: each row of docs, all its columns whatever their names, as many times as its plan says."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    source = F.col("row.source")
+    plan = source_targets(rows.groupBy(source.alias("source")).agg(F.sum(word_count(F.col("row.text"))).alias("source_size")), weights=options.get("weights", WEIGHTS), max_repeat=options.get("max_repeat", MAX_REPEAT))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    by = plan.select(F.col("source").alias("__of"), rate.alias("__rate"))
-    copies = F.floor("__rate") + (unit_hash(options.get("seed", SEED), docs["doc_id"]) < F.col("__rate") - F.floor("__rate")).cast("int")
-    out = docs.join(by, docs["source"].eqNullSafe(F.col("__of")), "left").withColumn("__n", copies.cast("int"))
-    return out.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*(docs[c] for c in docs.columns))
+    by = plan.select(F.col("source").alias("of"), rate.alias("rate"))
+    copies = F.floor("rate") + (unit_hash(options.get("seed", SEED), F.col("row.doc_id")) < F.col("rate") - F.floor("rate")).cast("int")
+    out = rows.join(by, source.eqNullSafe(F.col("of")), "left").select("row", copies.cast("int").alias("n"))
+    return out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def test_clean_removes_spans_and_drops_leaks(spark):
     item = " ".join(f"w{k}" for k in range(30))
     it = spark.createDataFrame([(1, item)], "item_id long, text string")
     rows = [(1, PROSE + ". " + item.upper() + "! Then " + PROSE + " and more of it"), (2, item), (3, PROSE), (4, None), (5, ""), (None, PROSE)]
-    d = docs(spark, rows).withColumn("spans", F.lit(1))
+    d = docs(spark, rows).withColumns({c: F.lit(1) for c in ("spans", "items", "row", "__text", "__spans", "__items")})
     out = dc.clean(d, it)
     assert out.schema == d.schema
     got = {r.doc_id: r for r in out.collect()}

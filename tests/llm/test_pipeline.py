@@ -4,11 +4,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from corpusloom.llm import mixing, token_files, toxicity
 from corpusloom.llm.common import materialize
 
+from .cases import PROSE, docs, odd_texts
 from .test_decontaminate import brute as brute_hits
 from .test_ngram_join import brute as brute_links
 
@@ -37,8 +41,8 @@ def test_stages(spark):
         assert (r.text == before[r.doc_id]) == (not hits[r.doc_id][4]) and r.n_chars == len(r.text)
     copies = {r.doc_id: r.copies for r in mixing.mix_plan(tables[3]).collect()}
     assert Counter(r.doc_id for r in rows[4]) == +Counter(copies)
-    encoder = token_files.Encoder(open(token_files.default_tokenizer()).read())
-    ids = [(r.doc_id, np.array([*encoder.tokenizer.encode(r.text, add_special_tokens=False).ids, 0], "<u4")) for r in rows[4]]
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    ids = [(r.doc_id, np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 0], "<u4")) for r in rows[4]]
     got = cp.STAGES[-1][1](spark, tables[4], SF).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
     at = 0
@@ -46,3 +50,24 @@ def test_stages(spark):
         assert r.start == at
         at += r.n_tokens
     assert cp.run(spark, SF).count() == len(got)
+
+
+NAMES = ("row", "copy", "n", "of", "rate", "spans", "items", "key", "salt", "component", "least", "__text", "__spans", "__n", "__of", "score", "size", "source_size", "bucket", "data")
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_take_odd_rows_and_clashing_names(spark, name, stage):
+    rows = [*odd_texts(), (4, PROSE), (50, "long " * 30_000)]
+    d = docs(spark, rows).withColumns({c: F.lit(f"own {c}") for c in NAMES})
+    for given in (d, d.limit(0), docs(spark, [(1, None)])):
+        out = stage(spark, given, SF)
+        got = out.collect()
+        if name == "token_files":
+            assert len(got) == given.count()
+            continue
+        assert out.columns == given.columns
+        if given is d:
+            assert got and all(r[c] == f"own {c}" for r in got for c in NAMES)
+            assert {r.doc_id for r in got} <= {i for i, _ in rows}
+        elif given.count() == 0:
+            assert got == []
