@@ -44,8 +44,8 @@ SHINGLE, PERCENT = 5, 75
 #: Similar sets must share so many shingles within their prefixes: at least LEVEL, or one in SHARE of the set.
 LEVEL, SHARE = 8, 8
 ORDERS = (0, 0x5851F42D4C957F2D)
-#: Members of a verification task; prefix entries of a bucket.
-BLOCK, BUCKET = 4096, 1 << 20
+#: Tasks that a component's classes are dealt to; members of a verification task; prefix entries of a bucket.
+SALT, BLOCK, BUCKET = 64, 4096, 1 << 20
 #: A stretch of so many shingles reports those it holds this often; at most HOT_MAX are put last: 8 bytes each are broadcast.
 STRETCH, HOT_LOCAL, HOT_MAX = 3 << 19, 2, 200_000
 #: Tables of ids of up to so many rows (32 bytes each at most) are joined by a broadcast; beyond, by a shuffle.
@@ -330,10 +330,19 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     # Rows with one doc_id are one document: their classes are linked.
     many = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
     same = many.join(rows.select("doc_id", F.col("key").alias("b")), "doc_id").where("a <> b").select("a", "b")
-    roots = components(links.unionByName(same))
-    named = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "key")
+    roots = components(links.unionByName(same)).withColumnRenamed("node", "key")
+    # Per class its copies' least id, then per component its classes' least: one row a class is joined, never one a document.
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    linked = roots.union(roots.select(F.col("root").alias("key"), "root").distinct()).join(classes, "key")
+    salts = F.sequence(F.lit(0), F.lit(SALT - 1))  # a large component's classes are dealt to SALT tasks
+    of = linked.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(salts))
+    salted = linked.select("key", "root", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt"))
+    named = salted.join(of, ["root", "salt"]).select("key", "component")
+    copied = classes.where("copies > 1").join(linked.select("key"), "key", "left_anti").select("key", F.col("least").alias("component"))
+    # Only groups of two or more are named; adaptive execution splits a hot key where they are too many to be broadcast.
+    named = materialize(named.union(copied), "components")
+    out = rows.join(_small(named), "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "key")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
