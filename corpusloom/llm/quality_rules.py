@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds (operator 8), in DataFrame functions only.
 
-Each rule rejects a text whose metric exceeds a cutoff.  Cutoffs come from fixed
-grids.  On labelled good documents the number that a cutoff rejects is binomial; a
-cutoff is certified in a stratum if the exact lower tail P(X <= rejected) under a false
-rejection rate of ``alpha`` is at most ``delta`` divided by the number of all
-(rule, cutoff, stratum) tests.  The tightest certified cutoff of each rule holds; a rule
-without one is off, so that few labels mean few rejections, never wrong ones.
+Each rule rejects a text whose metric exceeds a cutoff.  The cutoffs of all rules form
+levels, from loose to tight, each of which rejects whatever the one before rejects.  On
+labelled good documents the number that a level's rules together reject is binomial; a
+level is certified in a stratum if the exact lower tail P(X <= rejected) under a false
+rejection rate of ``alpha`` is at most ``delta`` divided by the number of strata, and so is
+every looser level: the levels of a stratum are tested in that fixed order up to the first
+failure, which needs no further correction.  So with probability 1 - delta no stratum
+loses more than alpha of its good documents to all rules together.  The tightest certified
+level of a stratum holds; without one the rules are off there, so that few labels mean few
+rejections, never wrong ones.
 
 Strata are bands of word counts: four rows at most, which is what is broadcast.
 Features are computed once for every document and kept in shared storage without text.
@@ -17,7 +21,7 @@ repeated label counts once (good only if all its rows say so); extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANK, materialize, table
@@ -25,16 +29,17 @@ from .common import BLANK, materialize, table
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Lower ends of the strata, in words.
 BANDS = (0, 100, 400, 1600)
-#: Rule: (metric, cutoffs from tight to loose).
+#: Rule: cutoffs of the levels, from loose to tight.  The tight ends are usual values of web corpora.
 GRIDS = {
-    "symbols": (0.05, 0.1, 0.2, 0.3, 0.5, 1.0),
-    "bangs": (0.05, 0.1, 0.2, 0.3, 0.5, 1.0),
-    "capitals": (0.1, 0.2, 0.3, 0.5, 0.7, 0.9),
-    "dup_lines": (0.05, 0.1, 0.2, 0.3, 0.5, 0.7),
-    "repeats": (0.02, 0.05, 0.1, 0.15, 0.18, 0.2),
+    "symbols": (1.0, 0.5, 0.3, 0.2, 0.15, 0.1),
+    "bangs": (1.0, 0.5, 0.3, 0.2, 0.15, 0.1),
+    "capitals": (0.9, 0.7, 0.5, 0.4, 0.35, 0.3),
+    "dup_lines": (0.7, 0.6, 0.5, 0.4, 0.35, 0.3),
+    "repeats": (0.2, 0.19, 0.18, 0.17, 0.16, 0.15),
 }
-#: False rejection rate for each rule and confidence for all tests together.
-ALPHA, DELTA = 0.004, 0.1
+LEVELS = 6
+#: False rejection rate of all rules in a stratum, and the probability that any stratum exceeds it.
+ALPHA, DELTA = 0.03, 0.1
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -94,15 +99,23 @@ def log_tail(n: str, r: str, alpha: float) -> str:
     return f"CASE WHEN {r} >= {n} * {alpha}D THEN 0D WHEN {r} = 0 THEN {first} ELSE {more} END"
 
 
+def rejected_at(level: int) -> Column:
+    """Whether any rule rejects a row of metrics at a level."""
+    out = F.lit(False)
+    for rule, cuts in GRIDS.items():
+        out = out | (F.col(rule) > cuts[level])
+    return out
+
+
 def calibrate(labelled: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and one cut_<rule> each, null where none is certified.  labelled: metrics of good documents."""
-    tests = len(BANDS) * sum(map(len, GRIDS.values()))
-    counts = [F.count_if(F.col(rule) > c).alias(f"{rule}_{k}") for rule, grid in GRIDS.items() for k, c in enumerate(grid)]
+    """stratum and level, the tightest certified one; strata without one are left out.  labelled: metrics of good documents.
+
+    Levels are nested, so their tails grow with the level: those certified are the first ones.
+    """
+    counts = [F.count_if(rejected_at(k)).alias(f"r{k}") for k in range(LEVELS)]
     t = labelled.where("NOT base_failed").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    return t.select("stratum", *(
-        F.least(*(F.when(F.expr(log_tail("n", f"{rule}_{k}", alpha)) <= F.log(F.lit(delta / tests)), c) for k, c in enumerate(grid))).alias(f"cut_{rule}")
-        for rule, grid in GRIDS.items()
-    ))
+    certified = [F.when(F.expr(log_tail("n", f"r{k}", alpha)) <= F.log(F.lit(delta / len(BANDS))), k) for k in range(LEVELS)]
+    return t.select("stratum", F.greatest(*certified).alias("level")).where("level IS NOT NULL")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -113,11 +126,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, del
     feats = metrics(materialize(features(docs), "rule-features"))
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = known.where(F.col("quality") == 1).select("doc_id")
-    cuts = F.broadcast(calibrate(feats.join(good, "doc_id", "left_semi"), alpha=alpha, delta=delta))
+    levels = F.broadcast(calibrate(feats.join(good, "doc_id", "left_semi"), alpha=alpha, delta=delta))
     rejected = F.lit(False)
-    for rule in GRIDS:
-        rejected = rejected | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return feats.join(cuts, "stratum", "left").select(
+    for k in range(LEVELS):
+        rejected = F.when(F.col("level") == k, rejected_at(k)).otherwise(rejected)
+    return feats.join(levels, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept")
     )
 
@@ -146,16 +159,19 @@ f AS (
          [n_symbols / greatest(n_words, 1)::DOUBLE, n_bangs / greatest(n_words, 1)::DOUBLE, n_capitals / greatest(word_chars, 1)::DOUBLE,
           n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE] AS metrics
   FROM f
-), grid(rule, cut) AS (
-  SELECT rule, unnest(cuts) FROM (VALUES (1, [0.05, 0.1, 0.2, 0.3, 0.5, 1.0]), (2, [0.05, 0.1, 0.2, 0.3, 0.5, 1.0]), (3, [0.1, 0.2, 0.3, 0.5, 0.7, 0.9]),
-    (4, [0.05, 0.1, 0.2, 0.3, 0.5, 0.7]), (5, [0.02, 0.05, 0.1, 0.15, 0.18, 0.2])) v(rule, cuts)
+), lv(level, c) AS (
+  VALUES (0, [1.0, 1.0, 0.9, 0.7, 0.2]::DOUBLE[]), (1, [0.5, 0.5, 0.7, 0.6, 0.19]::DOUBLE[]), (2, [0.3, 0.3, 0.5, 0.5, 0.18]::DOUBLE[]),
+    (3, [0.2, 0.2, 0.4, 0.4, 0.17]::DOUBLE[]), (4, [0.15, 0.15, 0.35, 0.35, 0.16]::DOUBLE[]), (5, [0.1, 0.1, 0.3, 0.3, 0.15]::DOUBLE[])
 ), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-c AS (
-  SELECT stratum, rule, cut, count(*) AS n, count_if(metrics[rule] > cut::DOUBLE)::BIGINT AS r FROM m JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY stratum, rule, cut
+x AS (
+  SELECT doc_id, stratum, base_failed, level,
+         metrics[1] > c[1] OR metrics[2] > c[2] OR metrics[3] > c[3] OR metrics[4] > c[4] OR metrics[5] > c[5] AS rejected FROM m, lv
+), c AS (
+  SELECT stratum, level, count(*) AS n, count_if(rejected)::BIGINT AS r FROM x JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum, level
 ), tail AS (
-  SELECT stratum, rule, cut,
-    CASE WHEN r >= n * 0.004::DOUBLE THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.004::DOUBLE) + (n - k) * ln(1 - 0.004::DOUBLE)) for k in range(0, r + 1)]) END AS p FROM c
-), cuts AS (SELECT stratum, rule, min(cut)::DOUBLE AS cut FROM tail WHERE p <= 0.1::DOUBLE / (4 * 30) GROUP BY stratum, rule),
-bad AS (SELECT DISTINCT doc_id FROM m JOIN cuts USING (stratum) WHERE metrics[rule] > cut)
+  SELECT stratum, level,
+    CASE WHEN r >= n * 0.03::DOUBLE THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.03::DOUBLE) + (n - k) * ln(1 - 0.03::DOUBLE)) for k in range(0, r + 1)]) END AS p FROM c
+), held AS (SELECT stratum, max(level) AS level FROM tail WHERE p <= 0.1::DOUBLE / 4 GROUP BY stratum),
+bad AS (SELECT DISTINCT doc_id FROM x JOIN held USING (stratum, level) WHERE rejected)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM m LEFT JOIN bad USING (doc_id)
 """

@@ -6,10 +6,10 @@ mean of a suffix is the prior mean of its domains, that of a domain the prior me
 of its hosts.  The strength of each prior is estimated from the data by moments.
 A page is kept when the lower posterior bound of its host reaches the cutoff.
 
-Approximation: a registered domain is the last two labels of a host and a suffix its last
-label, as the SQL defines them.  Sites under a suffix of several labels (``a.co.uk``,
-``b.co.uk``) thus share one domain, and IP hosts give domains such as ``0.1``; verdicts of
-such hosts with few labels may differ from those under a list of public suffixes.
+Suffixes: the last label of a host, or the last two where the last one has two letters (a
+country) and the one before is among SECOND_LEVEL, as in ``co.uk``; a registered domain is
+one label more.  IP hosts are domains of their own under the suffix ``ip``.  This is a rule,
+not a list of all public suffixes: hosting sites such as ``x.github.io`` are one domain.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
 is judged by the empty suffix; repeated rows are judged alike; a label that repeats
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 #: (verdict, host, path): a rule fits its host, all subdomains, and paths that start with its path.
 RULES = (
@@ -35,6 +35,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 CUTOFF, Z, DEFAULT_MEAN = 0.5, 1.645, 0.5
+#: Labels that stand for registries below a country's suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 #: Limits of the intra-class correlation rho; a prior is worth 1 / rho - 1 outcomes.
 RHO_MIN, RHO_MAX = 0.001, 0.5
 
@@ -47,6 +49,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    numeric = F.rlike(bare, F.lit(r"^[0-9.]+$")) | F.rlike(bare, F.lit(r"^\[|:"))
+    deep = F.rlike(bare, F.lit(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$"))
+    suffix = F.when(numeric, "ip").when(deep, F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+    return suffix, F.when(numeric, bare).when(deep, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
     rule = verdict = None
@@ -76,8 +86,10 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = Z, defa
     seen = outcomes.select("page_id", F.col("good").cast("int").alias("good")).dropna().groupBy("page_id").agg(F.max("good").alias("good"))
     labelled = pages.select("page_id", url_parts(F.col("url"))[0].alias("host")).join(seen, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    bare = F.regexp_replace(F.col("host"), r":[0-9]*$", "")
-    hosts = hosts.withColumn("domain", F.substring_index(bare, ".", -2)).withColumn("suffix", F.substring_index(bare, ".", -1))
+    # What follows is over hosts, of which each level's strength needs a pass: they are counted once.
+    hosts = materialize(hosts, "hosts")
+    suffix, domain = suffix_and_domain(F.col("host"))
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     top = suffixes.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(default_mean)).alias("top_mean")).withColumn("one", F.lit(1))
@@ -107,8 +119,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good")))
+    # A page is good if the document with its id is of quality and not toxic.
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return judge_urls(table(spark, sf_dir, "pages"), labels)
 
 
 SQL = r"""
@@ -120,12 +134,14 @@ WITH parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path
   FROM parts
 ), seen AS (
-  SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+  SELECT doc_id AS page_id, max((quality = 1 AND toxic = 0)::INT) AS good FROM labels WHERE doc_id IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY doc_id
 ), h0 AS (
   SELECT host, count(good) AS n, coalesce(sum(good), 0)::BIGINT AS good FROM rows LEFT JOIN seen USING (page_id) GROUP BY host
 ), h AS (
-  SELECT *, array_to_string(list_slice(string_split(b, '.'), -2, -1), '.') AS domain, string_split(b, '.')[-1] AS suffix
-  FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS b FROM h0)
+  SELECT *, CASE WHEN ip THEN b ELSE array_to_string(list_slice(string_split(b, '.'), CASE WHEN deep THEN -3 ELSE -2 END, -1), '.') END AS domain,
+         CASE WHEN ip THEN 'ip' ELSE array_to_string(list_slice(string_split(b, '.'), CASE WHEN deep THEN -2 ELSE -1 END, -1), '.') END AS suffix
+  FROM (SELECT *, regexp_matches(b, '^[0-9.]+$') OR regexp_matches(b, '^\[|:') AS ip, regexp_matches(b, '(^|\.)(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z]$') AS deep
+        FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS b FROM h0))
 ), d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good FROM d GROUP BY suffix),
 top AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good)::DOUBLE / sum(n)::DOUBLE ELSE 0.5::DOUBLE END AS m FROM s),

@@ -48,8 +48,9 @@ def test_mix_odd_rows(spark):
     assert all(0 <= r.copies <= 3 for r in rows)
     assert {r.doc_id: r.size for r in rows}[8] == 3000 and {r.doc_id: r.size for r in rows}[1] == 0
     assert Counter(mixing.mix_plan(d).collect()) == Counter(rows)
+    d = d.withColumns({c: F.lit(c) for c in ("row", "n", "copy", "of", "rate", "__n", "__rate", "__of", "__copy", "source_size", "target")})
     kept = mixing.mix(d)
-    assert kept.columns == d.columns
+    assert kept.columns == d.columns and all(r["__n"] == "__n" and r["row"] == "row" for r in kept.collect())
     want = Counter()
     for r in rows:
         want[r.doc_id] += r.copies
@@ -140,3 +141,45 @@ def test_reputation_shrinks_towards_its_domain(spark):
 def test_seeded_draw_is_the_documented_one(spark):
     want = int(hashlib.md5(b"mix-1:42").hexdigest()[:13], 16) / 2**52
     assert spark.range(1).select(mixing.unit_hash("mix-1", F.lit(42))).first()[0] == want
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_certified_rules_reject_on_the_given_tables(spark):
+    rows = quality_rules.query(spark, SF).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    extra = [r for r in rows if not r.kept and not r.base_failed]
+    assert extra
+    good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(not r.kept for r in good) <= 0.03 * len(good)
+
+
+def test_the_union_of_rules_is_certified(spark):
+    """Each rule alone rejects 2 % of the good rows, all together 10 %: no level may hold."""
+    rows = [(k, {j: 9.0 for j in range(5) if k % 50 == j}) for k in range(4000)]
+    t = spark.createDataFrame([(0, False, *(x.get(j, 0.0) for j in range(5))) for _, x in rows], "stratum int, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.GRIDS))
+    assert quality_rules.calibrate(t).count() == 0
+    one = spark.createDataFrame([(0, False, x.get(0, 0.0), 0.0, 0.0, 0.0, 0.0) for _, x in rows], t.schema)
+    assert [tuple(r) for r in quality_rules.calibrate(one).collect()] == [(0, quality_rules.LEVELS - 1)]
+    assert quality_rules.calibrate(one.limit(100)).count() == 0
+
+
+def test_levels_are_nested():
+    for cuts in quality_rules.GRIDS.values():
+        assert len(cuts) == quality_rules.LEVELS and list(cuts) == sorted(cuts, reverse=True)
+
+
+def test_reputation_blocks_hosts_on_the_given_tables(spark):
+    n = Counter(r.verdict for r in url_reputation.query(spark, SF).where("rule IS NULL").collect())
+    assert n["block"] and n["allow"]
+
+
+def test_suffixes_and_domains(spark):
+    hosts = {
+        "a.co.uk": ("co.uk", "a.co.uk"), "x.a.co.uk:80": ("co.uk", "a.co.uk"), "co.uk": ("co.uk", "co.uk"), "a.example.com": ("com", "example.com"), "com": ("com", "com"),
+        "10.0.0.1": ("ip", "10.0.0.1"), "10.0.0.1:80": ("ip", "10.0.0.1"), "[::1]": ("ip", "[::1]"), "": ("", ""), "b.com.io": ("com.io", "b.com.io"), "x.notco.uk": ("uk", "notco.uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("host", *url_reputation.suffix_and_domain(F.col("host"))).collect()}
+    assert got == hosts
