@@ -7,8 +7,11 @@ Forward-backward gives each line's marginal probability of being good, and the m
 these, weighted by the lines' lengths, is the document's quality; a logistic fit turns it
 into a probability at the labels' own rate.
 
-Documents lend their label to all their lines for training, which is by gradient ascent on
-the conditional likelihood.  At most about MAX_GOOD + MAX_BAD labelled documents of up to
+Only documents are labelled.  Training, by gradient ascent on the conditional likelihood,
+begins with each line labelled as its document and no coupling; then, STEPS times, lines that the model is
+sure are of the other kind change their label (never all lines of a document, and at most
+what leaves its label's kind the greater part by length), and the field is fitted on: so good lines
+in bad documents, and bad ones in good documents, teach what a change from line to line looks like.  At most about MAX_GOOD + MAX_BAD labelled documents of up to
 MAX_CHARS characters are fitted (the documented bound); the model is a few hundred numbers.
 
 Defined results: a document without lines that hold a character (null, empty) scores 0;
@@ -31,6 +34,8 @@ from .hashing import BASE, U, mix64, prefix_hashes, substring_hashes
 
 MAX_GOOD, MAX_BAD, MAX_CHARS = 2500, 1500, 12_000
 ROUNDS, RATE, RIDGE = 150, 0.08, 1e-3
+#: Times that lines are labelled anew, rounds after each, and the marginal from which a line is surely of a kind.
+STEPS, MORE_ROUNDS, SURE = 2, 60, 0.8
 THRESHOLD = 0.3
 CHUNK = 1 << 20
 
@@ -156,31 +161,56 @@ def likelihood(w: np.ndarray, trans: np.ndarray, x: np.ndarray, text: np.ndarray
     return float(u[y == 1].sum() + (seen * trans).sum() - z.sum()), x.T @ (y - p), seen - pairs
 
 
+def relabelled(p: np.ndarray, y: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Line labels: y (their documents') but for lines whose probability p of good is surely on the other side.
+
+    Lines change in the order of their certainty, as long as less than half of their document's length has changed.
+    """
+    doubt = np.where(y == 1, p, 1 - p)  # of the document's own label
+    order = np.lexsort((doubt, text))
+    change = np.where(doubt[order] <= 1 - SURE, size[order], 0.0)
+    first = np.r_[True, text[order][1:] != text[order][:-1]]
+    run = np.cumsum(change)
+    run -= np.repeat((run - change)[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
+    whole = np.bincount(text, size)[text[order]]
+    out = y.copy()
+    flip = order[(change > 0) & (run < whole / 2)]
+    out[flip] = 1 - out[flip]
+    return out
+
+
 def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
     some = [k for k, t in enumerate(raw) if t.strip()]
-    parts, texts_of = [], []
+    parts, texts_of, sizes = [], [], []
     for lo in range(0, len(some), 128):
         part = Lines([raw[k] for k in some[lo : lo + 128]])
         parts.append(part.features())
         texts_of.append(part.text + lo)
+        sizes.append(part.size)
     x, text = np.concatenate(parts), np.concatenate(texts_of)
     ly = y[some][text]
     mean, dev = x.mean(0), x.std(0) + 1e-3
     mean[-1], dev[-1] = 0, 1
     xs = (x - mean) / dev
+    size = np.concatenate(sizes)
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m = [np.zeros_like(w), np.zeros_like(trans)]
-    v = [np.zeros_like(w), np.zeros_like(trans)]
-    for r in range(1, rounds + 1):
-        _, gw, gt = likelihood(w, trans, xs, text, ly)
-        for k, (p, g) in enumerate(((w, gw / len(ly) - RIDGE * w), (trans, gt / len(ly) - RIDGE * trans))):
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            p += RATE * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.99**r)) + 1e-8)
+    lines = ly
+    for step in range(STEPS + 1):
+        if step:
+            lines = relabelled(marginals(np.clip(xs @ w, -40, 40), text, trans)[0], ly, text, size)
+        m = [np.zeros_like(w), np.zeros_like(trans)]
+        v = [np.zeros_like(w), np.zeros_like(trans)]
+        for r in range(1, (MORE_ROUNDS if step else rounds) + 1):
+            _, gw, gt = likelihood(w, trans, xs, text, lines)
+            # Transitions are learnt from the second step on: documents' labels alone would only teach that nothing changes.
+            for k, (p, g) in enumerate(((w, gw / len(ly) - RIDGE * w), (trans, gt / len(ly) - RIDGE * trans))[: 2 if step else 1]):
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                p += RATE * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.99**r)) + 1e-8)
     model = {"w": w / dev, "b": np.array([-(mean / dev) @ w]), "trans": trans}
     s = np.concatenate([raw_scores(model, raw[lo : lo + 128]) for lo in range(0, len(raw), 128)])
     ok = np.isfinite(s)

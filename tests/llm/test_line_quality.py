@@ -62,6 +62,24 @@ def test_texts_of_many_lines_are_learnt_from():
     assert scores[0] > 0.5 > scores[1]
 
 
+def test_lines_may_be_of_another_kind_than_their_document():
+    good, bad = "a calm river runs by the old trees.", "$$$ BUY!! NOW | ###"
+    texts = [f"{good}\n" * 3 + f"{bad}\n" * 9 for _ in range(20)] + [f"{good}\n" * 8 + bad for _ in range(20)] + [f"{good}\n{good} {k}" for k in range(20)]
+    y = [0] * 20 + [1] * 40
+    model = lq.fit(texts, y)
+    lines = lq.Lines([texts[0].encode(), texts[20].encode()])
+    p, _, _ = lq.marginals(lines.features() @ model["w"] + model["b"][0], lines.text, model["trans"])
+    assert p[:3].min() > 0.5 > p[3:12].max() and p[12:20].min() > 0.5 > p[20]
+    scores = lq.score_texts(model, [t.encode() for t in texts])
+    assert scores[:20].max() < 0.3 < scores[20:].min()
+
+
+def test_relabelling_leaves_each_document_its_kind():
+    y, text = np.array([0, 0, 0, 1, 1, 1, 0]), np.array([0, 0, 0, 1, 1, 1, 2])
+    p, size = np.array([0.99, 0.9, 0.95, 0.05, 0.5, 0.99, 0.99]), np.array([4.0, 9, 4, 1, 5, 5, 3])
+    assert lq.relabelled(p, y, text, size).tolist() == [1, 0, 1, 0, 1, 1, 0]
+
+
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = lq.query(spark, "/root/testdata/sf0.1")
