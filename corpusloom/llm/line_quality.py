@@ -8,7 +8,7 @@ these, weighted by the lines' lengths, is the document's quality; a logistic fit
 into a probability at the labels' own rate.
 
 Only documents are labelled.  Training, by gradient ascent on the conditional likelihood,
-begins with each line labelled as its document and no coupling; then, STEPS times, lines that the model is
+begins with each line labelled as its document, by its own features alone; then, STEPS times, lines that the model is
 sure are of the other kind change their label (never all lines of a document, and at most
 what leaves its label's kind the greater part by length), and the field is fitted on: so good lines
 in bad documents, and bad ones in good documents, teach what a change from line to line looks like.  At most about MAX_GOOD + MAX_BAD labelled documents of up to
@@ -35,7 +35,7 @@ from .hashing import BASE, U, mix64, prefix_hashes, substring_hashes
 MAX_GOOD, MAX_BAD, MAX_CHARS = 2500, 1500, 12_000
 ROUNDS, RATE, RIDGE = 150, 0.08, 1e-3
 #: Times that lines are labelled anew, rounds after each, and the marginal from which a line is surely of a kind.
-STEPS, MORE_ROUNDS, SURE = 2, 60, 0.8
+STEPS, MORE_ROUNDS, SURE = 2, 60, 0.65
 THRESHOLD = 0.3
 CHUNK = 1 << 20
 
@@ -206,7 +206,9 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS) -> dict[st
         v = [np.zeros_like(w), np.zeros_like(trans)]
         for r in range(1, (MORE_ROUNDS if step else rounds) + 1):
             _, gw, gt = likelihood(w, trans, xs, text, lines)
-            # Transitions are learnt from the second step on: documents' labels alone would only teach that nothing changes.
+            # Neighbours and transitions count from the second step on: documents' labels alone would only teach that nothing changes.
+            if not step:
+                gw[OWN:-1] = 0
             for k, (p, g) in enumerate(((w, gw / len(ly) - RIDGE * w), (trans, gt / len(ly) - RIDGE * trans))[: 2 if step else 1]):
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
