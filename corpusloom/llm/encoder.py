@@ -27,7 +27,7 @@ from .hashing import U, kept, mix64
 WORDS = 4
 PIECE = 8 * WORDS
 #: Pieces remembered before an encoder starts afresh (a table of 1 << SLOT_BITS slots).
-CAPACITY, SLOT_BITS = 3 << 19, 22
+CAPACITY, SLOT_BITS = 1 << 20, 21
 #: Bytes cut at once, and pieces encoded at once.
 AT_ONCE, JOIN = 1 << 21, 1 << 12
 
@@ -77,7 +77,7 @@ class Encoder:
         self.keys, self.at = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self.n, self.used = 0, 0
         self.piece = np.zeros((1 << 16, WORDS), np.uint64)
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)  # a piece has no more ids than bytes
         self.ids = np.zeros(1 << 18, self.width)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -229,7 +229,7 @@ class Encoder:
             wrong = np.union1d(wrong, k[self.piece[entry[k], j] != piece[k, j]])
         direct = np.union1d(np.flatnonzero(long), wrong)
         entry = np.maximum(entry, 0)
-        begin_id, count = self.start[entry], self.size[entry]
+        begin_id, count = self.start[entry].astype(np.int64), self.size[entry].astype(np.int64)
         pool, at = [self.ids[: self.used]], self.used
         if len(direct):
             ids, counts = self._pieces([raw[a:z] for a, z in zip(start[direct].tolist(), (start[direct] + size[direct]).tolist(), strict=True)])
