@@ -22,6 +22,9 @@ BLANK = r"[\x20\x09-\x0D]"
 #: A word: a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: What workers may keep between the tasks of one stage.
+HELD = ("matcher", "encoder")
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -93,13 +96,34 @@ def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def lean(run, rows: int = 128):
-    """run(batches) for mapInArrow: it gets at most `rows` rows at once, and afterwards the worker gives freed memory back, which workers of other stages need."""
+def in_small_batches(df: DataFrame, rows: int = 128) -> DataFrame:
+    """df in a copy of its session that sends at most `rows` rows to Python at once: for frames that others execute later, so the caller's session stays as it is."""
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not hasattr(spark, "_jsparkSession") or 0 < int(spark.conf.get(name)) <= rows:
+        return df
+    session = spark._jsparkSession.cloneSession()
+    other = SparkSession(spark.sparkContext, session)
+    other.conf.set(name, str(rows))
+    return type(df)(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().analyzed()), other)
+
+
+def lean(run, rows: int = 128, holds: str | None = None):
+    """run(batches) for mapInArrow, which gets at most `rows` rows at once.
+
+    Workers outlive their tasks, and those of other stages need their memory: what is kept between
+    tasks goes at once, but for `holds`, and tables and freed memory go at the end.
+    """
 
     def wrapped(batches):
+        have = kept()
+        for k in [k for k in have if k in HELD and k != holds]:
+            del have[k]
         yield from run(b.slice(k, rows) for b in batches for k in range(0, max(1, b.num_rows), rows))
         import ctypes
 
+        for k in [k for k in have if isinstance(k, tuple)]:
+            del have[k]
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:

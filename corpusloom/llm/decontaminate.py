@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import in_small_batches, lean, table
 from .hashing import kept
 
 WINDOW = 10
@@ -199,6 +199,8 @@ def _passes(rows: DataFrame, at: int, items: DataFrame, window: int, max_item_ch
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     out = rows.select(F.struct(*(rows[c] for c in rows.columns)).alias("row"), F.expr("cast(array() AS array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
 
+    out = in_small_batches(out)
+
     def scan(df: DataFrame, shard: list[tuple[str, list[bytes]]]) -> DataFrame:
         sent, name = df.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
 
@@ -215,7 +217,7 @@ def _passes(rows: DataFrame, at: int, items: DataFrame, window: int, max_item_ch
                     found.append(sorted({x for x in i if x is not None}.union(i0)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], names=["row", "spans", "items"])
 
-        return df.mapInArrow(lean(run), df.schema)
+        return df.mapInArrow(lean(run, holds="matcher"), df.schema)
 
     for shard in item_shards(items, max_item_chars):
         out = scan(out, shard)

@@ -27,9 +27,9 @@ from .hashing import U, kept, mix64
 WORDS = 4
 PIECE = 8 * WORDS
 #: Pieces remembered before an encoder starts afresh (a table of 1 << SLOT_BITS slots).
-CAPACITY, SLOT_BITS = 1 << 20, 21
+CAPACITY, SLOT_BITS = 3 << 18, 21
 #: Bytes cut at once, and pieces encoded at once.
-AT_ONCE, JOIN = 1 << 21, 1 << 12
+AT_ONCE, JOIN = 1 << 20, 1 << 12
 
 _OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BLANK, _ODD = range(7)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -81,7 +81,7 @@ class Encoder:
         self.ids = np.zeros(1 << 18, self.width)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -122,31 +122,27 @@ class Encoder:
         got = [self._ids(t) for t in texts]
         return np.concatenate([*got, np.zeros(0, self.width)]).astype(self.width), np.array([len(g) for g in got], np.int64)
 
-    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of each) of pieces: joined by newlines, which are a pre-token and an id of their own.  Blanks stand alone."""
-        out, sizes = [], np.zeros(len(pieces), np.int64)
-        blank = [k for k, p in enumerate(pieces) if not p.strip() or b"\n" in p]
-        alone = {k: self._ids(pieces[k].decode()) for k in blank}
-        for lo in range(0, len(pieces), JOIN):
-            part = range(lo, min(lo + JOIN, len(pieces)))
-            ids = self._ids("\n".join("" if k in alone else pieces[k].decode() for k in part if k not in alone))
+    def _pieces(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of the pieces data[start : start + size]: joined by newlines, which are a pre-token and an id of their own.  Blanks stand alone."""
+        kind = _CLASS[data[start + size - 1]]
+        blank = (kind == _SPACE) | (kind == _BLANK)  # a piece that ends in a blank is one of blanks
+        plain = np.flatnonzero(~blank)
+        out, sizes = [], np.zeros(len(start), np.int64)
+        for lo in range(0, len(plain), JOIN):
+            part = plain[lo : lo + JOIN]
+            text = gather(data, start[part], size[part] + 1)
+            text[np.cumsum(size[part] + 1) - 1] = 10
+            ids = self._ids(text[:-1].tobytes().decode())
             stops = np.flatnonzero(ids == self.line)
-            sizes_in = np.diff(np.r_[-1, stops, len(ids)]) - 1
-            plain = [k for k in part if k not in alone]
-            if plain:
-                sizes[plain] = sizes_in
-            ids = np.delete(ids, stops)
-            if len(plain) < len(part):
-                ends = dict(zip(plain, np.cumsum(sizes[plain]).tolist(), strict=True))
-                for k in part:
-                    if k in alone:
-                        out.append(alone[k])
-                        sizes[k] = len(alone[k])
-                    else:
-                        out.append(ids[ends[k] - sizes[k] : ends[k]])
-            else:
-                out.append(ids)
-        return np.concatenate([*out, np.zeros(0, self.width)]).astype(self.width), sizes
+            sizes[part] = np.diff(np.r_[-1, stops, len(ids)]) - 1
+            out.append(np.delete(ids, stops))
+        flat = np.concatenate([*out, np.zeros(0, self.width)]).astype(self.width)
+        if blank.any():
+            alone = [self._ids(data[a : a + n].tobytes().decode()) for a, n in zip(start[blank].tolist(), size[blank].tolist(), strict=True)]
+            ends = np.cumsum(sizes)
+            sizes[blank] = [len(x) for x in alone]
+            flat = np.insert(flat, np.repeat(ends[blank], sizes[blank]), np.concatenate(alone))
+        return flat, sizes
 
     def _odd_texts(self, raw: bytes, data: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Indices of texts with blanks beyond ASCII, control characters or added tokens."""
@@ -218,7 +214,7 @@ class Encoder:
                 miss = np.flatnonzero(~long)
                 _, which = np.unique(h[miss], return_index=True)
                 new = miss[which]
-            ids, counts = self._pieces([raw[a:z] for a, z in zip(start[new].tolist(), (start[new] + size[new]).tolist(), strict=True)])
+            ids, counts = self._pieces(data, start[new], size[new])
             self._add(h[new], piece[new], ids, counts)
             entry[miss] = self._find(h[miss])
         # Two pieces with one hash: the entry is another piece's.
@@ -232,7 +228,7 @@ class Encoder:
         begin_id, count = self.start[entry].astype(np.int64), self.size[entry].astype(np.int64)
         pool, at = [self.ids[: self.used]], self.used
         if len(direct):
-            ids, counts = self._pieces([raw[a:z] for a, z in zip(start[direct].tolist(), (start[direct] + size[direct]).tolist(), strict=True)])
+            ids, counts = self._pieces(data, start[direct], size[direct])
             begin_id[direct], count[direct] = at + np.cumsum(counts) - counts, counts
             pool.append(ids)
             at += len(ids)
@@ -268,7 +264,7 @@ class Encoder:
 
 
 def shared(spec: str) -> Encoder:
-    """The process's encoder for spec: a worker's later tasks find what the earlier ones have encoded."""
+    """The process's encoder for spec: a worker's later tasks of one stage find what the earlier ones have encoded."""
     have = kept()
     if have.get("encoder", (None,))[0] != spec:
         have["encoder"] = (spec, Encoder(spec))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import in_small_batches, lean, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -295,7 +295,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run), "doc_id long, score double")
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -308,7 +308,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
             keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(at)))]) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return in_small_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
