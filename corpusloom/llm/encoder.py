@@ -18,6 +18,7 @@ tokenizer whole, as does everything if the tokenizer's settings are others than
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 
@@ -28,8 +29,8 @@ WORDS = 4
 PIECE = 8 * WORDS
 #: Pieces remembered before an encoder starts afresh (a table of 1 << SLOT_BITS slots).
 CAPACITY, SLOT_BITS = 3 << 18, 21
-#: Bytes cut at once, and pieces encoded at once.
-AT_ONCE, JOIN = 1 << 20, 1 << 12
+#: Bytes cut at once, bytes searched for a place to cut a longer text, and pieces encoded at once.
+AT_ONCE, LOOK, JOIN = 1 << 20, 1 << 16, 1 << 12
 
 _OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BLANK, _ODD = range(7)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -62,6 +63,8 @@ class Encoder:
     """encode(data, offsets): ids and their number for each text, those of the tokenizer with its default settings."""
 
     def __init__(self, spec: str):
+        # A task has one core; threads of the library would each hold memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -76,8 +79,9 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.at = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self.n, self.used = 0, 0
-        self.piece = np.zeros((1 << 16, WORDS), np.uint64)
-        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)  # a piece has no more ids than bytes
+        # Of the size they may reach: pages that aren't written take no memory, and nothing is copied to grow.
+        self.piece = np.zeros((CAPACITY, WORDS), np.uint64)
+        self.start, self.size = np.zeros(CAPACITY, np.int32), np.zeros(CAPACITY, np.uint8)  # a piece has no more ids than bytes
         self.ids = np.zeros(1 << 18, self.width)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -99,9 +103,6 @@ class Encoder:
     def _add(self, h: np.ndarray, piece: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """New entries with distinct hashes."""
         n = self.n + len(h)
-        while n > len(self.size):
-            self.piece = np.concatenate([self.piece, np.zeros_like(self.piece)])
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         entry = np.arange(self.n, n)
@@ -213,7 +214,7 @@ class Encoder:
                 entry = np.full(len(h), -1, np.int64)
                 miss = np.flatnonzero(~long)
                 _, which = np.unique(h[miss], return_index=True)
-                new = miss[which]
+                new = miss[which][:CAPACITY]
             ids, counts = self._pieces(data, start[new], size[new])
             self._add(h[new], piece[new], ids, counts)
             entry[miss] = self._find(h[miss])
@@ -221,9 +222,9 @@ class Encoder:
         wrong = np.flatnonzero(entry >= 0)
         wrong = wrong[(self.piece[entry[wrong], 0] != piece[wrong, 0])]
         for j in range(1, WORDS):
-            k = np.flatnonzero((size > 8 * (j - 1)) & ~long)
+            k = np.flatnonzero((size > 8 * (j - 1)) & (entry >= 0))
             wrong = np.union1d(wrong, k[self.piece[entry[k], j] != piece[k, j]])
-        direct = np.union1d(np.flatnonzero(long), wrong)
+        direct = np.union1d(np.flatnonzero(entry < 0), wrong)
         entry = np.maximum(entry, 0)
         begin_id, count = self.start[entry].astype(np.int64), self.size[entry].astype(np.int64)
         pool, at = [self.ids[: self.used]], self.used
@@ -241,12 +242,37 @@ class Encoder:
         flat = gather(np.concatenate(pool) if len(pool) > 1 else pool[0], begin_id, count)
         return flat, np.bincount(text, count, len(sizes)).astype(np.int64)
 
+    def _parted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, first part of each text) with texts over AT_ONCE bytes cut, where they can be, before a space between letters or digits of ASCII."""
+        out, first = [], []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            first.append(len(out))
+            out.append(a)
+            at = a + AT_ONCE
+            while at < z - 2:
+                near = data[at : min(z, at + LOOK)]
+                word = (_CLASS[near] == _LETTER) | (_CLASS[near] == _DIGIT)
+                cut = np.flatnonzero(word[:-2] & (near[1:-1] == 0x20) & word[2:])
+                if len(cut):
+                    out.append(at + int(cut[0]) + 1)
+                    at = out[-1] + AT_ONCE
+                else:
+                    at += LOOK - 2
+        return np.array([*out, int(offsets[-1])], np.int64), np.array(first, np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each) of the UTF-8 texts data[offsets[k] : offsets[k + 1]]."""
         sizes = np.diff(offsets).astype(np.int64)
         if not self.cuts:
             raw = data.tobytes()
             return self._whole([raw[a:z].decode() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        if len(sizes) and sizes.max() > AT_ONCE and not any(b" " in t for t in self.added):
+            parts, first = self._parted(data, offsets)
+            ids, n = self._texts(data, parts, np.diff(parts))
+            return ids, np.add.reduceat(n, first)
+        return self._texts(data, offsets, sizes)
+
+    def _texts(self, data: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, counts, k = [], [], 0
         while k < len(sizes):
             z = max(k + 1, int(np.searchsorted(offsets, offsets[k] + AT_ONCE, side="right")) - 1)

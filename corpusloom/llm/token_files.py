@@ -164,7 +164,7 @@ def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFra
             flat, ends = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z] + end for a, z in zip([0, *ends], ends, strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run, 1024, "encoder"), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run, 512, "encoder"), "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:
@@ -193,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     Sorting deals ids, not texts, by ranges of doc_id; rows of one doc_id may be dealt to many
     ranges, by a hash of their ids, then by where they stood.
     """
-    with small_batches(docs.sparkSession, 1024):
+    with small_batches(docs.sparkSession, 512):
         _write_tokens(docs, path, tokenizer_path, end_id, block_tokens)
 
 

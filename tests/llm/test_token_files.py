@@ -80,6 +80,23 @@ def test_other_pieces_with_one_hash_and_a_full_table(monkeypatch):
     assert [e.texts([t])[0] for t in texts * 2] == want * 2
 
 
+@given(st.lists(st.text(alphabet="ab 9.\u3000é\n", max_size=60), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_long_texts_are_cut(texts):
+    old = encoder.AT_ONCE, encoder.LOOK
+    encoder.AT_ONCE, encoder.LOOK = 7, 5
+    try:
+        assert ENCODER.texts(texts) == [FRESH.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        encoder.AT_ONCE, encoder.LOOK = old
+
+
+def test_a_text_of_megabytes():
+    t = (PROSE + " 12, <|endoftext|>\n") * 30_000 + "漢" * 100_000
+    got = ENCODER.texts(["", t, "x"])
+    assert got[1] == FRESH.encode(t, add_special_tokens=False).ids and got[0] == [] and got[2] == FRESH.encode("x").ids
+
+
 def test_other_tokenizers_get_texts_whole():
     from tokenizers import pre_tokenizers
 
