@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import toxicity as tx
+from corpusloom.llm.hashing import BASE, mix64
 
 from .cases import PROSE, docs, odd_texts
 
@@ -31,6 +32,57 @@ def test_gradients():
         assert np.isclose(g[k][at], (up - down) / 2 / e, rtol=2e-2, atol=1e-4), k
 
 
+def plain_logits(m, text):
+    """The network as its formulas say, one window, word, step and gate at a time."""
+    m64 = (1 << 64) - 1
+    mix = lambda x: int(mix64(np.array([x & m64], np.uint64))[0])
+    words, word = [], b""
+    for c in [*text, 0x20]:
+        if c >= 0x80 or chr(c).isalnum():
+            word += bytes([c + 32 if 0x41 <= c <= 0x5A else c])
+        elif word:
+            words.append(word)
+            word = b""
+
+    def vector(w):
+        marked, grams = [1, *w, 1], []
+        for n in (3, 4):
+            for i in range(len(marked) - n + 1):
+                grams.append(mix(int.from_bytes(bytes(marked[i : i + n]), "big") + (n << 40)) >> (64 - tx.GRAM_BITS))
+        h = mix(sum((b + 1) * pow(BASE, j, 1 << 64) for j, b in enumerate(w)))
+        chars = sum(m["gram"][g].astype(float) for g in grams) / max(1, len(grams)) if grams else np.zeros(tx.SIZE)
+        return np.concatenate([m["word"][h >> (64 - tx.WORD_BITS)].astype(float), chars])
+
+    sig, out, h, at = lambda x: 1 / (1 + np.exp(-x)), [], tx.HIDDEN, 0
+    while words and (at == 0 or at - tx.STRIDE + tx.WINDOW < len(words)):
+        x = [vector(w) for w in words[at : at + tx.WINDOW]]
+        sides = []
+        for k, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            state, states = np.zeros(h), [None] * len(x)
+            for t in order:
+                gx, hu = x[t] @ m[f"wx{k}"] + m[f"bx{k}"], state @ m[f"u{k}"]
+                z, r = sig(gx[:h] + hu[:h]), sig(gx[h : 2 * h] + hu[h : 2 * h])
+                state = (1 - z) * np.tanh(gx[2 * h :] + r * hu[2 * h :]) + z * state
+                states[t] = state
+            sides.append(states)
+        both = [np.concatenate(s) for s in zip(*sides)]
+        e = np.exp([np.tanh(s @ m["wa"] + m["ba"]) @ m["va"] for s in both])
+        out.append(float(sum(a * s for a, s in zip(e / e.sum(), both)) @ m["w"] + m["b"][0]))
+        at += tx.STRIDE
+    return out
+
+
+def test_the_network_is_the_plain_one():
+    m = tx.new_model(3)
+    texts = [b"the IDIOT went home", "löwe, Ge-ä d'er 12".encode(), b"", b"x", b" ".join(b"word%d" % (k * k) for k in range(83)), b" ".join(b"w%d" % k for k in range(32))]
+    w = tx.Words(texts)
+    ids, size, text = w.windows()
+    got = tx.logits(m, w, ids, size)
+    for k, t in enumerate(texts):
+        want = plain_logits(m, t)
+        assert len(want) == (text == k).sum() and np.allclose(got[text == k], want, atol=1e-4), t
+
+
 def test_every_word_is_in_a_window():
     for n in (1, 31, 32, 33, 48, 49, 100):
         w = tx.Words([b" ".join(b"w%d" % k for k in range(n))])
