@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chat, clean, evaluate, expand, sample, score, tokens
-from corpusloom.plans.registry import COMP, CTOK, HIT, METRICS, OFFS, QA, RESP, TOK, completions, conversation_tokens, eval_metrics, judge_mean, packed, query, read, responses, samples, scratch
+from corpusloom.plans.registry import COMP, CTOK, HIT, METRICS, OFFS, QA, RESP, completions, conversation_tokens, eval_metrics, judge_mean, packed, query, read, responses, samples, scratch
 from corpusloom.sources import catalog, generators, readers, writers
 from corpusloom.streaming import runlog as stream
 
@@ -302,6 +302,3 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
     t = stream.windowed_counts(t.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "n", F.round("total", 6).alias("total"))
     return stream.replay(t, scratch(spark, "window-out"), scratch(spark, "window-checkpoint"))
-
-
-del TOK
