@@ -10,6 +10,8 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
+#: The second kind of hash is taken modulo a prime, with a base of its own.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_276_401_817
 
 
 def kept() -> dict:
@@ -50,3 +52,27 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], the same wherever the substring stands."""
     return (prefix[end] - prefix[start]) * powers(BASE_INV, len(prefix))[start]
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) mod PRIME."""
+    tables = kept()
+    have = tables.get(("prime_powers", base))
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, have * U(pow(base, len(have), PRIME)) % U(PRIME)])
+        tables["prime_powers", base] = have
+    return have[:n]
+
+
+def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """31-bit hashes of data[start:end], the same wherever the substring stands.
+
+    Polynomials modulo a prime: what collides modulo 2**64 by its structure doesn't here.  The sums
+    stay below 2**64 up to 2**33 bytes of data.
+    """
+    p = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + U(1)) * prime_powers(PRIME_BASE, len(data)) % U(PRIME), out=p[1:])
+    back = prime_powers(pow(PRIME_BASE, -1, PRIME), len(data) + 1)[start]
+    return ((p[end] - p[start]) % U(PRIME) * back % U(PRIME)).astype(np.uint32)

@@ -5,9 +5,10 @@ smaller doc_id.  Every window of LENGTH bytes has an anchor: the least hash amon
 KGRAM-byte strings, the leftmost if several are least; equal windows have equal anchors.
 Consecutive windows with one anchor form a run.
 
-1. Each run is dealt out by its anchor with a 64-bit hash of all its bytes.  Runs that a
-   smaller document holds whole are decided by that alone: the inside of any copy.
-   Copies within a stretch of the corpus are decided before the shuffle.
+1. Each run is dealt out by its anchor with a 64-bit hash of all its bytes and a 31-bit hash
+   of another kind (modulo a prime) that verifies it.  Runs that a smaller document holds
+   whole are decided by these: the inside of any copy.  Copies within a stretch of the
+   corpus are decided before the shuffle.
 2. Runs whose anchor other documents hold with other bytes (the ends of copies) are
    decided on the bytes themselves: their window starts are suffixes that are sorted by
    mergesort.  Two suffixes are compared by polynomial prefix hashes: binary search finds
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, release, small_batches, table
-from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes
+from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes, prime_hashes
 
 LENGTH, KGRAM = 50, 20
 #: Bytes handled at once; runs are cut after so many windows.
@@ -43,8 +44,8 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of all bytes, first window, number of windows) of the runs of pieces that end at `ends`."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(anchor hash, hash of all bytes, verifying hash, first window, number of windows) of the runs of pieces that end at `ends`."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return none
@@ -70,7 +71,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KGRA
         first, last = np.repeat(first, parts) + step * LONGEST, np.repeat(last, parts)
         count = np.minimum(last - first + 1, LONGEST)
     whole = mix64((p[first + count + length - 1] - p[first]) * inv[first] + count.astype(np.uint64) * U(BASE))
-    return least[first], whole, first, count
+    return least[first], whole, prime_hashes(data, first, first + count + length - 1), first, count
 
 
 def compare(data: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
@@ -155,20 +156,21 @@ def repeated(data: np.ndarray, starts: np.ndarray, key: np.ndarray, doc: np.ndar
 
 
 class _Rows:
-    """Values of many kinds of the same rows, packed as bytes."""
+    """Values of many kinds of the same rows, packed as bytes: a plane for each byte of a kind, so that the upper bytes of small numbers compress."""
 
     def __init__(self, **kinds: str):
         self.kinds = kinds
 
     def pack(self, **cols: np.ndarray) -> bytes:
         n = len(next(iter(cols.values())))
-        return np.uint64(n).tobytes() + b"".join(np.ascontiguousarray(cols[c], dtype=k).tobytes() for c, k in self.kinds.items())
+        return np.uint64(n).tobytes() + b"".join(np.ascontiguousarray(np.ascontiguousarray(cols[c], dtype=k).view(np.uint8).reshape(n, -1).T).tobytes() if n else b"" for c, k in self.kinds.items())
 
     def unpack(self, raw: memoryview) -> tuple[dict[str, np.ndarray], int]:
         n, at, out = int(np.frombuffer(raw, np.uint64, 1)[0]), 8, {}
         for c, k in self.kinds.items():
-            out[c] = np.frombuffer(raw, k, n, at)
-            at += out[c].nbytes
+            size = np.dtype(k).itemsize
+            out[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(k).reshape(n)
+            at += n * size
         return out, at
 
     def concat(self, parts: Iterable[memoryview]) -> dict[str, np.ndarray]:
@@ -177,12 +179,17 @@ class _Rows:
 
 
 DOCS = _Rows(doc="i8", rid="i8", n="u4")
-RUNS = _Rows(anchor="u4", whole="u8", low="u2", high="u2", count="u1")
+RUNS = _Rows(anchor="u4", whole="u8", check="u4", low="u2", high="u2", count="u1")
 FOUND = _Rows(first="u4", count="u4")
 ASKED = _Rows(group="u8", first="u4", count="u1", alone="u1")
 TEXTS = _Rows(group="u8", doc="i8", rid="i8", first="u4", size="u2")
 
 
+def _differ(x: np.ndarray) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    return x[1:] != x[:-1]
+
+
 def _by_rid(rid: np.ndarray, cols: dict[str, np.ndarray], rows: _Rows) -> dict[int, bytes]:
     order = np.lexsort((cols["first"], rid))
     if not len(order):
@@ -224,13 +231,13 @@ def _deal(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _stretches(batches, STRETCH):
             data, ends, text, offset = _pieces([h[2] for h in held], length)
-            anchor, whole, first, count = runs(data, ends, length)
+            anchor, whole, check, first, count = runs(data, ends, length)
             piece = np.searchsorted(ends, first, side="right")
             begin = ends - np.diff(np.r_[0, ends])
             row, at = text[piece], first - begin[piece] + offset[piece]
             rid, doc = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            order = np.lexsort((doc[row], whole, anchor))
-            new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (whole[order][1:] != whole[order][:-1])][: len(order)]
+            order = np.lexsort((doc[row], check, whole, anchor))
+            new = np.r_[True, _differ(anchor[order]) | _differ(whole[order]) | _differ(check[order])][: len(order)]
             least = doc[row][order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else np.zeros(0, np.int64)
             known = np.zeros(len(order), bool)
             known[order] = doc[row][order] > least
@@ -251,7 +258,7 @@ def _deal(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 u, n = np.unique(row[k], return_counts=True)
                 ids.append(int(bucket[k[0]]))
                 kinds.append(0)
-                blobs.append(DOCS.pack(doc=doc[u], rid=rid[u], n=n) + RUNS.pack(anchor=(anchor[k] // U(buckets)).astype(np.uint32), whole=whole[k], low=at[k] & 0xFFFF, high=at[k] >> 16, count=count[k]))
+                blobs.append(DOCS.pack(doc=doc[u], rid=rid[u], n=n) + RUNS.pack(anchor=(anchor[k] // U(buckets)).astype(np.uint32), whole=whole[k], check=check[k], low=at[k] & 0xFFFF, high=at[k] >> 16, count=count[k]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
     return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
@@ -276,11 +283,11 @@ def _decide(frequent: int):
         if parts[0]:
             doc, r = (np.concatenate([p[k] for p in parts[0]]) for k in (0, 1))
             e = {c: np.concatenate([p[2][c] for p in parts[0]]) for c in RUNS.kinds}
-            order = np.lexsort((doc, e["whole"], e["anchor"]))
-            doc, r, anchor, whole, n = doc[order], r[order], e["anchor"][order], e["whole"][order], e["count"][order].astype(np.int64)
+            order = np.lexsort((doc, e["check"], e["whole"], e["anchor"]))
+            doc, r, anchor, n = doc[order], r[order], e["anchor"][order], e["count"][order].astype(np.int64)
             at = e["low"][order].astype(np.int64) | e["high"][order].astype(np.int64) << 16
-            head = np.r_[True, anchor[1:] != anchor[:-1]]
-            new = head | np.r_[True, whole[1:] != whole[:-1]]
+            head = np.r_[True, _differ(anchor)]
+            new = head | np.r_[True, _differ(e["whole"][order]) | _differ(e["check"][order])]
             where = np.arange(len(doc))
             goes = doc > doc[np.maximum.accumulate(np.where(new, where, 0))]
             rid, first, count = np.r_[rid, r[goes]], np.r_[first, at[goes]], np.r_[count, n[goes]]

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import suffix_dedup as sd
-from corpusloom.llm.hashing import prefix_hashes
+from corpusloom.llm.hashing import PRIME, PRIME_BASE, prefix_hashes, prime_hashes
 
 from .cases import PROSE, docs, odd_texts
 
@@ -81,3 +81,30 @@ def test_odd_rows(spark):
     assert sorted((tuple(r) for r in sd.digest(d).collect()), key=str) == brute(rows)
     assert {r.doc_id for r in sd.remove_repeats(d).collect()} == {i for i, _ in rows}
     assert sd.digest(d.limit(0)).count() == 0
+
+
+@given(st.binary(min_size=1, max_size=200), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_prime_hashes_do_not_depend_on_the_place(raw, shift):
+    data = np.frombuffer(b"q" * shift + raw + b"z", np.uint8)
+    want = sum((c + 1) * pow(PRIME_BASE, k, PRIME) for k, c in enumerate(raw)) % PRIME
+    assert prime_hashes(data, np.array([shift]), np.array([shift + len(raw)])).tolist() == [want]
+
+
+def test_runs_whose_first_hash_collides_stay_apart(spark, monkeypatch):
+    """With the 64-bit hash made blind to all but the length, the verifying hash decides."""
+    real = sd.runs
+
+    def blind(data, ends, length=50, k=20):
+        anchor, whole, check, first, count = real(data, ends, length, k)
+        return anchor, count.astype(np.uint64), check, first, count
+
+    rows = [(i, PROSE[:k] + "X" + PROSE[k + 1 :]) for i, k in enumerate(range(0, len(PROSE), 3))]
+    data = b"".join(t.encode() for _, t in rows)
+    ends = np.cumsum([len(t.encode()) for _, t in rows])
+    anchor, whole, check, first, count = blind(np.frombuffer(data, np.uint8), ends)
+    content = [data[f : f + c + 49] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+    assert len(set(zip(anchor.tolist(), whole.tolist(), strict=True))) < len(set(content))
+    assert len(set(zip(anchor.tolist(), whole.tolist(), check.tolist(), strict=True))) == len(set(content))
+    monkeypatch.setattr(sd, "runs", blind)
+    assert sorted((tuple(r) for r in sd.digest(docs(spark, rows)).collect()), key=str) == brute(rows)
