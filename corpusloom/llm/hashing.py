@@ -66,13 +66,21 @@ def prime_powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """31-bit hashes of data[start:end], the same wherever the substring stands.
+def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+    """31-bit hashes of data[start:end], the same wherever the substring stands; start ascends.
 
-    Polynomials modulo a prime: what collides modulo 2**64 by its structure doesn't here.  The sums
-    stay below 2**64 up to 2**33 bytes of data.
+    Polynomials modulo a prime: what collides modulo 2**64 by its structure doesn't here.  Parts of
+    `size` bytes are taken at once, so that the tables stay small.
     """
-    p = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U(1)) * prime_powers(PRIME_BASE, len(data)) % U(PRIME), out=p[1:])
-    back = prime_powers(pow(PRIME_BASE, -1, PRIME), len(data) + 1)[start]
-    return ((p[end] - p[start]) % U(PRIME) * back % U(PRIME)).astype(np.uint32)
+    out = np.zeros(len(start), np.uint32)
+    for lo in range(0, len(data), size):
+        a, z = np.searchsorted(start, (lo, lo + size))
+        if a == z:
+            continue
+        s, e = start[a:z] - lo, end[a:z] - lo
+        part = data[lo : lo + int(e.max())].astype(np.uint64) + U(1)
+        p = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * prime_powers(PRIME_BASE, len(part)) % U(PRIME), out=p[1:])
+        back = prime_powers(pow(PRIME_BASE, -1, PRIME), len(part) + 1)[s]
+        out[a:z] = (p[e] - p[s]) % U(PRIME) * back % U(PRIME)
+    return out

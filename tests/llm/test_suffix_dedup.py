@@ -88,7 +88,8 @@ def test_odd_rows(spark):
 def test_prime_hashes_do_not_depend_on_the_place(raw, shift):
     data = np.frombuffer(b"q" * shift + raw + b"z", np.uint8)
     want = sum((c + 1) * pow(PRIME_BASE, k, PRIME) for k, c in enumerate(raw)) % PRIME
-    assert prime_hashes(data, np.array([shift]), np.array([shift + len(raw)])).tolist() == [want]
+    for size in (1, 16, 1 << 18):
+        assert prime_hashes(data, np.array([shift]), np.array([shift + len(raw)]), size).tolist() == [want]
 
 
 def test_runs_whose_first_hash_collides_stay_apart(spark, monkeypatch):
