@@ -23,7 +23,7 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: What workers may keep between the tasks of one stage.
-HELD = ("matcher", "encoder")
+HELD = ("matcher", "encoder", "counter")
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
