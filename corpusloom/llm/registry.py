@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, filter_audit, line_quality, mixing, ngram_join, personal_data, quality_rules, suffix_dedup, token_counts, token_files, toxicity, url_reputation
+from . import conversation_repair, decontaminate, filter_audit, line_quality, mixing, ngram_join, personal_data, quality_rules, suffix_dedup, token_counts, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_ngram_join": ngram_join.query,
     "op10_url_reputation": url_reputation.query,
+    "op11_conversation_repair": conversation_repair.query,
     "op12_filter_audit": filter_audit.query,
     "op13_token_counts": token_counts.query,
 }
@@ -23,5 +24,6 @@ SQL = {
     "op8_quality_rules": quality_rules.SQL,
     "op9_ngram_join": ngram_join.SQL,
     "op10_url_reputation": url_reputation.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
     "op12_filter_audit": filter_audit.SQL,
 }
