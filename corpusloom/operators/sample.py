@@ -1,4 +1,11 @@
-"""Sampling by hash order: reproducible on any engine and partitioning."""
+"""Sampling by hash order: reproducible on any engine and partitioning.
+
+The k rows of the least hashes, for any k, are those up to a threshold.  It is found by counting rows per
+leading hash digits, then per further digits within the bin that holds the k-th row only, until a bin
+ends with it: a few passes that send back one number a bin.  What is selected then is a filter of the input, in
+as many tasks as that has; nothing is sorted or moved.  The first k rows in an order of their own are found
+likewise, between pivots.  Input that is not the same at every reading must be written to a table first.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +14,133 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Hex digits that a pass counts by: at most 16 ** DIGITS numbers come back.
+DIGITS = 4
+#: Pivots of a pass over rows in an order of their own, and rows between two of them that are sorted at last.
+PIVOTS, SETTLED = 256, 4096
+#: Copies of one row that a task makes.
+COPIES = 1 << 20
+
+
+def _threshold(hashes: DataFrame, k: int) -> tuple[str | None, int]:
+    """(prefix, rows missing) of hashes (h, hex digits): those whose leading digits are at most prefix are the k least, but for the last that are missing.
+
+    No prefix: all rows are fewer than k.  Rows miss only where one hash stands on both sides.
+    """
+    width = 32
+    prefix, before = "", 0
+    while True:
+        n = min(DIGITS, width - len(prefix))
+        t = hashes.where(F.startswith("h", F.lit(prefix))).groupBy(F.substring("h", len(prefix) + 1, n).alias("d")).count()
+        for d, count in sorted(tuple(r) for r in t.collect()):
+            if before + count >= k:
+                break
+            before += count
+        else:
+            return None, 0
+        prefix += d
+        if before + count == k:
+            return prefix, 0
+        if len(prefix) == width:
+            return prefix, k - before
+
+
+def _copies(rows: DataFrame, n: int) -> DataFrame:
+    """n copies of the first of rows that are all the same, COPIES in a task."""
+    tasks = -(-n // COPIES)
+    one = rows.limit(1).select(F.struct("*").alias("row"))
+    t = one.select("row", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")).repartition(tasks, "task")
+    size = F.least(F.lit(COPIES), F.lit(n) - F.col("task").cast("bigint") * COPIES)
+    return t.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).select("row.*")
+
+
+def _tied(rows: DataFrame, k: int) -> DataFrame:
+    """k of rows that are equal in order: by the hash of all their columns; where that is one too, they are the same row."""
+    h = F.md5(F.to_json(F.struct("*")))
+    prefix, missing = _threshold(rows.select(h.alias("h")), k)
+    if prefix is None:
+        return rows
+    if not missing:
+        return rows.where(F.substring(h, 1, len(prefix)) <= prefix)
+    return rows.where(h < prefix).unionByName(_copies(rows.where(h == prefix), missing))
+
+
+def _least(rows: DataFrame, k: int, h: Column) -> tuple[Column, DataFrame | None]:
+    """(condition, more): the k rows of the least hashes are those that fulfil the condition, and more."""
+    if k <= 0:
+        return F.lit(False), None
+    prefix, missing = _threshold(rows.select(h.alias("h")), k)
+    if prefix is None:
+        return F.lit(True), None
+    if not missing:
+        return F.substring(h, 1, len(prefix)) <= prefix, None
+    return h < prefix, _tied(rows.where(h == prefix), missing)
+
 
 def simple(rows: DataFrame, k: int, key: Column, *, seed: str = "42") -> DataFrame:
-    """k rows without replacement: a distributed top-k."""
-    return rows.orderBy(T.hash_order(seed, key)).limit(k)
+    """k rows without replacement, all where there are fewer: those of the least hashes of the key.
+
+    Rows of one key that stand on both sides of the k-th are told apart by all their columns.
+    """
+    chosen, more = _least(rows, k, T.hash_order(seed, key))
+    out = rows.where(chosen)
+    return out if more is None else out.unionByName(more)
+
+
+def first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows by ascending columns (null first), all where there are fewer, in no order; for any k, and without a sort of the rows.
+
+    Pivots drawn from the rows cut them into ranges, and the range that holds the k-th row is cut again until it
+    is small.  A pivot's own rows are a range, so one key may fill the table.  Rows that are equal in order are
+    told apart by all their columns.
+    """
+    if k <= 0:
+        return rows.where(F.lit(False))
+    key = F.struct(*(c.alias(f"k{j}") for j, c in enumerate(order)))
+    keys, missing = rows.select(key.alias("key")), k
+    fields = keys.schema["key"].dataType.fields
+
+    def literal(values) -> Column:
+        return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields, strict=True)))
+
+    n, turn = keys.count(), 0
+    if n <= k:
+        return rows
+    while n > SETTLED:
+        turn += 1
+        drawn = _sorted(keys.sample(min(1.0, 4 * PIVOTS / n), seed=turn).limit(8 * PIVOTS).distinct())
+        drawn = drawn[:: -(-len(drawn) // PIVOTS) or 1]
+        if not drawn:
+            continue
+        pivots = F.array(*map(literal, drawn))
+        reached = F.size(F.filter(pivots, lambda p: p <= F.col("key")))
+        # 2j rows lie between pivots j - 1 and j, 2j - 1 on pivot j - 1.
+        range_ = F.when(reached == 0, 0).when(F.element_at(pivots, F.greatest(reached, F.lit(1))) == F.col("key"), 2 * reached - 1).otherwise(2 * reached)
+        for at, n in sorted(tuple(r) for r in keys.groupBy(range_.alias("range")).count().collect()):
+            if n >= missing:
+                break
+            missing -= n
+        if at % 2:
+            return _up_to(rows, key, literal(drawn[at // 2]), missing, n)
+        if at:
+            keys = keys.where(F.col("key") > literal(drawn[at // 2 - 1]))
+        if at // 2 < len(drawn):
+            keys = keys.where(F.col("key") < literal(drawn[at // 2]))
+    last = _sorted(keys)
+    end = last[missing - 1]
+    return _up_to(rows, key, literal(end), missing - last.index(end), last.count(end))
+
+
+def _up_to(rows: DataFrame, key: Column, end: Column, needed: int, there: int) -> DataFrame:
+    """The rows below end, and as many as are needed of those there on it."""
+    if needed == there:
+        return rows.where(key <= end)
+    return rows.where(key < end).unionByName(_tied(rows.where(key == end), needed))
+
+
+def _sorted(keys: DataFrame) -> list:
+    """The keys of a small table, in Spark's order."""
+    return [r.key for r in keys.orderBy("key").collect()]
 
 
 def head(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -33,17 +163,19 @@ def stratified(rows: DataFrame, stratum: str, total: int, key: Column, *, seed:
 def rebalance(rows: DataFrame, flag: str, share: float, key: Column, *, seed: str = "42") -> DataFrame:
     """All flagged rows, and min(n, int(flagged * (1 - share) / share)) of the others, in DOUBLE arithmetic.
 
-    The quota is one number; the others are a distributed top-k.
+    One filter over the rows: flagged, or of a hash up to the threshold.
     """
     c = rows.agg(F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no")).first()
     quota = min(c.no, int(c.yes * (1 - share) / share))
-    return rows.where(F.col(flag)).unionByName(rows.where(~F.col(flag)).orderBy(T.hash_order(seed, key)).limit(quota))
+    others = rows.where(~F.col(flag))
+    chosen, more = _least(others, quota, T.hash_order(seed, key)) if quota < c.no else (F.lit(True), None)
+    out = rows.where(F.col(flag) | (~F.col(flag) & chosen))
+    return out if more is None else out.unionByName(more)
 
 
 def mix_in(domain: DataFrame, general: DataFrame, share: float, *order: Column) -> DataFrame:
     """domain and the first min(int(n * share), available) rows of general."""
-    n = domain.count()
-    return domain.unionByName(general.orderBy(*order).limit(int(n * share)))
+    return domain.unionByName(first(general, int(domain.count() * share), *order))
 
 
 def choice(options: Column, key: Column, *, seed: str = "42") -> Column:
