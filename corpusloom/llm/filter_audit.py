@@ -19,8 +19,8 @@ before it is shuffled, and it goes back by (doc_id, text), which only the first
 Defined results: a null text is an empty one, a null language the part of the empty string; a
 null doc_id has no smaller one and isn't smaller than any, and has no label; repeated rows count each, and
 aren't copies of each other; a document is good (toxic) if any row of its labels says so; labels without a
-document are ignored; without documents there are no parts, so no rows.  Texts are taken to be the same if their
-SHA-256 is.  Other columns are ignored, whatever their names.
+document are ignored; without documents there are no parts, so no rows.  Texts are taken to be the same if the
+first 128 bits of their SHA-256 are.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,26 +30,36 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import BLANK, UPPER, table
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITAL_PERCENT = 100, 80, 10
 #: A text that holds any of these fails D.
 SYMBOLS = "[#$%&*|]"
+BLANKS = " \t\n\x0b\x0c\r"
 SETS = 1 << len(FILTERS)
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
 
+def _hash(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def text_flags(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's SHA-256), part, a, b, c, d, copies: what a text fails by itself, a row for each (doc_id, text, part) and its number of rows."""
+    """doc_id, h (that of the text), part, a, b, c, d, copies: what a text fails by itself, a row for each (doc_id, text, part) and its number of rows."""
     t = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("t"))
     capitals = F.length("t") - F.length(F.translate("t", UPPER, ""))
-    t = t.withColumns({"h": F.unhex(F.sha2("t", 256)), "c": 100 * capitals > MAX_CAPITAL_PERCENT * F.length("t"), "d": F.rlike("t", F.lit(SYMBOLS))})
+    t = t.withColumns({"h": _hash(F.col("t")), "c": 100 * capitals > MAX_CAPITAL_PERCENT * F.length("t"), "d": F.rlike("t", F.lit(SYMBOLS))})
     key = ["doc_id", "h", "part", "c", "d"]
-    t = t.repartition("doc_id", "h")
-    words = t.select(*key, F.posexplode_outer(F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")).alias("pos", "word"))
-    each = words.groupBy(*key, "word").agg(F.count("word").alias("n"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows"))
-    whole = each.groupBy(*key).agg(F.sum("n").alias("words"), F.count("word").alias("kinds"), F.sum("rows").alias("copies"))
+    # One blank after the last word and none before the first: the last piece of a split text, and no other, is empty.
+    t = t.withColumn("t", F.ltrim("t", F.lit(BLANKS))).withColumn("t", F.when(F.col("t") == "", "").otherwise(F.concat("t", F.lit(" "))))
+    words = t.repartition("doc_id", "h").select(*key, F.explode(F.split("t", f"{BLANK}+")).alias("word"))
+    each = words.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    is_word = F.col("word") != ""
+    whole = each.groupBy(*key).agg(
+        F.sum(F.when(is_word, F.col("n")).otherwise(0)).alias("words"), F.count_if(is_word).alias("kinds"), F.sum(F.when(is_word, 0).otherwise(F.col("n"))).alias("copies")
+    )
     # Repeated rows add up in `words`, not in `kinds`.
     few, alike = F.col("words") < MIN_WORDS * F.col("copies"), 100 * F.col("kinds") * F.col("copies") < MIN_DISTINCT_PERCENT * F.col("words")
     return whole.select("doc_id", "h", "part", few.alias("a"), alike.alias("b"), "c", "d", "copies")
@@ -57,7 +67,7 @@ def text_flags(docs: DataFrame) -> DataFrame:
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """doc_id, h of the least doc_id of each text."""
-    t = docs.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("h"))
+    t = docs.where("doc_id IS NOT NULL").select("doc_id", _hash(F.coalesce("text", F.lit(""))).alias("h"))
     return t.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
