@@ -90,3 +90,8 @@ def hash_order(seed: str, *keys: Column) -> Column:
 def hash_int(seed: str, *keys: Column) -> Column:
     """A reproducible non-negative integer below 2**32."""
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint")
+
+
+def hash_long(seed: str, *keys: Column) -> Column:
+    """A reproducible non-negative integer below 2**60."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 15), 16, 10).cast("bigint")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 
 def bpe_encode(rows: DataFrame, tokenizer_json: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ids, encoded in Arrow batches by a public tokenizer given as its JSON text."""
@@ -68,23 +70,24 @@ def with_offsets(rows: DataFrame, size: Column, key: str, parts: int | None = No
     """Adds start: the sum of size over all rows with a smaller key (unique, a number or time; null first).
 
     The key's quantiles cut it into `parts` ranges (as many as the session's shuffle partitions),
-    which both the sums and the windows use.
+    which both the sums and the windows use.  Other columns are carried as they are, whatever their names.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [k / parts for k in range(1, parts)]
-    bounds = rows.agg(F.percentile_approx(key, cuts, 50 * parts).alias("b")).first().b if cuts else None
-    t = rows.withColumn("__size", size.cast("bigint")).withColumn("__part", _range_of(F.col(key), sorted(set(bounds or []))))
+    t = rows.select(F.struct("*").alias("row"), F.col(key).alias("key"), size.cast("bigint").alias("size"))
+    bounds = t.agg(F.percentile_approx("key", cuts, 50 * parts).alias("b")).first().b if cuts else None
+    t = t.withColumn("part", _range_of(F.col("key"), sorted(set(bounds or []))))
     before, total = [], 0
-    for r in t.groupBy("__part").agg(F.sum("__size").alias("n")).orderBy("__part").collect():
-        before.append((r["__part"], total))
+    for r in t.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():
+        before.append((r["part"], total))
         total += r.n or 0
-    w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    base = spark.createDataFrame(before, "__of int, __base long")
-    t = t.withColumn("__in", F.coalesce(F.sum("__size").over(w), F.lit(0)))
-    t = t.join(F.broadcast(base), F.col("__part") == F.col("__of"), "left")  # a row without a range's sum is an error, not a loss
-    start = F.when(F.col("__base").isNull(), F.raise_error(F.lit("the rows changed between two evaluations")).cast("bigint")).otherwise(F.col("__base") + F.col("__in"))
-    return t.withColumn("start", start).drop("__part", "__of", "__in", "__base", "__size")
+    w = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    base = spark.createDataFrame(before, "of int, base long")
+    t = t.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    t = t.join(F.broadcast(base), F.col("part") == F.col("of"), "left")  # a row without a range's sum is an error, not a loss
+    start = F.when(F.col("base").isNull(), F.raise_error(F.lit("the rows changed between two evaluations")).cast("bigint")).otherwise(F.col("base") + F.col("within"))
+    return t.select("row.*", start.alias("start"))
 
 
 def hold_out(rows: DataFrame, size: Column, total: int, eval_tokens: int) -> DataFrame:
@@ -94,18 +97,21 @@ def hold_out(rows: DataFrame, size: Column, total: int, eval_tokens: int) -> Dat
     return rows.withColumn("part", F.when(F.col("start") + size > total - eval_tokens, "eval").otherwise("train"))
 
 
-def blocks(rows: DataFrame, ids: str, block: int, overlap: int = 0) -> DataFrame:
+def blocks(rows: DataFrame, ids: str, block: int, overlap: int = 0, only: DataFrame | None = None) -> DataFrame:
     """block_id, ids: the packed stream (rows with start, ids) in blocks of `block` tokens and the next `overlap`; the last may be shorter.
 
-    A row's tokens are sliced at the blocks' borders: what is shuffled is one slice per row and block.
+    A row's tokens are sliced at the blocks' borders: what is shuffled is one slice per row and block, of the blocks in
+    `only` (block_id) where that is given.
     """
     n = F.size(ids)
     first = F.greatest(F.lit(0), F.floor((F.col("start") - overlap) / block)).cast("bigint")
     last = F.floor((F.col("start") + n - 1) / block).cast("bigint")
-    t = rows.where(n > 0).withColumn("block_id", F.explode(F.sequence(first, last)))
+    t = rows.where(n > 0).select("start", F.col(ids).alias("ids"), F.explode(F.sequence(first, last)).alias("block_id"))
+    if only is not None:
+        t = t.join(only.select("block_id").distinct(), "block_id", "left_semi")
     lo = F.greatest(F.lit(0).cast("bigint"), F.col("block_id") * block - F.col("start"))
-    hi = F.least(n.cast("bigint"), (F.col("block_id") + 1) * block + overlap - F.col("start"))
-    t = t.select("block_id", "start", F.slice(ids, (lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")).alias("x"))
+    hi = F.least(F.size("ids").cast("bigint"), (F.col("block_id") + 1) * block + overlap - F.col("start"))
+    t = t.select("block_id", "start", F.slice("ids", (lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")).alias("x"))
     t = t.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("start", "x"))).alias("x"))
     return t.select("block_id", F.flatten(F.transform("x", lambda v: v["x"])).alias("ids"))
 
@@ -116,10 +122,36 @@ def next_token(ids: Column) -> tuple[Column, Column]:
 
 
 def random_window(ids: Column, block: int, u: Column) -> Column:
-    """`block` tokens from a start that the integer u picks."""
+    """`block` tokens from a start that the integer u picks, within one row."""
     return F.slice(ids, (u % F.greatest(F.size(ids) - block - 1, F.lit(1)) + 1).cast("int"), block)
 
 
+def random_windows(rows: DataFrame, ids: str, block: int, draws: int, *, lo: int = 0, hi: int | None = None, seed: str = "42", width: int | None = None) -> DataFrame:
+    """draw, place, inputs, targets: `draws` windows of `block` tokens of the packed stream (rows with start, ids), and the same a token later.
+
+    A window starts at a place in [lo, hi - block - 1) that the draw's hash picks, in the middle of a row or across
+    any number of them; hi is the stream's end where it isn't given.  Places are looked up by interval: each
+    belongs to one block of `width` tokens, which reaches `block` tokens into the next ones and so holds the window.  Only
+    blocks with a draw are put together.
+    """
+    if hi is None:
+        hi = rows.agg(F.max(F.col("start") + F.size(ids))).first()[0] or 0
+    if hi - block - 1 <= lo:
+        raise ValueError(f"no window of {block} tokens and the next one begins in [{lo}, {hi})")
+    width = width or max(4 * block, 4096)
+    place = T.hash_long(seed, F.col("draw")) % (hi - block - 1 - lo) + lo
+    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("place", place).withColumn("block_id", F.floor(F.col("place") / width))
+    t = drawn.join(blocks(rows, ids, width, block, only=drawn), "block_id")
+    within = (F.col("place") - F.col("block_id") * width).cast("int")
+    return t.select("draw", "place", F.slice("ids", within + 1, block).alias("inputs"), F.slice("ids", within + 2, block).alias("targets"))
+
+
+def estimate(windows: DataFrame, loss: Column, batch: Column) -> DataFrame:
+    """One row: loss, the mean over batches of the mean loss of a batch's windows, and batches, their number."""
+    each = windows.groupBy(batch.alias("batch")).agg(F.avg(loss).alias("loss"))
+    return each.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("batches"))
+
+
 def corpus_distinct_n(rows: DataFrame, tokens: str, n: int, block: int = 4096) -> DataFrame:
     """One row, distinct_n, over the concatenation of rows (start, tokens): n-grams may cross rows.
 
@@ -131,5 +163,20 @@ def corpus_distinct_n(rows: DataFrame, tokens: str, n: int, block: int = 4096) -
     return each.agg(F.coalesce(F.try_divide(F.count(F.lit(1)), F.sum("n")), F.lit(0.0)).alias("distinct_n"))
 
 
+def corpus_distinct_n_sketch(rows: DataFrame, tokens: str, n: int, *, lg: int = 14, block: int = 4096) -> DataFrame:
+    """One row, distinct_n, error, sketch: as corpus_distinct_n, by a HyperLogLog sketch of 2**lg registers.
+
+    A gram leaves its block as a 64-bit hash, which the sketch of the task takes in at once; what is shuffled is a
+    sketch a task.  error is the relative standard error of the number of distinct grams; sketches of other
+    stretches of a stream can be united with `hll_union`.
+    """
+    t = blocks(rows, tokens, block, n - 1).where(F.size("ids") >= n)
+    last = F.least(F.lit(block), F.size("ids") - n + 1)
+    grams = t.select(F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("ids", i, n)))).alias("g"))
+    each = grams.agg(F.hll_sketch_agg("g", lg).alias("sketch"), F.count(F.lit(1)).alias("n"))
+    share = F.coalesce(F.try_divide(F.hll_sketch_estimate("sketch"), F.col("n")), F.lit(0.0))
+    return each.select(share.cast("double").alias("distinct_n"), F.lit(1.04 / math.sqrt(1 << lg)).alias("error"), "sketch")
+
+
 def corpus_meta(rows: DataFrame, ids: str, vocab: int, eot: int, tokenizer: str) -> DataFrame:
     return rows.agg(F.lit(vocab).alias("vocab_size"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("num_stories"), F.lit(eot).alias("eot_id"), F.lit(tokenizer).alias("tokenizer_path"))

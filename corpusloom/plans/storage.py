@@ -302,3 +302,40 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
     t = stream.windowed_counts(t.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "n", F.round("total", 6).alias("total"))
     return stream.replay(t, scratch(spark, "window-out"), scratch(spark, "window-checkpoint"))
+
+
+# ---- windows of the packed stream
+
+FLAT = f"{OFFS}, flat AS (SELECT start + i - 1 AS pos, CASE WHEN i <= len(w) THEN length(w[i]) ELSE 0 END AS tok FROM o, LATERAL (SELECT unnest(range(1, len(w) + 2)) AS i)), total AS (SELECT count(*) AS n FROM flat)"
+DRAWS = "draws AS (SELECT d AS draw, ('0x' || substr(md5(concat_ws('|', '42', d::VARCHAR)), 1, 15))::BIGINT % (n - 49 - {lo}) + {lo} AS place FROM total, LATERAL (SELECT unnest(range(n // 64)) AS d))"
+
+
+def stream_draws(spark: SparkSession, sf: str, lo: int) -> DataFrame:
+    """Windows of 48 words of the packed conversations, one for every 64 of them."""
+    t = packed(spark, sf)
+    total = t.agg(F.sum(F.size("ids"))).first()[0]
+    return tokens.random_windows(t, "ids", 48, total // 64, lo=lo, hi=total)
+
+
+@query(f"WITH {FLAT}, {DRAWS.format(lo=0)}, x AS (SELECT draw, place, list(tok ORDER BY pos) AS ids FROM draws JOIN flat ON pos BETWEEN place AND place + 48 GROUP BY ALL) SELECT draw, place, array_to_string(list_slice(ids, 1, 48), ' ') AS inputs, array_to_string(list_slice(ids, 2, 49), ' ') AS targets FROM x")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Random windows of the stream, across conversations' turns."""
+    line = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return stream_draws(spark, sf, 0).select("draw", "place", line("inputs"), line("targets"))
+
+
+@query(f"WITH {FLAT}, {DRAWS.format(lo=1000)}, y AS (SELECT pos, abs(lead(tok) OVER (ORDER BY pos) - tok) AS miss FROM flat), l AS (SELECT draw, avg(miss) AS loss FROM draws JOIN y ON pos BETWEEN place AND place + 47 GROUP BY draw), b AS (SELECT draw // 16 AS batch, avg(loss) AS loss FROM l GROUP BY 1) SELECT round(avg(loss), 9) AS loss, count(*) AS batches FROM b")
+def stream_window_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean over batches of 16 windows from place 1000 on; a model that repeats its input stands for the model."""
+    miss = F.zip_with("inputs", "targets", lambda x, y: F.abs(x - y))
+    loss = F.aggregate(miss, F.lit(0).cast("bigint"), lambda s, v: s + v) / F.size(miss)
+    return tokens.estimate(stream_draws(spark, sf, 1000), loss, F.floor(F.col("draw") / 16)).select(F.round("loss", 9).alias("loss"), "batches")
+
+
+@query(f"WITH {CTOK}, f AS (SELECT key, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM t), o AS (SELECT tok, lead(tok) OVER (ORDER BY key, i) AS nxt FROM f) SELECT round(count(DISTINCT tok || ' ' || nxt) / count(nxt)::DOUBLE, 9) AS exact, true AS within FROM o WHERE nxt IS NOT NULL")
+def corpus_distinct_n_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """The sketch lies within four of its standard errors of the exact value."""
+    t = tokens.with_offsets(conversation_tokens(spark, sf), F.size("w"), "key")
+    exact = tokens.corpus_distinct_n(t, "w", 2).first().distinct_n
+    got = tokens.corpus_distinct_n_sketch(t, "w", 2)
+    return got.select(F.round(F.lit(exact), 9).alias("exact"), (F.abs(F.col("distinct_n") - exact) <= 4 * F.col("error") * exact).alias("within"))
