@@ -49,7 +49,7 @@ def faults(turns: DataFrame) -> DataFrame:
     Rows with `gone` don't belong to the conversation and see none of its rows.
     """
     t = turns.select("conv_id", "gone", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-    t = t.withColumn("initial", F.substring("role", 1, 1))
+    t = t.withColumn("initial", F.substring("role", 1, 1)).repartition("conv_id")  # windows and groups find their rows together
     w = Window.partitionBy("conv_id", "gone").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     t = t.withColumns({"pos": F.row_number().over(w), "previous": F.lag("initial").over(w), "last_turn": F.lag("turn").over(w)})
     t = t.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "gone", "role", "text").orderBy("pos")))
