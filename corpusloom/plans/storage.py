@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from pathlib import Path
 
 import pandas as pd
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chat, clean, evaluate, expand, sample, score, tokens
+from corpusloom.operators import chat, clean, evaluate, expand, match, sample, score, tokens
 from corpusloom.plans.registry import COMP, CTOK, HIT, METRICS, OFFS, QA, RESP, completions, conversation_tokens, eval_metrics, judge_mean, packed, query, read, responses, samples, scratch
-from corpusloom.sources import catalog, generators, readers, writers
+from corpusloom.sources import catalog, generators, journal, readers, writers
+from corpusloom.streaming import ordered, sink
 from corpusloom.streaming import runlog as stream
 
 # ---- files
@@ -51,12 +53,43 @@ def limited_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, length(text) AS n FROM documents ORDER BY doc_id LIMIT 100")
 def first_stories(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.first_stories(read(spark, sf, "documents").select("doc_id", "text"), 100, "doc_id").select("doc_id", F.length("text").alias("n"))
+    """The first rows of many files in the order of their names."""
+    path = scratch(spark, "stories")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    docs.repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return readers.first_stories(spark, path, 100).select("doc_id", F.length("text").alias("n"))
 
 
-@query("SELECT least(count(*), 50) AS n FROM documents")
+@query(f"""
+WITH {QA}, x AS (
+  SELECT 'base' AS origin, q, a, ood::VARCHAR AS intent, NULL AS source FROM qa
+  UNION ALL SELECT 'evolved', q, a, NULL, 'evolved' FROM qa WHERE ood
+  UNION ALL SELECT 'onpolicy', q, NULL, ood::VARCHAR, NULL FROM qa WHERE NOT ood
+  UNION ALL SELECT 'judged', text, NULL, NULL, 'judge' FROM benchmark)
+SELECT origin, md5(q) AS q, md5(a) AS a, intent, source FROM x
+""")
+def merged_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples and three files with columns of their own, each row under its file's stem."""
+    t = samples(spark, sf).select("q", "a", F.col("ood").cast("string").alias("intent"), "ood")
+    base, folder = t.drop("ood"), scratch(spark, "extra")
+    extras = {
+        "evolved": t.where("ood").select("q", "a", F.lit("evolved").alias("source")),
+        "onpolicy": t.where("NOT ood").select("q", "intent"),
+        "judged": read(spark, sf, "benchmark").select(F.col("text").alias("q"), F.lit("judge").alias("source"), "item_id"),
+    }
+    for name, rows in extras.items():
+        writers.jsonl(rows, f"{folder}/{name}.jsonl")
+    merged = readers.with_extras(base.withColumn("origin", F.lit("base")), [f"{folder}/{n}.jsonl" for n in extras], "q string, a string, intent string, source string")
+    return merged.select("origin", F.md5("q").alias("q"), F.md5("a").alias("a"), "intent", "source")
+
+
+@query("SELECT least(count(*), 50) AS n, least(count(*), 50) AS rows_of_the_corpus FROM documents")
 def corpus_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.parquet_sample(spark, f"{sf}/documents.parquet", 50).agg(F.count(F.lit(1)).alias("n"))
+    """Which rows a limit gives is open: they are counted, and those that the corpus holds."""
+    docs = read(spark, sf, "documents")
+    got = readers.parquet_sample(spark, f"{sf}/documents.parquet", 50).select("doc_id", F.md5("text").alias("h"))
+    known = docs.select("doc_id", F.md5("text").alias("h"), F.lit(1).alias("known"))
+    return got.join(known, ["doc_id", "h"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("rows_of_the_corpus"))
 
 
 @query("SELECT 'run=' || (user_id % 4)::VARCHAR AS run, CASE event_id % 2 WHEN 0 THEN 'train' ELSE 'eval' END AS type, count(*) AS n, sum(event_id)::BIGINT AS steps FROM events GROUP BY 1, 2")
@@ -69,10 +102,10 @@ def run_log_glob(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("run", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("step").cast("bigint").alias("steps"))
 
 
-@query("SELECT event_id, 2::BIGINT AS times FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id, 2::BIGINT AS times FROM events")
 def event_log_append(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "events")
-    e = read(spark, sf, "events").where("event_type = 'purchase'").select("event_id")
+    e = read(spark, sf, "events").select("event_id")
     for _ in range(2):
         writers.append_events(e, path)
     return spark.read.schema("event_id long").json(path).groupBy("event_id").agg(F.count(F.lit(1)).alias("times"))
@@ -91,10 +124,7 @@ def token_file(spark: SparkSession, sf: str) -> DataFrame:
     """The stream as flat binary files, read back in stretches of 100 ids by their own bytes."""
     path = scratch(spark, "tokens")
     writers.token_file(tokens.blocks(packed(spark, sf), "ids", 512), path)
-    t = readers.token_file(spark, path, 100)
-    sizes = t.groupBy("path").agg(F.sum(F.size("ids")).alias("n"))
-    placed = tokens.with_offsets(expand.numbered(sizes, F.col("path")), F.col("n"), "ord").select(F.col("path").alias("of"), F.col("start").alias("base"))  # one row a file
-    t = t.join(F.broadcast(placed), F.col("path") == F.col("of")).select(F.posexplode("ids").alias("i", "tok"), (F.col("start") + F.col("base")).alias("at"))
+    t = readers.token_file(spark, path, 100).select(F.posexplode("ids").alias("i", "tok"), F.col("place").alias("at"))
     return t.agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("total"), F.sum(F.col("tok") * ((F.col("at") + F.col("i")) % 1009)).cast("bigint").alias("weighed"))
 
 
@@ -150,13 +180,23 @@ def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return completions(spark, sf).select("qid", "k", generators.judge_prompt(F.col("q"), F.col("a"), F.col("completion")).alias("prompt"))
 
 
-@query("SELECT item_id, k, CASE WHEN item_id % 9 = 4 THEN NULL ELSE 'echo ' || left(text, 40) END AS completion FROM benchmark, (VALUES (0), (1), (2)) t(k)")
+@query("SELECT item_id, k, CASE WHEN item_id % 9 = 4 THEN NULL ELSE 'echo ' || text END AS completion FROM benchmark, (VALUES (0), (1), (2)) t(k)")
 def provider_completions(spark: SparkSession, sf: str) -> DataFrame:
     """Three completions of each prompt by a provider, whose failed calls give null."""
-    prompts = read(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 9 != 4, F.left("text", F.lit(40))).alias("prompt"))
+    prompts = read(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 9 != 4, F.col("text")).alias("prompt"))
     return generators.complete(prompts, lambda batch: [None if p is None else f"echo {p}" for p in batch], k=3).select("item_id", "k", "completion")
 
 
+@query("SELECT item_id, k, CASE WHEN k = 0 THEN 'first ' ELSE 'second ' END || text AS completion, 2 * (SELECT count(*) FROM benchmark) AS asked FROM benchmark, (VALUES (0), (1), (2)) t(k)")
+def journal_completions(spark: SparkSession, sf: str) -> DataFrame:
+    """One completion of each prompt, then three by another provider, which is only asked for the two that the journal lacks."""
+    path = scratch(spark, "journal")
+    prompts = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    journal.complete(prompts, "item_id", lambda batch: [f"first {p}" for p in batch], path)
+    done, asked = journal.complete(prompts, "item_id", lambda batch: [f"second {p}" for p in batch], path, k=3)
+    return done.select("item_id", "k", "completion", F.lit(asked).cast("bigint").alias("asked"))
+
+
 @query(f"WITH {QA} SELECT qid, 'how ' || i::VARCHAR AS q, CASE WHEN i = 2 THEN '' ELSE 'so' END AS a, array_to_string(keywords, ',') AS keywords, ood, ood::VARCHAR AS intent, 'evolved' AS source FROM qa, (VALUES (0), (1), (2)) t(i) WHERE qid % 4 <> 1")
 def child_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The items of replies inherit their seed's intent, keywords and ood; missing answers are empty; replies that don't parse give none."""
@@ -339,3 +379,84 @@ def corpus_distinct_n_sketch(spark: SparkSession, sf: str) -> DataFrame:
     exact = tokens.corpus_distinct_n(t, "w", 2).first().distinct_n
     got = tokens.corpus_distinct_n_sketch(t, "w", 2)
     return got.select(F.round(F.lit(exact), 9).alias("exact"), (F.abs(F.col("distinct_n") - exact) <= 4 * F.col("error") * exact).alias("within"))
+
+
+# ---- streams with state and sinks
+
+
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS run, event_id AS ord, epoch_ms(ts) AS ms, value AS loss FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT max(ms) - 600000 AS passed FROM e),
+b AS (SELECT *, coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM e)
+SELECT run, ord, loss, is_best FROM b, w WHERE ms <= passed
+""")
+def stream_best_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Events judged in the order of their times, each once the watermark has passed it."""
+    schema = read(spark, sf, "events").schema
+    t = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
+    t = t.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("loss"))
+    best = ordered.running_best(t, delay="10 minutes", idle=timedelta(days=36500))
+    return stream.replay(best.select("run", "ord", "loss", "is_best"), scratch(spark, "ordered-out"), scratch(spark, "ordered-checkpoint"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, 1::BIGINT AS times FROM events GROUP BY event_type")
+def event_log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events through a stream to the log, and the stream run again."""
+    schema = read(spark, sf, "events").select("event_id", "event_type").schema
+    t = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
+    path, mark = scratch(spark, "event-log"), scratch(spark, "event-log-checkpoint")
+    for _ in range(2):
+        sink.append_once(t, path, mark, name="events")
+    each = sink.log(spark, path, "event_id long, event_type string").groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("times"))
+    return each.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.max("times").alias("times"))
+
+
+# ---- batches
+
+
+BATCHED = f"""{CTOK}, s AS (SELECT key, len(w) AS n, CASE WHEN len(w) > 8 THEN ceil(len(w) / 16.0) * 16 WHEN len(w) > 4 THEN 8 WHEN len(w) > 2 THEN 4 ELSE greatest(len(w), 1) END::BIGINT AS width FROM t),
+p AS (SELECT *, (row_number() OVER (PARTITION BY width ORDER BY md5(concat_ws('|', '42', key::VARCHAR))) - 1) // greatest(2048 // width, 1) AS number FROM s),
+b AS (SELECT key, n, width::VARCHAR || '-' || number::VARCHAR AS batch FROM p)"""
+
+
+def batched(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.budget_batches(conversation_tokens(spark, sf), F.size("w"), F.col("key"), 2048)
+
+
+@query(f"WITH {BATCHED} SELECT key, batch, ('0x' || substr(md5(concat_ws('|', '42', batch)), 1, 15))::BIGINT AS batch_order FROM b")
+def budget_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return batched(spark, sf).select("key", "batch", "batch_order")
+
+
+@query(f"WITH {BATCHED}, g AS (SELECT batch, count(*) AS rows, max(n) AS longest, sum(n) AS tokens FROM b GROUP BY batch) SELECT count(*) AS batches, sum(tokens)::BIGINT AS tokens, sum(rows * longest - tokens)::BIGINT AS padding, max(CASE WHEN rows > 1 THEN rows * longest END)::BIGINT AS most FROM g")
+def batch_padding(spark: SparkSession, sf: str) -> DataFrame:
+    """Padding of all batches, and the largest padded batch of several rows."""
+    n = F.size("w")
+    each = batched(spark, sf).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.max(n).alias("longest"), F.sum(n).alias("tokens"))
+    padded = F.col("rows") * F.col("longest")
+    return each.agg(F.count(F.lit(1)).alias("batches"), F.sum("tokens").alias("tokens"), F.sum(padded - F.col("tokens")).alias("padding"), F.max(F.when(F.col("rows") > 1, padded)).alias("most"))
+
+
+# ---- many keywords
+
+NAMES = f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS w FROM conversations WHERE role = 'user'),
+g AS (SELECT list(w) AS ws FROM k)
+SELECT doc_id, len(f) AS n, md5(array_to_string(list_sort(f), ' ')) AS words FROM (SELECT doc_id, list_filter(ws, lambda w: contains(text, w)) AS f FROM documents, g)"""
+
+
+def _names(spark: SparkSession, sf: str, held: int) -> DataFrame:
+    """The words of all questions that each document holds."""
+    asked = read(spark, sf, "conversations").where("role = 'user'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("w"))
+    t = match.found(read(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id", asked, "w", held=held)
+    return t.select("doc_id", F.size("found").cast("bigint").alias("n"), F.md5(F.array_join("found", " ")).alias("words"))
+
+
+@query(NAMES)
+def names_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf, match.HELD)
+
+
+@query(NAMES)
+def names_in_documents_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """As if the names were too many to send."""
+    return _names(spark, sf, 0)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.expand import QA, union_all
-from corpusloom.sources.writers import local_uri
+from corpusloom.sources import token_source
 
 EVENT = "type string, step int, loss double, lr double, tok_per_s double, train_loss double, val_loss double, text string, n_params bigint, config map<string,string>"
 
 
-def jsonl(spark: SparkSession, path: str, schema: str = QA) -> DataFrame:
-    """Rows of a JSONL path; blank lines are skipped, anything unparsable is an error."""
+def jsonl(spark: SparkSession, path: str | Sequence[str], schema: str = QA) -> DataFrame:
+    """Rows of JSONL paths; blank lines are skipped, anything unparsable is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -28,12 +28,26 @@ def first_rows(rows: DataFrame, limit: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(max(limit, 1))
 
 
-def first_stories(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """The first n rows by order; an error where there are fewer."""
-    got = rows.orderBy(order).limit(n)
-    if got.count() < n:
+def first_stories(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first n rows of a Parquet path, in the order of files' names and of rows within them; an error where there are fewer.
+
+    Files' row counts come from their footers, since no column is read; only files that hold some of the rows are
+    scanned, and the last of them is cut by its rows' numbers.
+    """
+    counts = spark.read.parquet(path).groupBy("_metadata.file_path").count().orderBy("file_path").collect()
+    chosen, before = [], 0
+    for r in counts:
+        if before >= n:
+            break
+        chosen.append((r.file_path, n - before))
+        before += r["count"]
+    if before < n:
         raise ValueError(f"the source has fewer than {n} rows")
-    return got
+    schema = spark.read.parquet(path).schema
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    last, left = chosen[-1]
+    return spark.read.schema(schema).parquet(*(f for f, _ in chosen)).where((F.col("_metadata.file_path") != last) | (F.col("_metadata.row_index") < left))
 
 
 def parquet_sample(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -41,10 +55,20 @@ def parquet_sample(spark: SparkSession, path: str, n: int) -> DataFrame:
     return spark.read.parquet(path).limit(n)
 
 
+def extra_files(spark: SparkSession, paths: Sequence[str], schema: str = QA) -> DataFrame:
+    """Rows of all JSONL paths in one scan, each with origin, the stem of its file or, for a folder of part files, of the folder.
+
+    schema: all columns that any of them has; those that a file lacks are null there, those that it has beside them are left out.
+    """
+    t = jsonl(spark, list(paths), schema).select("*", F.col("_metadata.file_path").alias("origin"))
+    name = T.base_name(F.col("origin"))
+    of = F.when(name.startswith("part-"), T.parent_name(F.col("origin"))).otherwise(name)
+    return t.withColumn("origin", F.url_decode(F.regexp_replace(of, r"\.[^.]*$", "")))
+
+
 def with_extras(samples: DataFrame, paths: Sequence[str], schema: str = QA) -> DataFrame:
     """samples and further files, each counted under its stem (origin)."""
-    spark = samples.sparkSession
-    return union_all([samples, *(jsonl(spark, p, schema).withColumn("origin", T.base_name(F.lit(p), stem=True)) for p in paths)])
+    return union_all([samples, extra_files(samples.sparkSession, paths, schema)]) if paths else samples
 
 
 def run_logs(spark: SparkSession, glob: str, schema: str = EVENT) -> DataFrame:
@@ -59,28 +83,12 @@ def sidecar(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def token_file(spark: SparkSession, path: str, block: int, *, dtype: str = "<u2") -> DataFrame:
-    """path, start, ids of flat binary token files: stretches of `block` ids, of which each task reads its own bytes alone."""
-    import numpy as np
-    import pyarrow as pa
-
-    width = np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # contents aren't read
-    count = F.ceil(F.col("length") / (width * block)).cast("bigint")
-    t = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("k")).repartition("path", "k")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for b in batches:
-            for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                system, name = fs.FileSystem.from_uri(local_uri(p))
-                with system.open_input_file(name) as f:
-                    f.seek(k * block * width)
-                    ids = np.frombuffer(f.read(block * width), dtype).astype("int32")
-                yield pa.RecordBatch.from_pydict({"path": pa.array([p]), "start": pa.array([k * block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32()))})
+def token_file(spark: SparkSession, path: str, block: int, *, dtype: str | None = None) -> DataFrame:
+    """path, start, place, ids of flat binary token files: `block` ids a row, each task reading its own bytes alone.
 
-    return t.mapInArrow(run, "path string, start long, ids array<int>")
+    dtype: of an id; where there is no manifest that says it, two bytes.
+    """
+    return token_source.read(spark, path, block=block, **({"dtype": dtype} if dtype else {}))
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import token_source
+
 
 def jsonl(rows: DataFrame, path: str, *, by: str | None = None) -> None:
     """JSONL, UTF-8 unescaped, null fields left out; one folder for each value of `by`."""
@@ -51,36 +52,6 @@ def token_blocks(blocks: DataFrame, path: str) -> None:
 
 
 def token_file(blocks: DataFrame, path: str, dtype: str = "<u2") -> int:
-    """(block_id, ids) as flat binary files, part-00000.bin and so on: one after the other they are the stream.  Returns the tokens written.
-
-    Each task writes a range of blocks under another name and then renames it, so that a repeated task does no harm.
-    """
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        system, folder = fs.FileSystem.from_uri(local_uri(path))
-        part = TaskContext.get().partitionId()
-        name, draft, n = f"{folder}/part-{part:05d}.bin", f"{folder}/_draft-{part}-{TaskContext.get().taskAttemptId()}", 0
-        system.create_dir(folder, recursive=True)
-        with system.open_output_stream(draft) as out:
-            for b in batches:
-                for x in b.column(0):
-                    ids = x.values.to_numpy(zero_copy_only=False)
-                    out.write(ids.astype(dtype).tobytes())
-                    n += len(ids)
-        if n:
-            system.move(draft, name)
-        else:
-            system.delete_file(draft)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    ordered = blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").select("ids")
-    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def local_uri(path: str) -> str:
-    """Spark's file:/x as file:///x; other paths as they are."""
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    """(block_id, ids) as flat binary files, one after the other the stream, behind a manifest.  Returns the tokens written."""
+    token_source.write(blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").select("ids"), path, dtype=dtype)
+    return token_source.manifest(path)["tokens"]

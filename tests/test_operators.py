@@ -137,9 +137,10 @@ def test_distinct_n_of_a_long_text(spark):
     assert got == [len(set(grams)) / len(grams), 0.0, 0.0, 1.0] and time.time() - began < 20
 
 
-def test_a_short_source_is_an_error(spark):
+def test_a_short_source_is_an_error(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError):
-        readers.first_stories(spark.range(3), 4, "id")
+        readers.first_stories(spark, str(tmp_path / "t"), 4)
 
 
 def test_rebalance_uses_doubles(spark):
