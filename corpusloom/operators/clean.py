@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.names import unused
 
 
 def length_gate(q: Column, a: Column, q_range: tuple[int, int] = (4, 80), a_range: tuple[int, int] = (5, 200)) -> Column:
@@ -26,10 +27,10 @@ def first_wins(rows: DataFrame, keys: Sequence[Column], order: Sequence[Column])
     row_number() = 1 becomes a partial group limit before the shuffle, so copies of a hot key
     are dropped on the map side.
     """
-    names = [f"__k{k}" for k in range(len(keys))]
+    *names, rank = unused(rows, *(f"__k{k}" for k in range(len(keys))), "__rn")
     t = rows.withColumns(dict(zip(names, keys, strict=True)))
-    t = t.withColumn("__rn", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    return t.where("__rn = 1").drop("__rn", *names)
+    t = t.withColumn(rank, F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    return t.where(F.col(rank) == 1).drop(rank, *names)
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: Column, *, seed: str = "42", train: float = 0.8, val: float = 0.9, digits: int = 3) -> DataFrame:
@@ -38,15 +39,17 @@ def stratified_split(rows: DataFrame, stratum: str, key: Column, *, seed: str =
     `key` must be unique.  Rows are ranked within (stratum, leading `digits` hex digits of the hash), so a
     stratum is dealt to 16 ** digits groups; what precedes a group is summed over the groups' counts.
     """
-    t = rows.withColumn("__h", T.hash_order(seed, key)).withColumn("__bin", F.substring("__h", 1, digits))
-    bins = t.groupBy(F.col(stratum).alias("__s"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("__m"))
-    of = Window.partitionBy("__s")
-    bins = bins.withColumns({"__n": F.sum("__m").over(of), "__before": F.coalesce(F.sum("__m").over(of.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("__m")
-    t = t.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum, "__bin").orderBy("__h")))
-    t = t.join(bins, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-    rank = F.col("__before") + F.col("__rn")
-    split = F.when(rank <= F.floor(F.col("__n") * F.lit(train)), "train").when(rank <= F.floor(F.col("__n") * F.lit(val)), "val").otherwise("test")
-    return t.withColumn("split", split).select(*rows.columns, "split")
+    h, bin_, of_stratum, of_bin, total, before, rank = unused(rows, "__h", "__bin", "__s", "__b", "__n", "__before", "__rn")
+    t = rows.withColumn(h, T.hash_order(seed, key)).withColumn(bin_, F.substring(h, 1, digits))
+    bins = t.groupBy(F.col(stratum).alias(of_stratum), F.col(bin_).alias(of_bin)).agg(F.count(F.lit(1)).alias("m"))
+    of = Window.partitionBy(of_stratum)
+    earlier = F.sum("m").over(of.orderBy(of_bin).rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(of_stratum, of_bin, F.sum("m").over(of).alias(total), F.coalesce(earlier, F.lit(0)).alias(before))
+    t = t.withColumn(rank, F.row_number().over(Window.partitionBy(stratum, bin_).orderBy(h)))
+    t = t.join(bins, F.col(stratum).eqNullSafe(F.col(of_stratum)) & (F.col(bin_) == F.col(of_bin)))
+    place = F.col(before) + F.col(rank)
+    split = F.when(place <= F.floor(F.col(total) * F.lit(train)), "train").when(place <= F.floor(F.col(total) * F.lit(val)), "val").otherwise("test")
+    return t.withColumn("split", split).drop(h, bin_, of_stratum, of_bin, total, before, rank)
 
 
 def split_by_group(rows: DataFrame, group: Column, *, seed: str = "42", train: float = 0.8, val: float = 0.9) -> DataFrame:

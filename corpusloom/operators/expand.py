@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.names import unused
+from corpusloom.operators import sample
 
 # The templates of questions and of their colloquial variants; below, the wording of answers and the keywords.
 PRICE = ("你们家{name}多少钱?", "{name}多少钱一杯?", "请问{name}的价格是?", "{name}要多少钱?", "你们{name}卖多少钱?", "{name}怎么卖的?", "我想知道{name}多少钱", "一杯{name}多少钱?")
@@ -81,11 +83,28 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def numbered(rows: DataFrame, *order: Column, start: int = 0) -> DataFrame:
-    """Adds ord, counted from `start`.  For tables of literals: it is one global window."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*order)) + (start - 1))
+def numbered(rows: DataFrame, *order: Column, start: int = 0, parts: int | None = None) -> DataFrame:
+    """Adds ord, counted from `start`, by ascending columns that tell rows apart (null first).
+
+    Pivots drawn from the rows deal them to `parts` ranges (as many as the session's shuffle partitions); rows are
+    numbered within a range, after those of the ranges before it.  One range does for few rows.
+    """
+    spark = rows.sparkSession
+    key, number, before = unused(rows, "__key", "__range", "__before")
+    t = rows.withColumn(key, sample.order_key(order))
+    keys = t.select(F.col(key).alias("key"))
+    n, ranges = keys.count(), sample.Ranges(keys)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pivots = ranges.draw(keys, n, parts, 1) if n > sample.SETTLED and parts > 1 else []
+    t = t.withColumn(number, ranges.number(pivots, F.col(key)))
+    base, total = [], start
+    for at, count in sorted(tuple(r) for r in t.groupBy(number).count().collect()):
+        base.append((at, total))
+        total += count
+    bases = spark.createDataFrame(base, f"{number} int, {before} long")
+    of = Window.partitionBy(number).orderBy(key)
+    t = t.withColumn("ord", F.row_number().over(of) - 1).join(F.broadcast(bases), number)  # two rows a pivot at most
+    return t.withColumn("ord", F.col("ord") + F.col(before)).drop(key, number, before)
 
 
 def expand(seeds: DataFrame, products: DataFrame, toppings: DataFrame, topics: DataFrame, answers: Sequence[str], *, seed: str = "42") -> DataFrame:

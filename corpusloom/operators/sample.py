@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.names import unused
 
 #: Hex digits that a pass counts by: at most 16 ** DIGITS numbers come back.
 DIGITS = 4
@@ -87,6 +88,34 @@ def simple(rows: DataFrame, k: int, key: Column, *, seed: str = "42") -> DataFra
     return out if more is None else out.unionByName(more)
 
 
+class Ranges:
+    """An order of rows by ascending columns (null first), cut into ranges by pivots drawn from them."""
+
+    def __init__(self, keys: DataFrame):
+        """keys: a table with the struct `key` alone."""
+        self.fields = keys.schema["key"].dataType.fields
+
+    def literal(self, values) -> Column:
+        return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, self.fields, strict=True)))
+
+    def draw(self, keys: DataFrame, rows: int, pivots: int, seed: int) -> list:
+        """At most `pivots` keys of a table of some number of rows, in order."""
+        drawn = sorted_keys(keys.sample(min(1.0, 4 * pivots / max(rows, 1)), seed=seed).limit(8 * pivots).distinct())
+        return drawn[:: -(-len(drawn) // pivots) or 1]
+
+    def number(self, pivots: list, key: Column) -> Column:
+        """2j where key lies between pivots j - 1 and j, 2j - 1 where it is pivot j - 1."""
+        if not pivots:
+            return F.lit(0)
+        bounds = F.array(*map(self.literal, pivots))
+        reached = F.size(F.filter(bounds, lambda p: p <= key))
+        return F.when(reached == 0, 0).when(F.element_at(bounds, F.greatest(reached, F.lit(1))) == key, 2 * reached - 1).otherwise(2 * reached)
+
+
+def order_key(order: tuple[Column, ...]) -> Column:
+    return F.struct(*(c.alias(f"k{j}") for j, c in enumerate(order)))
+
+
 def first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows by ascending columns (null first), all where there are fewer, in no order; for any k, and without a sort of the rows.
 
@@ -96,39 +125,29 @@ def first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """
     if k <= 0:
         return rows.where(F.lit(False))
-    key = F.struct(*(c.alias(f"k{j}") for j, c in enumerate(order)))
+    key = order_key(order)
     keys, missing = rows.select(key.alias("key")), k
-    fields = keys.schema["key"].dataType.fields
-
-    def literal(values) -> Column:
-        return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields, strict=True)))
-
-    n, turn = keys.count(), 0
+    ranges, n, turn = Ranges(keys), keys.count(), 0
     if n <= k:
         return rows
     while n > SETTLED:
         turn += 1
-        drawn = _sorted(keys.sample(min(1.0, 4 * PIVOTS / n), seed=turn).limit(8 * PIVOTS).distinct())
-        drawn = drawn[:: -(-len(drawn) // PIVOTS) or 1]
-        if not drawn:
+        pivots = ranges.draw(keys, n, PIVOTS, turn)
+        if not pivots:
             continue
-        pivots = F.array(*map(literal, drawn))
-        reached = F.size(F.filter(pivots, lambda p: p <= F.col("key")))
-        # 2j rows lie between pivots j - 1 and j, 2j - 1 on pivot j - 1.
-        range_ = F.when(reached == 0, 0).when(F.element_at(pivots, F.greatest(reached, F.lit(1))) == F.col("key"), 2 * reached - 1).otherwise(2 * reached)
-        for at, n in sorted(tuple(r) for r in keys.groupBy(range_.alias("range")).count().collect()):
+        for at, n in sorted(tuple(r) for r in keys.groupBy(ranges.number(pivots, F.col("key")).alias("range")).count().collect()):
             if n >= missing:
                 break
             missing -= n
         if at % 2:
-            return _up_to(rows, key, literal(drawn[at // 2]), missing, n)
+            return _up_to(rows, key, ranges.literal(pivots[at // 2]), missing, n)
         if at:
-            keys = keys.where(F.col("key") > literal(drawn[at // 2 - 1]))
-        if at // 2 < len(drawn):
-            keys = keys.where(F.col("key") < literal(drawn[at // 2]))
-    last = _sorted(keys)
+            keys = keys.where(F.col("key") > ranges.literal(pivots[at // 2 - 1]))
+        if at // 2 < len(pivots):
+            keys = keys.where(F.col("key") < ranges.literal(pivots[at // 2]))
+    last = sorted_keys(keys)
     end = last[missing - 1]
-    return _up_to(rows, key, literal(end), missing - last.index(end), last.count(end))
+    return _up_to(rows, key, ranges.literal(end), missing - last.index(end), last.count(end))
 
 
 def _up_to(rows: DataFrame, key: Column, end: Column, needed: int, there: int) -> DataFrame:
@@ -138,7 +157,7 @@ def _up_to(rows: DataFrame, key: Column, end: Column, needed: int, there: int) -
     return rows.where(key < end).unionByName(_tied(rows.where(key == end), needed))
 
 
-def _sorted(keys: DataFrame) -> list:
+def sorted_keys(keys: DataFrame) -> list:
     """The keys of a small table, in Spark's order."""
     return [r.key for r in keys.orderBy("key").collect()]
 
@@ -148,16 +167,17 @@ def head(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def head_per_group(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("__rn", rn).where(F.col("__rn") <= n).drop("__rn")
+    (rank,) = unused(rows, "__rn")
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= n).drop(rank)
 
 
 def stratified(rows: DataFrame, stratum: str, total: int, key: Column, *, seed: str = "42") -> DataFrame:
     """max(1, total div strata) rows of each stratum at most, `total` in all."""
     n = rows.select(F.countDistinct(stratum).alias("n")).first().n
     quota = max(1, total // max(n, 1))
-    h = T.hash_order(seed, key)
-    return head_per_group(rows.withColumn("__h", h), stratum, quota, F.col("__h")).orderBy(stratum, "__h").limit(total).drop("__h")
+    (h,) = unused(rows, "__h")
+    t = head_per_group(rows.withColumn(h, T.hash_order(seed, key)), stratum, quota, F.col(h))
+    return t.orderBy(stratum, h).limit(total).drop(h)
 
 
 def rebalance(rows: DataFrame, flag: str, share: float, key: Column, *, seed: str = "42") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
-from corpusloom.plans.registry import PROBE, PROBE_SQL, _probe, query, vectors
+from corpusloom.plans.registry import PROBE, PROBE_SQL, _probe, query, read, vectors
 
 
 def _grid(c: Column, rows: int, width: int) -> Column:
@@ -58,17 +58,19 @@ def swiglu(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("vec_id", _probe(A.swiglu(F.slice("v", 1, 32), F.slice("v", 33, 32))).alias("probe"))
 
 
-@query("SELECT w AS width, floor(w * 4 * 2 / 3.0::DOUBLE)::INT AS hidden, s AS steps, floor(s * 0.03::DOUBLE)::INT AS warm_up FROM (VALUES (384, 300), (128, 199), (100, 2000), (1, 33)) t(w, s)")
+@query("SELECT p_partkey, 8 * p_size AS width, floor(8 * p_size * 4 * 2 / 3.0::DOUBLE)::INT AS hidden, floor(p_partkey * 0.03::DOUBLE)::INT AS warm_up FROM part")
 def widths_and_steps(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(384, 300), (128, 199), (100, 2000), (1, 33)], "width int, steps int")
-    return t.select("width", A.swiglu_width(F.col("width")).alias("hidden"), "steps", A.warm_up_steps(F.col("steps")).alias("warm_up"))
+    """A width and a number of steps for each part."""
+    width = 8 * F.col("p_size")
+    return read(spark, sf, "part").select("p_partkey", width.alias("width"), A.swiglu_width(width).alias("hidden"), A.warm_up_steps(F.col("p_partkey")).alias("warm_up"))
 
 
-@query(f"WITH b AS (SELECT i AS h, 4 AS n FROM range(1, 5) r(i)), r AS (SELECT h, flatten([[CASE WHEN j > i THEN 0.0::DOUBLE ELSE -pow(2.0::DOUBLE, -2.0::DOUBLE * h) * (i - j) END for j in range(0, 6)] for i in range(0, 6)]) AS o FROM b) SELECT h AS head, {PROBE_SQL} AS probe FROM r")
+@query(f"WITH b AS (SELECT vec_id, vec_id % 4 + 1 AS h, 1 + vec_id % 7 AS n FROM embeddings), r AS (SELECT vec_id, flatten([[CASE WHEN j > i THEN 0.0::DOUBLE ELSE -pow(2.0::DOUBLE, -2.0::DOUBLE * h) * (i - j) END for j in range(0, n)] for i in range(0, n)]) AS o FROM b) SELECT vec_id, {PROBE_SQL} AS probe FROM r")
 def alibi_bias(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(4,)], "heads int").select(F.posexplode(A.alibi_slopes(F.col("heads"))).alias("i", "s"))
-    b = F.transform(F.flatten(A.alibi_bias(F.col("s"), F.lit(6))), lambda x: F.when(x == float("-inf"), 0.0).otherwise(x))
-    return t.select((F.col("i") + 1).cast("bigint").alias("head"), _probe(b).alias("probe"))
+    """For each vector the bias of one of four heads, over a length of its own."""
+    t = read(spark, sf, "embeddings").select("vec_id", F.element_at(A.alibi_slopes(F.lit(4)), (F.col("vec_id") % 4 + 1).cast("int")).alias("s"), (1 + F.col("vec_id") % 7).cast("int").alias("n"))
+    b = F.transform(F.flatten(A.alibi_bias(F.col("s"), F.col("n"))), lambda x: F.when(x == float("-inf"), 0.0).otherwise(x))
+    return t.select("vec_id", _probe(b).alias("probe"))
 
 
 @query(f"""

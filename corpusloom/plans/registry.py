@@ -91,13 +91,13 @@ SPLIT = "CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n
 
 
 @query(f"""
-WITH g AS (SELECT doc_id, lang, source, text, {norm_sql('text')} AS nt FROM documents WHERE length(text) BETWEEN 5 AND 100000),
+WITH g AS (SELECT doc_id, lang, source, text, {norm_sql('text')} AS nt FROM documents WHERE length(text) >= 5),
 u AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY nt ORDER BY doc_id) = 1),
 s AS (SELECT lang, {SPLIT} AS split, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', '42', doc_id::VARCHAR))) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM u))
 SELECT lang, split, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM s GROUP BY lang, split
 """)
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").where(F.length("text").between(5, 100000))
+    docs = read(spark, sf, "documents").where(F.length("text") >= 5)
     unique = clean.first_wins(docs.select("doc_id", "lang", "text"), [T.normalize(F.col("text"))], [F.col("doc_id")])
     return clean.stratified_split(unique, "lang", F.col("doc_id")).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
 
@@ -237,9 +237,10 @@ def _h(seed: str, key: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '{seed}', {key}::VARCHAR)), 1, 8))::BIGINT"
 
 
-@query(f"WITH t AS (SELECT i AS qid, {_h('42a', 'i')} % 99 + 1 AS a, {_h('42b', 'i')} % 99 + 1 AS b, {_h('42op', 'i')} % 2 = 0 AS plus FROM range(200) r(i)) SELECT qid, CASE WHEN plus THEN a::VARCHAR || ' + ' || b::VARCHAR ELSE greatest(a, b)::VARCHAR || ' - ' || least(a, b)::VARCHAR END AS prompt, CASE WHEN plus THEN a + b ELSE greatest(a, b) - least(a, b) END::VARCHAR AS answer FROM t")
+@query(f"WITH t AS (SELECT event_id AS qid, {_h('42a', 'event_id')} % 99 + 1 AS a, {_h('42b', 'event_id')} % 99 + 1 AS b, {_h('42op', 'event_id')} % 2 = 0 AS plus FROM events) SELECT qid, CASE WHEN plus THEN a::VARCHAR || ' + ' || b::VARCHAR ELSE greatest(a, b)::VARCHAR || ' - ' || least(a, b)::VARCHAR END AS prompt, CASE WHEN plus THEN a + b ELSE greatest(a, b) - least(a, b) END::VARCHAR AS answer FROM t")
 def math_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return generators.math_questions(spark, 200)
+    """A question for every event."""
+    return generators.arithmetic(read(spark, sf, "events").select(F.col("event_id").alias("qid")))
 
 
 # ---- verifiers and alignment
@@ -595,26 +596,27 @@ def rope(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("vec_id", _probe(A.rope(F.col("v"), (F.col("vec_id") % 128).cast("double"), 64)).alias("probe"))
 
 
-@query("SELECT h AS heads, i AS head, round(pow(2.0::DOUBLE, -8.0::DOUBLE * i / h), 9) AS slope FROM (VALUES (1), (2), (6), (8)) a(h), (SELECT unnest(range(1, 9)) AS i) b WHERE i <= h")
+@query("SELECT vec_id, h AS heads, i AS head, round(pow(2.0::DOUBLE, -8.0::DOUBLE * i / h), 9) AS slope FROM (SELECT vec_id, vec_id % 8 + 1 AS h FROM embeddings), (SELECT unnest(range(1, 9)) AS i) b WHERE i <= h")
 def alibi(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(h,) for h in (1, 2, 6, 8)], "heads int")
-    t = t.select("heads", F.posexplode(A.alibi_slopes(F.col("heads"))).alias("i", "s"))
-    return t.select("heads", (F.col("i") + 1).cast("bigint").alias("head"), F.round("s", 9).alias("slope"))
+    t = read(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 8 + 1).alias("heads"))
+    t = t.select("vec_id", "heads", F.posexplode(A.alibi_slopes(F.col("heads"))).alias("i", "s"))
+    return t.select("vec_id", "heads", (F.col("i") + 1).cast("bigint").alias("head"), F.round("s", 9).alias("slope"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.0006::DOUBLE * (s + 1) / 100.0::DOUBLE ELSE 0.0006::DOUBLE * 0.5 * (1 + cos(pi() * ((s - 100) / 1900.0::DOUBLE))) END, 12) AS lr FROM range(2001) r(s)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 1000 THEN 0.0006::DOUBLE * (event_id + 1) / 1000.0::DOUBLE ELSE 0.0006::DOUBLE * 0.5 * (1 + cos(pi() * ((event_id - 1000) / 99000.0::DOUBLE))) END, 12) AS lr FROM events")
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(2001).select(F.col("id").alias("step"), F.round(A.learning_rate(F.col("id"), 0.0006, 100, 2000), 12).alias("lr"))
+    """The rate at each event's step."""
+    return read(spark, sf, "events").select(F.col("event_id").alias("step"), F.round(A.learning_rate(F.col("event_id"), 0.0006, 1000, 100000), 12).alias("lr"))
 
 
-SHAPES = ((4096, 384, 6, 6, 6, 256), (4096, 384, 6, 6, 3, 256), (4096, 384, 6, 6, 1, 256), (4096, 128, 4, 4, 4, 256))
-
-
-@query("SELECT v AS vocab, c AS width, k AS kv_heads, (v * c + b * c + l * (2 * c * c + 2 * c * c * k // h + 8 * c * c + 2 * c) + c)::BIGINT AS n FROM (VALUES (4096, 384, 6, 6, 6, 256), (4096, 384, 6, 6, 3, 256), (4096, 384, 6, 6, 1, 256), (4096, 128, 4, 4, 4, 256)) t(v, c, l, h, k, b)")
+@query("WITH t AS (SELECT p_partkey, 4096 + p_partkey AS v, 64 * p_size AS c, 1 + p_partkey % 12 AS l, 8 AS h, CASE p_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 1 END AS k, 256 AS b FROM part) SELECT p_partkey, k AS kv_heads, (v * c + b * c + l * (2 * c * c + 2 * c * c * k // h + 8 * c * c + 2 * c) + c)::BIGINT AS n FROM t")
 def param_count(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame(SHAPES, "vocab int, width int, layers int, heads int, kv_heads int, block int")
-    n = A.parameter_count(*(F.col(c) for c in ("vocab", "width", "layers", "heads", "kv_heads", "block")))
-    return t.select("vocab", "width", "kv_heads", n.alias("n"))
+    """A model for each part: its size is the width."""
+    key = F.col("p_partkey")
+    kv = F.when(key % 3 == 0, 8).when(key % 3 == 1, 4).otherwise(1)
+    width = (F.lit(64) * F.col("p_size")).cast("bigint")
+    n = A.parameter_count(4096 + key, width, 1 + key % 12, F.lit(8), kv, F.lit(256))
+    return read(spark, sf, "part").select("p_partkey", kv.alias("kv_heads"), n.alias("n"))
 
 
 # ---- plain analytics on the star tables, for benchmarks

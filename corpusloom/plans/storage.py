@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chat, clean, evaluate, expand, match, sample, score, tokens
-from corpusloom.plans.registry import COMP, CTOK, HIT, METRICS, OFFS, QA, RESP, completions, conversation_tokens, eval_metrics, judge_mean, packed, query, read, responses, samples, scratch
+from corpusloom.plans.registry import COMP, CTOK, HIT, METRICS, OFFS, QA, RESP, SQL, WS, completions, conversation_tokens, eval_metrics, judge_mean, packed, products, query, read, responses, samples, scratch
 from corpusloom.sources import catalog, generators, journal, readers, writers
 from corpusloom.streaming import ordered, sink
 from corpusloom.streaming import runlog as stream
@@ -128,42 +128,86 @@ def token_file(spark: SparkSession, sf: str) -> DataFrame:
     return t.agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("total"), F.sum(F.col("tok") * ((F.col("at") + F.col("i")) % 1009)).cast("bigint").alias("weighed"))
 
 
-# ---- literal tables
+# ---- literal tables, each row of a given table taking one of their rows
 
 
-def _seed_values() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({k}, {quote(i)}, {quote(q)}, {quote(a)}, {quote(','.join(w))}, {str(i == 'ood').lower()})" for k, (i, q, a, w) in enumerate(catalog.SEEDS))
+def _quoted(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
 
 
-@query(f"SELECT * FROM (VALUES {_seed_values()}) t(ord, intent, q, a, keywords, ood)")
+def _values_of(rows) -> str:
+    return "VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in rows)
+
+
+SEED_ROWS = _values_of((k, i, q, a, ",".join(w), i == "ood") for k, (i, q, a, w) in enumerate(catalog.SEEDS))
+
+
+@query(f"SELECT c_custkey, intent, q, a, keywords, ood FROM customer JOIN ({SEED_ROWS}) t(ord, intent, q, a, keywords, ood) ON c_custkey % {len(catalog.SEEDS)} = ord")
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.seeds(spark).withColumn("keywords", F.array_join("keywords", ","))
+    """Every customer asks one of the seed questions."""
+    asked = read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % len(catalog.SEEDS)).alias("ord"))
+    t = asked.join(F.broadcast(catalog.seeds(spark)), "ord").drop("ord")  # a literal table
+    return t.withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query("SELECT * FROM (VALUES ('product', 8::BIGINT, 110::BIGINT), ('topping', 5, 14), ('topic', 20, 0), ('allergen', 4, 0), ('refusal', 2, 0), ('prompt', 5, 0)) t(kind, n, price)")
+@query(f"""
+SELECT p.name AS product, t.name AS topping, count(*) AS n, sum(p.price + t.price)::BIGINT AS price, count(l.note) AS noted, sum(length(o.thing) + length(r.answer) + length(m.prompt))::BIGINT AS chars
+FROM orders
+JOIN ({_values_of((k, x[0], x[1]) for k, x in enumerate(catalog.PRODUCTS))}) p(ord, name, price) ON o_orderkey % {len(catalog.PRODUCTS)} = p.ord
+JOIN ({_values_of((k, *x) for k, x in enumerate(catalog.TOPPINGS))}) t(ord, name, price) ON o_custkey % {len(catalog.TOPPINGS)} = t.ord
+JOIN ({_values_of(enumerate(catalog.TOPICS))}) o(ord, thing) ON o_orderkey % {len(catalog.TOPICS)} = o.ord
+JOIN ({_values_of(enumerate(catalog.REFUSALS))}) r(ord, answer) ON o_orderkey % {len(catalog.REFUSALS)} = r.ord
+JOIN ({_values_of(enumerate(catalog.PROMPTS))}) m(ord, prompt) ON o_custkey % {len(catalog.PROMPTS)} = m.ord
+LEFT JOIN ({_values_of(catalog.ALLERGENS.items())}) l(name, note) ON l.name = p.name
+GROUP BY 1, 2
+""")
 def literal_tables(spark: SparkSession, sf: str) -> DataFrame:
-    counted = lambda t, kind, price: t.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(price), F.lit(0)).cast("bigint").alias("price"))
-    none = F.lit(0)
-    parts = [(catalog.products(spark), "product", F.col("price")), (catalog.toppings(spark), "topping", F.col("price")), (catalog.topics(spark), "topic", none), (catalog.allergens(spark).select(F.explode("allergens")), "allergen", none), (catalog.refusals(spark), "refusal", none), (catalog.prompts(spark), "prompt", none)]
-    return expand.union_all([counted(*p) for p in parts])
+    """Every order takes a product, a topping, a topic, a refusal and a prompt."""
+    one = lambda t, n, **names: F.broadcast(t.select(F.col("ord").cast("long").alias(f"of_{n}"), *(F.col(c).alias(new) for c, new in names.items())))
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    t = read(spark, sf, "orders").select(
+        (order % len(catalog.PRODUCTS)).alias("of_product"), (customer % len(catalog.TOPPINGS)).alias("of_topping"), (order % len(catalog.TOPICS)).alias("of_topic"),
+        (order % len(catalog.REFUSALS)).alias("of_refusal"), (customer % len(catalog.PROMPTS)).alias("of_prompt"),
+    )
+    t = t.join(one(catalog.products(spark), "product", name="product", price="price"), "of_product").join(one(catalog.toppings(spark), "topping", name="topping", price="more"), "of_topping")
+    t = t.join(one(catalog.topics(spark), "topic", thing="thing"), "of_topic").join(one(catalog.refusals(spark), "refusal", answer="answer"), "of_refusal")
+    t = t.join(one(catalog.prompts(spark), "prompt", prompt="prompt"), "of_prompt")
+    notes = F.broadcast(catalog.allergens(spark).select(F.explode("allergens").alias("product", "note")))
+    t = t.join(notes, "product", "left")
+    chars = F.length("thing") + F.length("answer") + F.length("prompt")
+    return t.groupBy("product", "topping").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price") + F.col("more")).alias("price"), F.count("note").alias("noted"), F.sum(chars).alias("chars"))
+
+
+def _templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds and topics, with `part` as products and toppings."""
+    toppings = read(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.floor("p_retailprice").cast("int").alias("price"))
+    raw = expand.expand(catalog.seeds(spark).drop("ord"), products(spark, sf), toppings, catalog.topics(spark), catalog.REFUSALS)
+    return raw.withColumn("ord", F.xxhash64("origin", "q", "a", "prefix_id"))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    raw = expand.expand(catalog.seeds(spark).drop("ord"), catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.REFUSALS)
-    return raw.withColumn("ord", F.xxhash64("origin", "q", "a", "prefix_id"))
+_PLAIN = f"""
+SELECT 'seed' AS origin, q, a FROM ({SEED_ROWS}) t(ord, intent, q, a, keywords, ood)
+UNION ALL SELECT 'price_template', q, a FROM ({SQL['price_templates']})
+UNION ALL SELECT 'recommend_template', q, a FROM ({SQL['tag_templates']})
+UNION ALL SELECT 'customize_template', q, a FROM ({SQL['hot_customize']})
+UNION ALL SELECT 'topping_template', q, a FROM ({SQL['topping_templates']})
+UNION ALL SELECT 'ood_template', replace((SELECT list(x ORDER BY k) FROM ({_values_of(enumerate(expand.OUT_OF_DOMAIN))}) v(k, x))[('0x' || substr(md5('42q|' || thing), 1, 8))::BIGINT % {len(expand.OUT_OF_DOMAIN)} + 1], '{{thing}}', thing),
+  (SELECT list(x ORDER BY k) FROM ({_values_of(enumerate(catalog.REFUSALS))}) v(k, x))[('0x' || substr(md5('42a|' || thing), 1, 8))::BIGINT % {len(catalog.REFUSALS)} + 1]
+  FROM (SELECT thing FROM ({_values_of(enumerate(catalog.TOPICS))}) v(k, thing) ORDER BY md5('42|' || thing) LIMIT 16)
+"""
+_ALL = f"plain AS ({_PLAIN}), raw AS (SELECT origin, replace(p.t, '{{q}}', q) AS q, a FROM plain, ({_values_of(enumerate(expand.PARAPHRASE))}) p(k, t))"
 
 
-@query("SELECT * FROM (VALUES ('seed', 55::BIGINT, 275::BIGINT), ('price_template', 64, 320), ('recommend_template', 96, 480), ('customize_template', 20, 100), ('topping_template', 5, 25), ('ood_template', 16, 80)) t(origin, plain, n)")
+@query(f"WITH plain AS ({_PLAIN}) SELECT origin, count(*) AS plain, 5 * count(*) AS n FROM plain GROUP BY origin")
 def template_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The union of all branches, in all paraphrases."""
-    return _templates(spark).groupBy("origin").agg(F.count_if(F.col("prefix_id") == 0).alias("plain"), F.count(F.lit(1)).alias("n"))
+    return _templates(spark, sf).groupBy("origin").agg(F.count_if(F.col("prefix_id") == 0).alias("plain"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 1280::BIGINT AS raw_count, 30::BIGINT AS dedup_dropped, 1250::BIGINT AS final_count, 22.7::DOUBLE AS expansion_ratio")
+@query(f"WITH {_ALL}, kept AS (SELECT DISTINCT regexp_replace(q, '{WS}', '', 'g') AS q FROM raw WHERE length(q) BETWEEN 4 AND 80 AND length(a) BETWEEN 5 AND 200), c AS (SELECT (SELECT count(*) FROM raw) AS n, (SELECT count(*) FROM kept) AS k) SELECT n AS raw_count, n - k AS dedup_dropped, k AS final_count, round(k / {len(catalog.SEEDS)}.0::DOUBLE, 1) AS expansion_ratio FROM c")
 def template_corpus_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Gated and deduplicated by question: the known counts of the corpus without extra files."""
-    raw = _templates(spark)
+    """Gated and deduplicated by question."""
+    raw = _templates(spark, sf)
     return clean.corpus_stats(raw, clean.build_corpus(raw, dedup="q"), len(catalog.SEEDS)).select("raw_count", "dedup_dropped", "final_count", "expansion_ratio")
 
 
@@ -206,16 +250,17 @@ def child_rows(spark: SparkSession, sf: str) -> DataFrame:
     return generators.variants(t, "evolved", keep=("qid",)).withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query("SELECT 'from-file' AS found, NULL AS missing")
+@query("SELECT n_nationkey, n_name AS found, NULL AS missing FROM nation")
 def credential(spark: SparkSession, sf: str) -> DataFrame:
-    """Looked up in a file of the driver, where the environment has none."""
+    """Looked up in a file of the driver, a line for each nation, where the environment has none."""
     import tempfile
 
+    nations = [tuple(r) for r in read(spark, sf, "nation").select("n_nationkey", "n_name").collect()]  # a fixed 25
     with tempfile.TemporaryDirectory() as d:
         file = Path(d) / ".env"
-        file.write_text("# keys\nOTHER=1\nCORPUSLOOM_PROBE_KEY = 'from-file'\n")
-        found, missing = (generators.credential(name, str(file)) for name in ("CORPUSLOOM_PROBE_KEY", "CORPUSLOOM_NO_SUCH_KEY"))
-    return spark.createDataFrame([(found, missing)], "found string, missing string")
+        file.write_text("# keys\n" + "".join(f"CORPUSLOOM_KEY_{k} = '{v}'\n" for k, v in nations))
+        found = [(k, generators.credential(f"CORPUSLOOM_KEY_{k}", str(file)), generators.credential(f"CORPUSLOOM_NO_KEY_{k}", str(file))) for k, _ in nations]
+    return spark.createDataFrame(found, "n_nationkey int, found string, missing string")
 
 
 @query("SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') AS stem, string_split(url, '/')[-2] AS parent, 'lora:' || string_split(rtrim(url, '/'), '/')[-1] AS label FROM pages")
@@ -224,9 +269,10 @@ def path_names(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", T.base_name(u).alias("name"), T.base_name(u, stem=True).alias("stem"), T.parent_name(u).alias("parent"), T.folder_label(u, "lora:").alias("label"))
 
 
-@query("SELECT row_number() OVER (ORDER BY item_id) AS number, item_id FROM benchmark")
+@query("SELECT row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS number, doc_id FROM documents")
 def numbering(spark: SparkSession, sf: str) -> DataFrame:
-    return expand.numbered(read(spark, sf, "benchmark").select("item_id"), F.col("item_id"), start=1).select(F.col("ord").cast("bigint").alias("number"), "item_id")
+    t = expand.numbered(read(spark, sf, "documents").select("doc_id", "lang"), F.col("lang"), F.col("doc_id"), start=1)
+    return t.select(F.col("ord").cast("bigint").alias("number"), "doc_id")
 
 
 # ---- encoding
@@ -274,9 +320,17 @@ def random_windows(spark: SparkSession, sf: str) -> DataFrame:
 # ---- rewards and reports
 
 
-@query(f"WITH {COMP} SELECT qid, k, reverse(completion) AS completion FROM comp")
+@query(f"WITH {COMP} SELECT qid, k, list_reduce(list_transform(string_split(completion, ''), lambda c: ord(c)::BIGINT), lambda s, c: (s * 31 + c) % 1000003, 7::BIGINT)::VARCHAR AS completion FROM comp")
 def mapped_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return score.map_rows(completions(spark, sf).select("qid", "k", "completion"), "completion", lambda s: s[::-1])
+    """A user's function that no expression stands for: a rolling checksum of characters."""
+
+    def checksum(s: str) -> str:
+        n = 7
+        for c in s:
+            n = (n * 31 + ord(c)) % 1000003
+        return str(n)
+
+    return score.map_rows(completions(spark, sf).select("qid", "k", "completion"), "completion", checksum)
 
 
 @query(f"WITH {COMP} SELECT qid, k, CASE WHEN CASE WHEN ood THEN {' OR '.join(f'contains(completion, {chr(39)}{m}{chr(39)})' for m in T.REFUSAL_MARKERS)} ELSE {HIT.format('completion')} END THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END + (length(completion) % 10) / 10.0::DOUBLE AS reward FROM comp")

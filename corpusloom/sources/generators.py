@@ -17,16 +17,20 @@ from corpusloom.functions import text as T
 Provider = Callable[[list[str]], list[str | None]]
 
 
-def math_questions(spark: SparkSession, n: int, *, seed: str = "42") -> DataFrame:
-    """qid, prompt, answer: sums and non-negative differences of numbers from 1 to 99."""
-    t = spark.range(n).withColumnRenamed("id", "qid")
+def arithmetic(rows: DataFrame, *, seed: str = "42") -> DataFrame:
+    """qid, prompt, answer: a sum or a non-negative difference of numbers from 1 to 99 for each of rows (qid, unique)."""
     a, b = (T.hash_int(seed + s, F.col("qid")) % 99 + 1 for s in "ab")
-    t = t.select("qid", a.alias("a"), b.alias("b"), (T.hash_int(seed + "op", F.col("qid")) % 2 == 0).alias("plus"))
+    t = rows.select("qid", a.alias("a"), b.alias("b"), (T.hash_int(seed + "op", F.col("qid")) % 2 == 0).alias("plus"))
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     prompt = F.when(F.col("plus"), F.concat_ws(" + ", F.col("a").cast("string"), F.col("b").cast("string"))).otherwise(F.concat_ws(" - ", hi.cast("string"), lo.cast("string")))
     return t.select("qid", prompt.alias("prompt"), F.when(F.col("plus"), F.col("a") + F.col("b")).otherwise(hi - lo).cast("string").alias("answer"))
 
 
+def math_questions(spark: SparkSession, n: int, *, seed: str = "42") -> DataFrame:
+    """n of them, qid from 0."""
+    return arithmetic(spark.range(n).withColumnRenamed("id", "qid"), seed=seed)
+
+
 def evolve_prompt(q: Column, a: Column, n: int) -> Column:
     """Asks for n variants of a question and answer, as a JSON list."""
     return F.concat(F.lit(f"请把下面的客服问答改写成 {n} 个不同问法的变体。问题:"), q, F.lit(" 答案:"), a, F.lit(' 只输出 JSON 数组,形如 [{"question": "...", "answer": "..."}]。'))

@@ -1,6 +1,7 @@
 """Golden counts, the traps of Python semantics, and properties of the operators."""
 
 import json
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -264,3 +265,19 @@ def test_kernels(spark):
     assert one(spark, A.alibi_bias(F.lit(0.5), F.lit(2))) == [[0.0, float("-inf")], [-0.5, 0.0]]
     assert one(spark, A.repeat_heads(F.array(F.lit(1), F.lit(2)), 2)) == [1, 1, 2, 2]
     assert one(spark, A.swiglu_width(F.lit(384))) == 1024 and one(spark, A.silu(F.array(F.lit(0.0)))) == [0.0]
+
+
+def test_the_corpus_of_the_literal_tables(spark):
+    """Gated and deduplicated by question: its known counts without extra files."""
+    raw = expand.expand(catalog.seeds(spark).drop("ord"), catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.REFUSALS)
+    raw = raw.withColumn("ord", F.xxhash64("origin", "q", "a", "prefix_id"))
+    counts = {r.origin: r["count"] for r in raw.groupBy("origin").count().collect()}
+    assert counts == {"seed": 275, "price_template": 320, "recommend_template": 480, "customize_template": 100, "topping_template": 25, "ood_template": 80}
+    s = clean.corpus_stats(raw, clean.build_corpus(raw, dedup="q"), len(catalog.SEEDS)).first()
+    assert (s.raw_count, s.dedup_dropped, s.final_count, s.expansion_ratio) == (1280, 30, 1250, 22.7)
+
+
+def test_gelu_is_that_of_the_error_function(spark):
+    xs = [x / 8 for x in range(-48, 49)]
+    got = one(spark, A.gelu(F.array(*map(F.lit, xs))))
+    assert got == pytest.approx([0.5 * x * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=2e-7)
