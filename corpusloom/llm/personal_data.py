@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,7 @@ def tokens(t: str, lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(t, lo, len(t) if hi is None else hi)]
 
 
+@lru_cache(1 << 16)
 def shape(w: str) -> str:
     """Digits and their number, letters' cases, or the mark itself."""
     if w.isdigit():
@@ -182,25 +184,28 @@ def shape(w: str) -> str:
     return w
 
 
-def token_features(t: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+@lru_cache(1 << 16)
+def _hashed(pp: str, p: str, s: str, n: str, nn: str, glued: int, cue: str, near: str) -> tuple[int, ...]:
+    """The features of a token of shape s between others.  Few of these differ in a text, so they are kept, up to a number."""
+    names = ("1", f"s{s}", f"p{p}", f"n{n}", f"pp{pp}|{p}", f"nn{n}|{nn}", f"ps{p}|{s}", f"sn{s}|{n}", f"psn{p}|{s}|{n}", f"g{glued}{s}", f"c{cue}", f"k{near}|{s}")
+    return tuple(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") >> (32 - BITS) for x in names)
+
+
+def token_features(t: str, spans: list[tuple[int, int]]) -> list[tuple[int, ...]]:
     """Hashed features of each token: shapes in a window, adjacency, and cue words."""
-    s = ["^", "^", *(shape(t[a:z]) for a, z in spans), "$", "$"]
-    w = [t[a:z].lower() for a, z in spans]
-    cue = [x if x in _CUES else "" for x in w]
-    out = []
-    for k in range(len(spans)):
-        j = k + 2
-        glued = (k > 0 and spans[k - 1][1] == spans[k][0]) * 2 + (k + 1 < len(spans) and spans[k][1] == spans[k + 1][0])
-        near = next((cue[i] for i in range(k - 1, max(-1, k - 4), -1) if cue[i]), "")
-        names = ("1", f"s{s[j]}", f"p{s[j - 1]}", f"n{s[j + 1]}", f"pp{s[j - 2]}|{s[j - 1]}", f"nn{s[j + 1]}|{s[j + 2]}", f"ps{s[j - 1]}|{s[j]}", f"sn{s[j]}|{s[j + 1]}", f"psn{s[j - 1]}|{s[j]}|{s[j + 1]}", f"g{glued}{s[j]}", f"c{cue[k]}", f"k{near}|{s[j]}")
-        out.append([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") >> (32 - BITS) for n in names])
-    return out
+    w = [t[a:z] for a, z in spans]
+    s = ["^", "^", *map(shape, w), "$", "$"]
+    cue = [x if x in _CUES else "" for x in map(str.lower, w)]
+    glued = [a[1] == b[0] for a, b in zip(spans, spans[1:])]  # a token and the next
+    glued = [2 * x + y for x, y in zip([False, *glued], [*glued, False])]
+    near = ["", *(c or b or a for a, b, c in zip(["", "", *cue], ["", *cue], cue))]
+    return [_hashed(s[k], s[k + 1], s[k + 2], s[k + 3], s[k + 4], glued[k], cue[k], near[k]) for k in range(len(spans))]
 
 
 N_FEATURES = 12
 
 
-def padded(rows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+def padded(rows: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
     """(features [n, T, N_FEATURES], lengths [n])."""
     size = np.array([len(r) for r in rows], np.int64)
     out = np.zeros((len(rows), int(size.max(initial=1)), N_FEATURES), np.int64)
@@ -209,6 +214,16 @@ def padded(rows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def emissions(rows: list[list[tuple[int, ...]]], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(emissions [n, T, L], lengths [n]): weights are summed once for each kind of token."""
+    kinds: dict[tuple[int, ...], int] = {}
+    size = np.array([len(r) for r in rows], np.int64)
+    at = np.zeros((len(rows), int(size.max(initial=1))), np.int64)
+    for k, r in enumerate(rows):
+        at[k, : len(r)] = [kinds.setdefault(x, len(kinds)) for x in r]
+    return w[np.array(list(kinds))].sum(1)[at], size
+
+
 def chain(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals [n, T, L], pairwise expectations [L, L] and log partitions, of emissions e [n, T, L]."""
     n, steps, k = e.shape
@@ -348,8 +363,7 @@ def added_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str], base: li
         for z, (a, e, _, _) in parts[at:end]:
             k, ts = todo[z]
             rows.append(token_features(texts[k], ts[a:e]))
-        f, size = padded(rows)
-        for (z, (a, _, lo, hi)), row in zip(parts[at:end], viterbi(w[f].sum(2), size, trans), strict=True):
+        for (z, (a, _, lo, hi)), row in zip(parts[at:end], viterbi(*emissions(rows, w), trans), strict=True):
             labels[z][lo:hi] = row[lo - a : hi - a]
         at = end
     out: list[list[Span]] = [[] for _ in texts]

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,11 @@ def test_rows(spark):
         assert set(pd_.joined(base).split(",")) <= set(r.spans.split(",")) or not base
     assert pd_.find(d.limit(0)).count() == 0
     assert pd_.redact("x a@b.c y", [(2, 7, "email")]) == "x [email] y"
+
+
+def test_dense_texts_hash_each_kind_of_token_once():
+    model = pd_.fit()
+    t = "12 a1b2 3.4, call 55 x@ 2024-01-02 (7) ok9 id=88; " * 20_000
+    began = time.process_time()
+    pd_.added_spans(model, [t], [pd_.base_spans(t)])
+    assert time.process_time() - began < 8  # 1 MB; with a hash for each feature of a token it took 10 s and more
