@@ -12,12 +12,28 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+#: Stretches of a long text that stand for it in a sample.
+STRETCHES = 8
+
+
+def stretches(text: Column, max_chars: int) -> Column:
+    """text, or of a longer one than max_chars the whole lines within STRETCHES evenly spaced stretches, of max_chars together.
+
+    Where a stretch has no whole line, it is taken as it is.
+    """
+    size = max_chars // STRETCHES
+    gap = (F.length(text) - size) / F.lit(STRETCHES - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(text, (F.floor(gap * k) + 1).cast("int"), F.lit(size)))
+    whole = F.transform(cut, lambda t: F.when(F.length(F.regexp_replace(t, r"[^\n]", "")) >= 2, F.regexp_replace(t, r"\A[^\n]*\n|\n[^\n]*\z", "")).otherwise(t))
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.array_join(whole, "\n"))
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, quotas: dict[int, int], max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of about quotas[label] rows a class at most, chosen by a hash of doc_id.
+    """(text, label) of about quotas[label] ids a class at most, chosen by a hash of doc_id.
 
-    Left out are held-out ids (a condition on doc_id), null labels and ids, contradicting
-    labels, and texts over max_chars: those are not cut.  The ids are at most the sum of the
-    quotas and some, so they may be broadcast; their texts are what the driver gets.
+    Left out are held-out ids (a condition on doc_id), null labels, ids and texts, and contradicting
+    labels.  Of a text over max_chars some stretches are taken, of an id that has several texts the least one.  So
+    what the driver gets is bounded: some sum of the quotas texts of max_chars.  The ids may be broadcast for the same reason.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").where(~held_out)
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -26,8 +42,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Col
         ratio = max(1, -(-sizes.get(y, 0) // quota))
         part = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(ratio)) == 0)).select("doc_id", "y")
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "y", stretches(F.col("text"), max_chars).alias("text"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:

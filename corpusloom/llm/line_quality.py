@@ -11,8 +11,8 @@ Only documents are labelled.  Training, by gradient ascent on the conditional li
 begins with each line labelled as its document, by its own features alone; then, STEPS times, lines that the model is
 sure are of the other kind change their label (never all lines of a document, and at most
 what leaves its label's kind the greater part by length), and the field is fitted on: so good lines
-in bad documents, and bad ones in good documents, teach what a change from line to line looks like.  At most about MAX_GOOD + MAX_BAD labelled documents of up to
-MAX_CHARS characters are fitted (the documented bound); the model is a few hundred numbers.
+in bad documents, and bad ones in good documents, teach what a change from line to line looks like.  At most about MAX_GOOD + MAX_BAD labelled documents
+are fitted (the documented bound), of which those over MAX_CHARS characters are taken in stretches of lines; the model is a few hundred numbers.
 
 Defined results: a document without lines that hold a character (null, empty) scores 0;
 without labels of both kinds every text scores the share of good ones (0 without labels); repeated rows score alike; extra
@@ -38,6 +38,8 @@ ROUNDS, RATE, RIDGE = 150, 0.08, 1e-3
 STEPS, MORE_ROUNDS, SURE = 2, 60, 0.65
 THRESHOLD = 0.3
 CHUNK = 1 << 20
+#: Lines of a chain that advance one after the other.
+SEGMENT = 512
 
 _KINDS = ("upper", "digit", "symbol", "mark", "bar", "stop", "blank", "high")
 _LUT = np.zeros((len(_KINDS), 256), np.uint8)
@@ -115,40 +117,74 @@ class Lines:
         return np.c_[self.own, prev, nxt, before, after, np.ones(n)]
 
 
+def _advance(e: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> None:
+    """alpha[t] = alpha[t - 1] @ a * e[t], scaled to 1, along runs of lines; `before` stands for alpha @ a at a run's begin.  All runs advance together."""
+    order = np.argsort(-size, kind="stable")
+    first, size, before = first[order], size[order], before[order]
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # runs longer than t
+    for t in range(size[0]):
+        at = first[: live[t]] + t
+        f = (before if t == 0 else alpha[at - 1] @ a) * e[at]
+        s = f.sum(1)
+        alpha[at], scale[at] = f / s[:, None], s
+
+
+def forward(e: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, scale) of chains with potentials e and couplings a, each line's alpha summing to 1.
+
+    Chains longer than SEGMENT are cut: a segment is a 2 x 2 product, the products give what enters each segment, and
+    then all segments advance together.  So a long chain takes some multiples of SEGMENT steps, not one for each line.
+    """
+    alpha, scale = np.empty((len(e), 2)), np.ones(len(e))
+    k = -(-size // SEGMENT)
+    chain = np.repeat(np.arange(len(k)), k)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(k) - k, k)
+    start = first[chain] + number * SEGMENT
+    length = np.minimum(SEGMENT, first[chain] + size[chain] - start)
+    enters = np.ones((len(chain), 2))
+    long = np.flatnonzero(k[chain] > 1)
+    if len(long):
+        # Of every segment but a chain's last: what comes out for either label that comes in.
+        inner = long[number[long] < k[chain[long]] - 1]
+        product = np.where((number[inner] == 0)[:, None, None], np.ones((2, 2)), a) * e[start[inner]][:, None, :]
+        for t in range(1, SEGMENT):
+            product = (product @ a) * e[start[inner] + t][:, None, :]
+            product /= product.sum((1, 2), keepdims=True)
+        of = np.zeros((len(chain), 2, 2))
+        of[inner] = product
+        begin = np.cumsum(k) - k
+        order = np.argsort(-k, kind="stable")
+        state = np.full((len(k), 2), 0.5)
+        for j in range(int(k.max()) - 1):
+            now = order[: np.searchsorted(-k[order], -(j + 1), side="left")]  # chains with a segment after the j-th
+            out = np.einsum("ni,nij->nj", state[now], of[begin[now] + j])
+            state[now] = out / out.sum(1, keepdims=True)
+            enters[begin[now] + j + 1] = state[now] @ a
+    _advance(e, a, start, length, enters, alpha, scale)
+    return alpha, scale
+
+
 def marginals(u: np.ndarray, text: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over chains of lines with log-odds u (chains are runs of equal text).
 
     Returns the probabilities of good, the pairwise expectations summed over all chains
-    [2, 2], and each chain's log partition.  All chains advance together, longest first.
+    [2, 2], and each chain's log partition.
     """
     if not len(u):
         return u, np.zeros((2, 2)), np.zeros(0)
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     size = np.diff(np.r_[first, len(u)])
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # chains longer than t
     top = np.maximum(u, 0)
     e = np.stack([np.exp(-top), np.exp(u - top)], 1)  # potentials of bad and good
-    a, alpha, scale = np.exp(trans), np.empty((len(u), 2)), np.zeros(len(u))
-    for t in range(size[0]):
-        at = first[: live[t]] + t
-        f = e[at] if t == 0 else (alpha[at - 1] @ a) * e[at]
-        s = f.sum(1)
-        alpha[at], scale[at] = f / s[:, None], np.log(s) + top[at]
-    beta = np.ones((len(u), 2))
-    pairs = np.zeros((2, 2))
-    for t in range(size[0] - 2, -1, -1):
-        at = first[: live[t + 1]] + t
-        right = e[at + 1] * beta[at + 1]
-        b = right @ a.T
-        joint = alpha[at][:, :, None] * a * right[:, None]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        beta[at] = b / b.sum(1, keepdims=True)
-    p = alpha * beta
-    back = np.empty(len(first))
-    back[order] = np.add.reduceat(scale, np.sort(first))[np.argsort(np.argsort(first))]
-    return p[:, 1] / p.sum(1), pairs, back
+    a = np.exp(trans)
+    alpha, scale = forward(e, a, first, size)
+    # Backward is forward from the other end: gamma is a line's potential times what its later lines say.
+    gamma = forward(e[::-1], a.T, (len(u) - first - size)[::-1], size[::-1])[0][::-1]
+    p = alpha * gamma / e
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    joint = alpha[inner][:, :, None] * a * gamma[inner + 1][:, None, :]
+    pairs = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    return p[:, 1] / p.sum(1), pairs, np.add.reduceat(np.log(scale) + top, first)
 
 
 def likelihood(w: np.ndarray, trans: np.ndarray, x: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

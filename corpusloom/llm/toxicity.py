@@ -1,16 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention (operator 5).
 
-Inputs of a word are a hashed word embedding and the mean of hashed embeddings of its
-character 3- and 4-grams.  A forward and a backward GRU read windows of WINDOW words that
+Inputs of a word are a hashed word embedding, the mean of hashed embeddings of its character grams, and evidence:
+the shrunken log-odds of the label among texts that hold the word, and the most and the mean of
+those of its grams.  A text's evidence comes from other parts of the sample than its own, so that the network
+learns how far it carries.  A forward and a backward GRU read windows of WINDOW words that
 overlap by half, attention pools their states, and a linear layer gives a logit.  A
 document's logit is its largest window's.  The network is trained in numpy: of each
 document of a batch the window that scores highest gets the gradient, so that clean
-documents teach by their most suspicious passage.  One coordinate of each embedding starts
-as the shrunken log-odds of its training texts; a logistic fit turns logits into
+documents teach by their most suspicious passage.  A logistic fit turns logits into
 probabilities at the labels' own rate.
 
-The model is fitted on at most about MAX_POSITIVE + MAX_NEGATIVE labelled texts of up to
-MAX_CHARS characters each (its documented bound) and is a constant 2 MB.
+The model is fitted on at most about MAX_POSITIVE + MAX_NEGATIVE labelled texts (its documented bound), of
+which those over MAX_CHARS characters are taken in stretches, and is a constant 6 MB.
 
 Defined results: texts without words (null, empty) score 0; with no positive or no negative
 labels every text scores the share of positives (0 without labels); repeated rows score alike; extra columns are
@@ -31,8 +32,16 @@ from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
 WINDOW, STRIDE = 32, 16
-WORD_BITS, GRAM_BITS, SIZE, HIDDEN, ATTENTION = 15, 14, 8, 12, 8
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 4000
+WORD_BITS, GRAM_BITS, SIZE, HIDDEN, ATTENTION = 15, 17, 8, 12, 8
+#: Bytes of a character gram, a mark before and after the word included; 7 at most.
+GRAMS = (3, 4, 5, 6, 7)
+#: One in so many texts of the sample is kept for the probabilities.
+ASIDE = 5
+#: Parts of the sample whose evidence comes from the other parts.
+FOLDS = 4
+#: Texts that evidence is shrunk by.
+PRIOR = 2.0
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 32_000
 EPOCHS, BATCH, RATE, KEEP = 5, 64, 0.01, 0.6
 THRESHOLD = 0.7
 #: Bytes of text scored at once.
@@ -61,18 +70,26 @@ class Words:
         off = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(off, size)
         chars = np.where((place == 0) | (place == np.repeat(size, size) - 1), 1, data[np.clip(np.repeat(start, size) + place - 1, 0, max(0, len(data) - 1))]).astype(np.uint64) if len(size) else np.zeros(0, np.uint64)
-        grams, owner = [], []
-        for n in (3, 4):
-            if len(chars) >= n:
-                g = sum(chars[k : len(chars) - n + 1 + k] << U(8 * (n - 1 - k)) for k in range(n)) + U(n << 40)
-                ok = np.repeat(size, size)[: len(g)] - place[: len(g)] >= n
-                grams.append((mix64(g[ok]) >> U(64 - GRAM_BITS)).astype(np.int64))
-                owner.append(np.repeat(np.arange(len(size)), size)[: len(g)][ok])
-        self.grams = np.concatenate([*grams, np.zeros(0, np.int64)])
-        self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])
         self.words = (self.hashes >> U(64 - WORD_BITS)).astype(np.int64)
         self.live = np.ones(len(size), np.float32)  # 0 where training hides the word itself, so that its characters must tell
-        self.per = np.maximum(np.bincount(self.owner, minlength=len(size)), 1).astype(np.float32)
+        # For each length: the words that have grams, where theirs begin, and all grams of that length.
+        self.grams, self.per = [], np.zeros((len(size), 1), np.float32)
+        owner = np.repeat(np.arange(len(size)), size)
+        for n in GRAMS:
+            some = np.flatnonzero(size >= n)
+            if len(some):
+                packed = sum(chars[k : len(chars) - n + 1 + k] << U(8 * (n - 1 - k)) for k in range(n)) + U(n << 56)
+                ok, each = size[owner[: len(packed)]] - place[: len(packed)] >= n, size[some] - n + 1
+                self.grams.append((some, np.cumsum(each) - each, (mix64(packed[ok]) >> U(64 - GRAM_BITS)).astype(np.int64)))
+                self.per[some, 0] += each
+        self.per = np.maximum(self.per, 1)
+
+    def of_grams(self, values: np.ndarray, how: np.ufunc, start: float) -> np.ndarray:
+        """values of each word's grams, brought together by a ufunc."""
+        out = np.full((len(self.words), *values.shape[1:]), start, np.float32)
+        for some, at, grams in self.grams:
+            out[some] = how(out[some], how.reduceat(values[grams], at))
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word ids [n, WINDOW], lengths [n], text [n]) of all overlapping windows."""
@@ -88,7 +105,7 @@ class Words:
 
 def new_model(seed: int = 7) -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(seed)
-    d, h, a = 2 * SIZE, HIDDEN, ATTENTION
+    d, h, a = 2 * SIZE + 3, HIDDEN, ATTENTION
     m = {"word": rnd.normal(0, 0.1, (1 << WORD_BITS, SIZE)), "gram": rnd.normal(0, 0.1, (1 << GRAM_BITS, SIZE)), "va": rnd.normal(0, 0.5, a), "wa": rnd.normal(0, 0.3, (2 * h, a)), "ba": np.zeros(a), "w": rnd.normal(0, 0.3, 2 * h), "b": np.zeros(1)}
     for k in "fb":
         m |= {f"wx{k}": rnd.normal(0, 0.4, (d, 3 * h)), f"u{k}": rnd.normal(0, 0.3, (h, 3 * h)), f"bx{k}": np.zeros(3 * h)}
@@ -96,11 +113,11 @@ def new_model(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def embed(m: dict[str, np.ndarray], w: Words) -> np.ndarray:
-    g = np.zeros((len(w.words), SIZE), np.float32)
-    if len(w.owner):
-        for c in range(SIZE):
-            g[:, c] = np.bincount(w.owner, weights=m["gram"][w.grams, c], minlength=len(w.words))
-    return np.concatenate([m["word"][w.words] * w.live[:, None], g / w.per[:, None]], 1)
+    """Of each word: its embedding and the mean of its grams', and the evidence of the word, the most and the mean of its grams'."""
+    live, odds = w.live[:, None], m["gram_odds"][:, None]
+    learnt = [m["word"][w.words] * live, w.of_grams(m["gram"], np.add, 0) / w.per]
+    known = [m["word_odds"][w.words][:, None] * live, w.of_grams(odds, np.maximum, -9), w.of_grams(odds, np.add, 0) / w.per]
+    return np.concatenate(learnt + known, 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -189,7 +206,9 @@ def gradients(m: dict[str, np.ndarray], w: Words, ids: np.ndarray, size: np.ndar
     g["word"] = np.zeros_like(m["word"])
     np.add.at(g["word"], w.words, dx[:, :SIZE] * w.live[:, None])
     g["gram"] = np.zeros_like(m["gram"])
-    np.add.at(g["gram"], w.grams, (dx[:, SIZE:] / w.per[:, None])[w.owner])
+    each = dx[:, SIZE : 2 * SIZE] / w.per
+    for some, at, grams in w.grams:
+        np.add.at(g["gram"], grams, np.repeat(each[some], np.diff(np.r_[at, len(grams)]), 0))
     return g
 
 
@@ -200,15 +219,20 @@ def best_windows(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return order[last]
 
 
-def evidence(raw: list[bytes], y: np.ndarray, prior: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the label for each hashed word and character gram that a text holds, shrunk by a prior of so many texts."""
-    word, gram = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << GRAM_BITS))
-    for t, label in zip(raw, y.astype(int), strict=True):
+def evidence(raw: list[bytes], y: np.ndarray, fold: np.ndarray, prior: float = PRIOR) -> list[dict[str, np.ndarray]]:
+    """word_odds and gram_odds: the log-odds of the label for each hashed word and character gram that a text holds, shrunk by a prior of so many texts.
+
+    One for each of FOLDS folds, from the texts of the others, and one from all: a text never sees its own label in its input.
+    """
+    seen = {"word": np.zeros((FOLDS, 2, 1 << WORD_BITS), np.float32), "gram": np.zeros((FOLDS, 2, 1 << GRAM_BITS), np.float32)}
+    for t, label, f in zip(raw, y.astype(int), fold, strict=True):
         w = Words([t])
-        word[label][np.unique(w.words)] += 1
-        gram[label][np.unique(w.grams)] += 1
+        seen["word"][f, label][np.unique(w.words)] += 1
+        seen["gram"][f, label][np.unique(np.concatenate([g for _, _, g in w.grams] or [np.zeros(0, np.int64)]))] += 1
     p = y.mean()
-    return tuple(np.log((n[1] + prior * p) / (n[0] + prior * (1 - p)) / (p / (1 - p))) for n in (word, gram))
+    odds = lambda n: (0.5 * np.log((n[1] + prior * p) / (n[0] + prior * (1 - p)) / (p / (1 - p)))).astype(np.float32)
+    without = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    return [{f"{name}_odds": odds(n[k].sum(0)) for name, n in seen.items()} for k in without]
 
 
 def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -217,32 +241,41 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
     m, rnd = new_model(seed), np.random.default_rng(seed)
-    # A fifth of the sample sets the probabilities and teaches nothing else, where that leaves enough of either class.
-    aside = rnd.permutation(len(y)) % 5 == 0
+    # A part of the sample sets the probabilities and teaches nothing else, where that leaves enough of either class.
+    aside = rnd.permutation(len(y)) % ASIDE == 0
     if min(y[aside].sum(), (1 - y[aside]).sum()) < 20:
         aside[:] = False
     every, y_every = raw, y
     raw, y = [t for t, a in zip(raw, aside, strict=True) if not a], y[~aside]
-    for name, odds in zip(("word", "gram"), evidence(raw, y), strict=True):
-        m[name][:, 0] = 0.5 * odds  # a start that tells suspicious words apart; training goes on from it
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        of = np.flatnonzero(y == label)
+        fold[of] = rnd.permutation(len(of)) % FOLDS
+    odds = evidence(raw, y, fold)
+    members = [[np.flatnonzero((fold == f) & (y == label)) for label in (1, 0)] for f in range(FOLDS)]
+    members = [(f, *x) for f, x in enumerate(members) if all(map(len, x))]
+    if not members:  # fewer texts than folds
+        members = [(FOLDS, np.flatnonzero(y == 1), np.flatnonzero(y == 0))]
     mean, var, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
-    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rounds = max(40, -(-len(y) // BATCH)) * epochs
     for r in range(rounds):
+        f, pos, neg = members[r % len(members)]
         pick = np.concatenate([rnd.choice(pos, BATCH // 2), rnd.choice(neg, BATCH // 2)])
         w = Words([raw[k] for k in pick])
         ids, size, text = w.windows()
         if not len(ids):
             continue
         w.live = (rnd.random(len(w.words)) < KEEP).astype(np.float32)
-        best = best_windows(logits(m, w, ids, size), text, len(pick))
-        g = gradients(m, w, ids[best], size[best], y[pick][text[best]], np.full(len(best), 1 / len(best), np.float32))
+        seen = m | odds[f]
+        best = best_windows(logits(seen, w, ids, size), text, len(pick))
+        g = gradients(seen, w, ids[best], size[best], y[pick][text[best]], np.full(len(best), 1 / len(best), np.float32))
         step += 1
         rate = RATE * min(1, step / 20) * (1 - 0.9 * r / rounds)
         for k in m:
             mean[k] += 0.1 * (g[k] - mean[k])
             var[k] += 0.001 * (g[k] * g[k] - var[k])
             m[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+    m |= odds[FOLDS]
     told = [k for k in range(len(every)) if aside[k] or not aside.any()]
     top = np.concatenate([document_logits(m, [every[k] for k in told[lo : lo + 256]]) for lo in range(0, len(told), 256)])
     seen = np.isfinite(top)

@@ -3,14 +3,21 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.llm import fitting
 from corpusloom.llm import toxicity as tx
 from corpusloom.llm.hashing import BASE, mix64
 
 from .cases import PROSE, docs, odd_texts
 
 
+def some_model(seed):
+    """A new model with evidence of all kinds."""
+    rnd = np.random.default_rng(seed)
+    return tx.new_model(seed) | {"word_odds": rnd.normal(0, 1, 1 << tx.WORD_BITS).astype(np.float32), "gram_odds": rnd.normal(0, 1, 1 << tx.GRAM_BITS).astype(np.float32)}
+
+
 def test_gradients():
-    m = {k: v.astype(np.float64) for k, v in tx.new_model(1).items()}
+    m = {k: v.astype(np.float64) for k, v in some_model(1).items()}
     w = tx.Words([b"the idiot went home", "loweiun Geä der".encode(), b"", b" ".join(b"w%d" % k for k in range(50))])
     ids, size, text = w.windows()
     assert text.tolist() == [0, 1, 3, 3, 3] and size.tolist() == [4, 3, 32, 32, 18]
@@ -21,7 +28,7 @@ def test_gradients():
         x = tx.logits(m, w, ids, size).astype(float)
         return (weight * (np.log1p(np.exp(x)) - y * x)).sum()
 
-    for k in m:
+    for k in tx.new_model(1):
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         old, e = m[k][at], 1e-2
         m[k][at] = old + e
@@ -46,12 +53,14 @@ def plain_logits(m, text):
 
     def vector(w):
         marked, grams = [1, *w, 1], []
-        for n in (3, 4):
+        for n in tx.GRAMS:
             for i in range(len(marked) - n + 1):
-                grams.append(mix(int.from_bytes(bytes(marked[i : i + n]), "big") + (n << 40)) >> (64 - tx.GRAM_BITS))
+                grams.append(mix(int.from_bytes(bytes(marked[i : i + n]), "big") + (n << 56)) >> (64 - tx.GRAM_BITS))
         h = mix(sum((b + 1) * pow(BASE, j, 1 << 64) for j, b in enumerate(w)))
         chars = sum(m["gram"][g].astype(float) for g in grams) / max(1, len(grams)) if grams else np.zeros(tx.SIZE)
-        return np.concatenate([m["word"][h >> (64 - tx.WORD_BITS)].astype(float), chars])
+        h >>= 64 - tx.WORD_BITS
+        odds = m["gram_odds"][grams].astype(float)
+        return np.concatenate([m["word"][h].astype(float), chars, [m["word_odds"][h], odds.max(), odds.sum() / len(grams)]])
 
     sig, out, h, at = lambda x: 1 / (1 + np.exp(-x)), [], tx.HIDDEN, 0
     while words and (at == 0 or at - tx.STRIDE + tx.WINDOW < len(words)):
@@ -73,7 +82,7 @@ def plain_logits(m, text):
 
 
 def test_the_network_is_the_plain_one():
-    m = tx.new_model(3)
+    m = some_model(3)
     texts = [b"the IDIOT went home", "löwe, Ge-ä d'er 12".encode(), b"", b"x", b" ".join(b"word%d" % (k * k) for k in range(83)), b" ".join(b"w%d" % k for k in range(32))]
     w = tx.Words(texts)
     ids, size, text = w.windows()
@@ -95,11 +104,14 @@ def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = tx.query(spark, "/root/testdata/sf0.1")
-    rows = out.join(labels, "doc_id").where("held_out").collect()
+    rows = out.join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert out.count() == d.count() and len(rows) > 1000
     wrong = sum(r.predicted != r.toxic for r in rows)
-    assert wrong / len(rows) < 0.05
-    assert sum(r.predicted for r in rows if r.toxic) > 0.6 * sum(r.toxic for r in rows)
+    assert wrong / len(rows) < 0.04
+    found = {g: [r.predicted for r in rows if r.toxic and r.lang == g] for g in ("en", "fr", "de", "es")}
+    share = {g: sum(x) / len(x) for g, x in found.items()}
+    assert share["en"] > 0.88 and share["fr"] > 0.65 and share["de"] > 0.6, share  # Spanish has 21 toxic texts to learn from
+    assert sum(r.predicted for r in rows if r.toxic) > 0.78 * sum(r.toxic for r in rows)
 
 
 def test_odd_rows(spark):
@@ -112,3 +124,28 @@ def test_odd_rows(spark):
     kept = tx.keep_clean(d, labels.limit(0))
     assert kept.schema == d.schema and kept.count() == 13
     assert tx.scored(d.limit(0), tx.train(d.limit(0), labels)).count() == 0
+
+
+def test_evidence_comes_from_other_folds():
+    raw, y = [b"bad word%d" % k if k % 2 else b"good word%d" % k for k in range(40)], np.array([k % 2 for k in range(40)], np.float32)
+    fold = np.arange(40) // 2 % tx.FOLDS
+    each = tx.evidence(raw, y, fold, 1.0)
+    assert len(each) == tx.FOLDS + 1
+    bucket = lambda t: int(tx.Words([t]).words[0])
+    for k in range(40):
+        assert abs(each[fold[k]]["word_odds"][bucket(b"word%d" % k)]) < 1e-6  # only its own text holds it
+    for f in range(tx.FOLDS + 1):
+        assert each[f]["word_odds"][bucket(b"bad")] > 1 and each[f]["word_odds"][bucket(b"good")] < -1
+
+
+def test_long_labelled_texts_are_sampled_not_left_out(spark):
+    long = "\n".join(f"line {k} of a long text" for k in range(3000))
+    d = spark.createDataFrame([(1, "short"), (2, long), (2, long + "!"), (3, "x" * 90_000), (4, None), (5, "held")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 6)], "doc_id long, y int")
+    got = [t for t, _ in fitting.labelled_texts(d, labels, "y", F.col("doc_id") == 5, {1: 100}, 8000)]
+    assert len(got) == 3 and "short" in got  # one text of an id, whatever its length
+    assert all(len(t) <= 8000 + fitting.STRETCHES for t in got)
+    lines = next(t for t in got if "line" in t).split("\n")
+    assert len(lines) > 200 and set(lines) <= {*long.split("\n"), "line 2999 of a long text!"}
+    numbers = [int(x.split()[1]) for x in lines]
+    assert numbers == sorted(numbers) and numbers[0] < 400 and numbers[-1] > 2600
