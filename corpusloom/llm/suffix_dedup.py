@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, release, small_batches, table
+from .common import lean, materialize, only, release, small_batches, table
 from .hashing import BASE, BASE_INV, U, mix64, powers, prefix_hashes, prime_hashes
 
 LENGTH, KGRAM = 50, 20
@@ -190,12 +190,17 @@ def _differ(x: np.ndarray) -> np.ndarray:
     return x[1:] != x[:-1]
 
 
-def _by_rid(rid: np.ndarray, cols: dict[str, np.ndarray], rows: _Rows) -> dict[int, bytes]:
-    order = np.lexsort((cols["first"], rid))
+def _by_row(doc: np.ndarray, rid: np.ndarray, cols: dict[str, np.ndarray], rows: _Rows) -> dict[tuple[int, int], bytes]:
+    """(doc, rid) -> the row's values, packed."""
+    order = np.lexsort((cols["first"], rid, doc))
     if not len(order):
         return {}
-    cut = np.flatnonzero(np.r_[True, rid[order][1:] != rid[order][:-1]])
-    return {int(rid[order[a]]): rows.pack(**{c: v[order[a:z]] for c, v in cols.items()}) for a, z in zip(cut, np.r_[cut[1:], len(order)], strict=True)}
+    cut = np.flatnonzero(np.r_[True, _differ(rid[order]) | _differ(doc[order])])
+    return {(int(doc[order[a]]), int(rid[order[a]])): rows.pack(**{c: v[order[a:z]] for c, v in cols.items()}) for a, z in zip(cut, np.r_[cut[1:], len(order)], strict=True)}
+
+
+def _keys(keys: Iterable[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {c: pa.array(list(x), pa.int64()) for c, x in zip(("doc", "rid"), zip(*keys) if keys else ([], []), strict=True)}
 
 
 def _stretches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
@@ -265,7 +270,7 @@ def _deal(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _decide(frequent: int):
-    """Step 1 on a bucket: rid, found (windows that go), asked (runs to be decided on their bytes)."""
+    """Step 1 on a bucket: doc, rid, found (windows that go), asked (runs to be decided on their bytes)."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -276,10 +281,10 @@ def _decide(frequent: int):
             e, _ = (FOUND if kind else RUNS).unpack(raw[at:])
             parts[kind].append((np.repeat(d["doc"], d["n"]), np.repeat(d["rid"], d["n"]), e))
         known = parts[1]
-        rid = np.concatenate([r for _, r, _ in known] or [np.zeros(0, np.int64)])
+        of, rid = (np.concatenate([x[k] for x in known] or [np.zeros(0, np.int64)]) for k in (0, 1))
         first = np.concatenate([e["first"] for *_, e in known] or [np.zeros(0, np.uint32)]).astype(np.int64)
         count = np.concatenate([e["count"] for *_, e in known] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        asked: dict[int, bytes] = {}
+        asked: dict[tuple[int, int], bytes] = {}
         if parts[0]:
             doc, r = (np.concatenate([p[k] for p in parts[0]]) for k in (0, 1))
             e = {c: np.concatenate([p[2][c] for p in parts[0]]) for c in RUNS.kinds}
@@ -290,7 +295,7 @@ def _decide(frequent: int):
             new = head | np.r_[True, _differ(e["whole"][order]) | _differ(e["check"][order])]
             where = np.arange(len(doc))
             goes = doc > doc[np.maximum.accumulate(np.where(new, where, 0))]
-            rid, first, count = np.r_[rid, r[goes]], np.r_[first, at[goes]], np.r_[count, n[goes]]
+            of, rid, first, count = np.r_[of, doc[goes]], np.r_[rid, r[goes]], np.r_[first, at[goes]], np.r_[count, n[goes]]
             cut = np.flatnonzero(head)
             size = np.diff(np.r_[cut, len(doc)])
             kinds = np.add.reduceat(new.astype(np.int64), cut)
@@ -298,10 +303,10 @@ def _decide(frequent: int):
             left = np.repeat(open_, size) & ~goes
             alone = np.repeat(kinds > frequent, size)
             number = (anchor.astype(np.uint64) << U(32)) | U(bucket)
-            asked = _by_rid(r[left], {"group": number[left], "first": at[left], "count": n[left], "alone": alone[left]}, ASKED)
-        found = _by_rid(rid, {"first": first, "count": count}, FOUND)
-        rids = sorted(found.keys() | asked.keys())
-        return pa.table({"rid": pa.array(rids, pa.int64()), "found": pa.array([found.get(x) for x in rids], pa.binary()), "asked": pa.array([asked.get(x) for x in rids], pa.binary())})
+            asked = _by_row(doc[left], r[left], {"group": number[left], "first": at[left], "count": n[left], "alone": alone[left]}, ASKED)
+        found = _by_row(of, rid, {"first": first, "count": count}, FOUND)
+        keys = sorted(found.keys() | asked.keys())
+        return pa.table(_keys(keys) | {"found": pa.array([found.get(x) for x in keys], pa.binary()), "asked": pa.array([asked.get(x) for x in keys], pa.binary())})
 
     return run
 
@@ -321,10 +326,10 @@ def _cut_out(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                             ones.setdefault(raw[w : w + length], []).append((doc, rid, w))
                     else:
                         recs.append((g, doc, rid, f, raw[f : f + c + length - 1]))
-            known: list[tuple[int, int]] = []
+            known: list[tuple[int, int, int]] = []
             for w, places in ones.items():
                 least = min(places)[0]
-                known += [(rid, at) for doc, rid, at in places if doc > least]
+                known += [(doc, rid, at) for doc, rid, at in places if doc > least]
                 g = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
                 recs += [(g, doc, rid, at, w) for doc, rid, at in places if doc == least]
             parts: dict[int, list] = {}
@@ -336,27 +341,27 @@ def _cut_out(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 kinds.append(0)
                 blobs.append(TEXTS.pack(group=np.array([x[0] for x in xs], np.uint64), doc=np.array([x[1] for x in xs]), rid=np.array([x[2] for x in xs]), first=np.array([x[3] for x in xs]), size=np.array([len(x[4]) for x in xs])) + b"".join(x[4] for x in xs))
             if known:
-                r = np.array([x for x, _ in known])
-                at = np.array([x for _, x in known])
-                u, n = np.unique(r, return_counts=True)
-                ids.append(int(u[0] % buckets))
+                doc, r, at = np.array(sorted(known), np.int64).T
+                new = np.flatnonzero(np.r_[True, _differ(doc) | _differ(r)])
+                ids.append(int(r[0] % buckets))
                 kinds.append(1)
-                blobs.append(DOCS.pack(doc=u, rid=u, n=n) + FOUND.pack(first=at[np.argsort(r, kind="stable")], count=np.ones(len(r))))
+                blobs.append(DOCS.pack(doc=doc[new], rid=r[new], n=np.diff(np.r_[new, len(r)])) + FOUND.pack(first=at, count=np.ones(len(r))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
     return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
 
 
 def _sort_bucket(length: int):
-    """Step 2 on a bucket: rid, found."""
+    """Step 2 on a bucket: doc, rid, found."""
 
     def run(group: pa.Table) -> pa.Table:
-        rid, first, count, heads, bodies = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+        (doc, rid, first, count), heads, bodies = ([np.zeros(0, np.int64)] for _ in range(4)), [], []
         for kind, x in zip(group.column("kind").to_pylist(), group.column("data"), strict=True):
             raw = memoryview(x.as_buffer())
             if kind:
                 d, at = DOCS.unpack(raw)
                 e, _ = FOUND.unpack(raw[at:])
+                doc.append(np.repeat(d["doc"], d["n"]))
                 rid.append(np.repeat(d["rid"], d["n"]))
                 first.append(e["first"].astype(np.int64))
                 count.append(e["count"].astype(np.int64))
@@ -373,11 +378,12 @@ def _sort_bucket(length: int):
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts = (np.cumsum(size) - size)[rec] + step
             goes = repeated(data, starts, t["group"][rec], t["doc"][rec], length)
+            doc.append(t["doc"][rec[goes]])
             rid.append(t["rid"][rec[goes]])
             first.append(t["first"].astype(np.int64)[rec[goes]] + step[goes])
             count.append(np.ones(int(goes.sum()), np.int64))
-        found = _by_rid(np.concatenate(rid), {"first": np.concatenate(first), "count": np.concatenate(count)}, FOUND)
-        return pa.table({"rid": pa.array(list(found), pa.int64()), "found": pa.array(list(found.values()), pa.binary())})
+        found = _by_row(np.concatenate(doc), np.concatenate(rid), {"first": np.concatenate(first), "count": np.concatenate(count)}, FOUND)
+        return pa.table(_keys(list(found)) | {"found": pa.array(list(found.values()), pa.binary())})
 
     return run
 
@@ -401,17 +407,20 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 
 def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # A row is known by its doc_id and a hash of its text: rows of different documents are never taken for each other.
+    rows = only(docs, "doc_id", "text").select(F.xxhash64("text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    row = ["doc", "rid"]
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-int(total) // (16 * BUCKET)))
-    decided = materialize(_deal(rows, buckets, length).groupBy("bucket").applyInArrow(_decide(FREQUENT), "rid long, found binary, asked binary"), "runs")
-    asked = decided.where("asked IS NOT NULL").groupBy("rid").agg(F.collect_list("asked").alias("asked"))
+    decided = materialize(_deal(rows.select("rid", "doc_id", "text"), buckets, length).groupBy("bucket").applyInArrow(_decide(FREQUENT), "doc long, rid long, found binary, asked binary"), "runs")
+    asked = decided.where("asked IS NOT NULL").groupBy(*row).agg(F.collect_list("asked").alias("asked"))
     n = decided.agg(F.coalesce(F.sum(F.octet_length("asked")), F.lit(0))).first()[0]
     parts = max(8, -(-int(n) * 17 // 14 // SUFFIXES))
     release(docs.sparkSession)
-    ends = materialize(_cut_out(rows.join(asked, "rid"), parts, length).groupBy("bucket").applyInArrow(_sort_bucket(length), "rid long, found binary"), "run-ends")
-    found = decided.select("rid", "found").where("found IS NOT NULL").union(ends).groupBy("rid").agg(F.collect_list("found").alias("found"))
-    return rows.join(found, "rid", "left").select("doc_id", "text", "found")
+    ends = materialize(_cut_out(rows.join(asked, row).select("rid", "doc_id", "text", "asked"), parts, length).groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, rid long, found binary"), "run-ends")
+    found = decided.select(*row, "found").where("found IS NOT NULL").union(ends).groupBy(*row).agg(F.collect_list("found").alias("found"))
+    return rows.join(found, row, "left").select("doc_id", "text", "found")
 
 
 def _apply(found: DataFrame, length: int, schema: str, make) -> DataFrame:
