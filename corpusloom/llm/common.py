@@ -33,6 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """(df with its columns named by their places, the new names of the needed ones).
+
+    So columns of any names can be carried: dotted ones, ones that differ from a needed one in case, and
+    ones that are there twice.  `toDF(*df.columns)` gives the old names back.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(c)] for c in needed]
+
+
+def only(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, by their exact names."""
+    t, names = positional(df, *needed)
+    return t.select(*(F.col(n).alias(c) for n, c in zip(names, needed, strict=True)))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

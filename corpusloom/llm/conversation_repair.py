@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import only, table
 
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: Turns between two replacements of audits by their ranks.
@@ -143,7 +143,8 @@ def repair(turns: DataFrame, *, gone: str | None = None) -> DataFrame:
 
     gone: a column that is true for rows which only make their conversation appear in the result.
     """
-    t = faults(turns.select("conv_id", "turn", "role", "text", (F.col(gone) if gone else F.lit(False)).alias("gone")))
+    t = only(turns, "conv_id", "turn", "role", "text", *([gone] if gone else []))
+    t = faults(t.withColumnRenamed(gone, "gone") if gone else t.withColumn("gone", F.lit(False)))
     here = lambda c: F.count_if(~F.col("gone") & c)
     number = F.when(~F.col("gone"), F.col("turn"))
     row = F.when(~F.col("gone"), F.struct("pos", "initial", F.coalesce(F.col("fault").isin("blank", "duplicate"), F.lit(False)).alias("lost"), F.coalesce(F.col("fault") == "truncated", F.lit(False)).alias("cut"), "role", "text"))
@@ -163,7 +164,7 @@ def repair(turns: DataFrame, *, gone: str | None = None) -> DataFrame:
 
 def damage(conversations: DataFrame) -> DataFrame:
     """Turns damaged by the CRC-32 of conv_id:turn modulo 20: 0 drops one (gone), 1 empties its text, 2 removes its .!?, 3 repeats it, 4 makes it the user's."""
-    t = conversations.select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")))
+    t = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")))
     k = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))).cast("binary")) % 20
     t = t.withColumn("k", k)
     t = t.select(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, table
+from .common import in_small_batches, lean, only, positional, table
 from .hashing import kept
 
 WINDOW = 10
@@ -197,7 +197,7 @@ def _passes(rows: DataFrame, at: int, items: DataFrame, window: int, max_item_ch
     A shard is broadcast, and its automaton is built once in each worker.
     """
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    out = rows.select(F.struct(*(rows[c] for c in rows.columns)).alias("row"), F.expr("cast(array() AS array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
+    out = rows.select(F.struct("*").alias("row"), F.expr("cast(array() AS array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
 
     out = in_small_batches(out)
 
@@ -226,7 +226,7 @@ def _passes(rows: DataFrame, at: int, items: DataFrame, window: int, max_item_ch
 
 def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """doc_id, text, spans (array of struct a, b: words a to b - 1 are hit), items (sorted ids) of every row of docs (doc_id, text)."""
-    return _passes(docs.select("doc_id", "text"), 1, items, window, max_item_chars).select("row.doc_id", "row.text", "spans", "items")
+    return _passes(only(docs, "doc_id", "text"), 1, items, window, max_item_chars).select("row.doc_id", "row.text", "spans", "items")
 
 
 def digest(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
@@ -263,7 +263,9 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_span:
     max_coverage of the words is hit are dropped.  n_chars, where there is one, follows the text."""
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    found = _passes(docs, at, items, window, max_item_chars)
+    rows, _ = positional(docs)
+    places = rows.columns
+    found = _passes(rows, at, items, window, max_item_chars)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,9 +281,9 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_span:
             if size is not None:
                 old = cols[size].to_pylist()
                 cols[size] = pa.array([len(texts[k]) if spanned[k] else o for k, o in zip(keep, old, strict=True)], cols[size].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=places)
 
-    return found.mapInArrow(lean(run), docs.schema)
+    return found.mapInArrow(lean(run), rows.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

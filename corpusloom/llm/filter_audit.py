@@ -30,7 +30,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, UPPER, table
+from .common import BLANK, UPPER, only, table
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITAL_PERCENT = 100, 80, 10
@@ -48,7 +48,7 @@ def _hash(text: Column) -> Column:
 
 def text_flags(docs: DataFrame) -> DataFrame:
     """doc_id, h (that of the text), part, a, b, c, d, copies: what a text fails by itself, a row for each (doc_id, text, part) and its number of rows."""
-    t = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("t"))
+    t = only(docs, "doc_id", "text", "lang").select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("t"))
     capitals = F.length("t") - F.length(F.translate("t", UPPER, ""))
     t = t.withColumns({"h": _hash(F.col("t")), "c": 100 * capitals > MAX_CAPITAL_PERCENT * F.length("t"), "d": F.rlike("t", F.lit(SYMBOLS))})
     key = ["doc_id", "h", "part", "c", "d"]
@@ -67,13 +67,13 @@ def text_flags(docs: DataFrame) -> DataFrame:
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """doc_id, h of the least doc_id of each text."""
-    t = docs.where("doc_id IS NOT NULL").select("doc_id", _hash(F.coalesce("text", F.lit(""))).alias("h"))
+    t = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", _hash(F.coalesce("text", F.lit(""))).alias("h"))
     return t.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
 def outcomes(labels: DataFrame) -> DataFrame:
     """doc_id, good, toxic of every labelled doc_id."""
-    t = labels.where("doc_id IS NOT NULL").groupBy("doc_id")
+    t = only(labels, "doc_id", "quality", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id")
     return t.agg(F.bool_or(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.bool_or(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
+
 
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of doc_id as text falls on remainder; false for a null id."""
@@ -42,7 +44,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Col
         ratio = max(1, -(-sizes.get(y, 0) // quota))
         part = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(ratio)) == 0)).select("doc_id", "y")
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "y", stretches(F.col("text"), max_chars).alias("text"))
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "y", stretches(F.col("text"), max_chars).alias("text"))
     rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: r.doc_id)]
 

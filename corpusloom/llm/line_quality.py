@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, table
+from .common import in_small_batches, lean, only, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import BASE, U, mix64, prefix_hashes, substring_hashes
 
@@ -297,7 +297,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             out.append(score_texts(model, held))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(lean(run), "doc_id long, score double")
+    return in_small_batches(only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

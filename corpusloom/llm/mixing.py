@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, unit_hash
+from .common import WORD, only, positional, table, unit_hash
 
 #: By rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_re
 
 def mix_plan(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies of every row of docs (doc_id, text, source)."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = only(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     # The words of each text are counted for the sums and again for the plan: cheaper than keeping them.
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(totals, weights=weights, max_repeat=max_repeat)
@@ -67,14 +67,15 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeat: i
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs, all its columns whatever their names, as many times as its plan says."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    source = F.col("row.source")
-    plan = source_targets(rows.groupBy(source.alias("source")).agg(F.sum(word_count(F.col("row.text"))).alias("source_size")), weights=options.get("weights", WEIGHTS), max_repeat=options.get("max_repeat", MAX_REPEAT))
+    t, (doc_id, text, source) = positional(docs, "doc_id", "text", "source")
+    rows = t.select(F.struct("*").alias("row"))
+    doc_id, text, source = (F.col(f"row.{c}") for c in (doc_id, text, source))
+    plan = source_targets(rows.groupBy(source.alias("source")).agg(F.sum(word_count(text)).alias("source_size")), weights=options.get("weights", WEIGHTS), max_repeat=options.get("max_repeat", MAX_REPEAT))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     by = plan.select(F.col("source").alias("of"), rate.alias("rate"))
-    copies = F.floor("rate") + (unit_hash(options.get("seed", SEED), F.col("row.doc_id")) < F.col("rate") - F.floor("rate")).cast("int")
+    copies = F.floor("rate") + (unit_hash(options.get("seed", SEED), doc_id) < F.col("rate") - F.floor("rate")).cast("int")
     out = rows.join(by, source.eqNullSafe(F.col("of")), "left").select("row", copies.cast("int").alias("n"))
-    return out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
+    return out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("row.*").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, release, small_batches, table
+from .common import lean, materialize, only, positional, release, small_batches, table
 from .components import components
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -285,7 +285,7 @@ def _small(kept: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, key (the class; null without shingles) of every row of docs (doc_id, text)."""
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs)
+        return _near_duplicates(only(docs, "doc_id", "text"))
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -348,7 +348,8 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (all its columns) without the documents that link, over others or at once, to one with a smaller doc_id; null ids stay."""
     gone = materialize(near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, (doc_id,) = positional(docs, "doc_id")
+    return rows.join(_small(gone.withColumnRenamed("doc_id", doc_id)), doc_id, "left_anti").select(*rows.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import in_small_batches, lean, table
+from .common import in_small_batches, lean, only, table
 
 #: The patterns' kinds, and what only the field finds.
 KINDS, FOUND = ("email", "ip", "card", "phone"), ("secret",)
@@ -398,7 +398,7 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
             digest = [hashlib.sha256(joined(s).encode()).hexdigest() for s in base]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(ordered(s + m)) for s, m in zip(base, more, strict=True)], pa.string())], names)
 
-    return in_small_batches(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return in_small_batches(only(docs, "doc_id", "text").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[Span]) -> str:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, materialize, table
+from .common import BLANK, materialize, only, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Lower ends of the strata, in words.
@@ -48,7 +48,7 @@ def features(docs: DataFrame) -> DataFrame:
     All within the row: windows are hashed to 64 bits, and only texts in which one of
     them occurs twice are sorted, so the cost is that of one pass over the text.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     d = d.select(
         "doc_id",
         F.expr(r"transform(filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))").alias("h"),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, only, table
 from .hashing import kept
 
 #: Tokens a document may have before it is over the limit.
@@ -159,7 +159,7 @@ def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT) -> Dat
             n = [count(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    t = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    t = only(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     kind = t.schema["doc_id"].dataType.simpleString()
     return t.mapInArrow(lean(run, holds="counter"), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 

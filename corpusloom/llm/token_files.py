@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoder
-from .common import discard, lean, shared_dir, small_batches, table, utf8
+from .common import discard, lean, only, shared_dir, small_batches, table, utf8
 
 END_ID = 0
 PROB_BITS = 20
@@ -164,7 +164,7 @@ def tokenize(docs: DataFrame, spec: str, end_id: int | None = END_ID) -> DataFra
             flat, ends = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z] + end for a, z in zip([0, *ends], ends, strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run, 512, "encoder"), "doc_id long, ids binary")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run, 512, "encoder"), "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, vocab: int, width: str) -> np.ndarray:

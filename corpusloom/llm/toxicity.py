@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, table
+from .common import in_small_batches, lean, only, positional, table
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -328,20 +328,22 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(lean(run), "doc_id long, score double")
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return in_small_batches(rows).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs (all its columns) without the documents that score threshold or more."""
     model = train(docs, labels)
     at = docs.columns.index("text")
+    rows, _ = positional(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(at)))]) < threshold
             yield b.filter(pa.array(keep))
 
-    return in_small_batches(docs).mapInArrow(lean(run), docs.schema)
+    return in_small_batches(rows).mapInArrow(lean(run), rows.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,13 +52,14 @@ def test_stages(spark):
     assert cp.run(spark, SF).count() == len(got)
 
 
-NAMES = ("row", "copy", "n", "of", "rate", "spans", "items", "key", "salt", "component", "least", "__text", "__spans", "__n", "__of", "score", "size", "source_size", "bucket", "data")
+NAMES = ("row", "copy", "n", "of", "rate", "spans", "items", "key", "salt", "component", "least", "__text", "__spans", "__n", "__of", "score", "size", "source_size", "bucket", "data", "a.b", "c0", "c1", "row.text", "TEXT", "Doc_Id")
 
 
 @pytest.mark.parametrize("name, stage", cp.STAGES)
 def test_stages_take_odd_rows_and_clashing_names(spark, name, stage):
     rows = [*odd_texts(), (4, PROSE), (50, "long " * 30_000)]
-    d = docs(spark, rows).withColumns({c: F.lit(f"own {c}") for c in NAMES})
+    d = docs(spark, rows)
+    d = d.select("*", *(F.lit(f"own {c}").alias(c) for c in NAMES))
     for given in (d, d.limit(0), docs(spark, [(1, None)])):
         out = stage(spark, given, SF)
         got = out.collect()
@@ -67,7 +68,7 @@ def test_stages_take_odd_rows_and_clashing_names(spark, name, stage):
             continue
         assert out.columns == given.columns
         if given is d:
-            assert got and all(r[c] == f"own {c}" for r in got for c in NAMES)
-            assert {r.doc_id for r in got} <= {i for i, _ in rows}
+            assert got and all(r[d.columns.index(c)] == f"own {c}" for r in got for c in NAMES)
+            assert {r[0] for r in got} <= {i for i, _ in rows}
         elif given.count() == 0:
             assert got == []
