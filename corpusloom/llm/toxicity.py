@@ -91,6 +91,20 @@ class Words:
             out[some] = how(out[some], how.reduceat(values[grams], at))
         return out
 
+    def of(self, used: np.ndarray) -> Words:
+        """The distinct words `used` (indices, ascending) alone, without texts."""
+        out = object.__new__(Words)
+        out.words, out.live, out.per, out.grams = self.words[used], self.live[used], self.per[used], []
+        new = np.full(len(self.words), -1)
+        new[used] = np.arange(len(used))
+        for some, at, grams in self.grams:
+            size, keep = np.diff(np.r_[at, len(grams)]), np.flatnonzero(new[some] >= 0)
+            if len(keep):
+                begin, size = at[keep], size[keep]
+                ends = np.cumsum(size)
+                out.grams.append((new[some[keep]], ends - size, grams[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]))
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word ids [n, WINDOW], lengths [n], text [n]) of all overlapping windows."""
         starts = np.r_[0, self.ends[:-1]]
@@ -168,6 +182,8 @@ def logits(m: dict[str, np.ndarray], w: Words, ids: np.ndarray, size: np.ndarray
 
 def gradients(m: dict[str, np.ndarray], w: Words, ids: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Of the weighted cross-entropy of windows with labels y."""
+    used, ids = np.unique(ids, return_inverse=True)
+    ids, w = ids.reshape(-1, WINDOW), w.of(used)
     x = embed(m, w)
     h, kept, states = HIDDEN, {}, []
     for k in "fb":
