@@ -8,7 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +93,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept().setdefault("written", []).append(path)
     schema = df.schema
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Deletes at its end what `materialize` has written within it; what it yields, when called, deletes all but the last table so far."""
+    written = kept().setdefault("written", [])
+    before = len(written)
+
+    def clear(leave: int = 1) -> None:
+        gone = written[before : len(written) - leave]
+        del written[before : before + len(gone)]
+        for path in gone:
+            discard(spark, path)
+
+    try:
+        yield clear
+    finally:
+        clear(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
     """Within it, what is executed sends at most `rows` rows to Python at once, unless the session asks for fewer; then the setting is as before."""

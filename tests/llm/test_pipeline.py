@@ -1,5 +1,6 @@
 """The pipeline's stages, one after the other, against brute force on what each was given."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from corpusloom.llm import mixing, token_files, toxicity
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import materialize, shared_dir
 
 from .cases import PROSE, docs, odd_texts
 from .test_decontaminate import brute as brute_hits
@@ -49,7 +50,11 @@ def test_stages(spark):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
     assert cp.run(spark, SF).count() == len(got)
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("token-files-")  # nothing else stays
 
 
 NAMES = ("row", "copy", "n", "of", "rate", "spans", "items", "key", "salt", "component", "least", "__text", "__spans", "__n", "__of", "score", "size", "source_size", "bucket", "data", "a.b", "c0", "c1", "row.text", "TEXT", "Doc_Id")
