@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, mixing, ngram_join, token_files, toxicity
-from corpusloom.llm.common import materialize, shared_dir, small_batches, table
+from corpusloom.llm.common import materialize, shared_dir, small_batches, table, temporary
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  When a stage ends, what it wrote for itself and the documents that it was given are deleted; the token files stay."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        with small_batches(spark):
-            docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with temporary(spark) as clear:
+        for name, stage in STAGES[:-1]:
+            with small_batches(spark):
+                docs = materialize(stage(spark, docs, sf_dir), name)
+            clear()
+        return STAGES[-1][1](spark, docs, sf_dir)
