@@ -7,12 +7,12 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import clean, evaluate, expand, runlog, sample, score, tokens
-from corpusloom.sources import catalog, generators, readers, writers
+from corpusloom.sources import catalog, generators, journal, readers, writers
 
 CHAT_URL = "CHAT_URL"
 
@@ -22,8 +22,7 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     seeds = readers.jsonl(spark, a.seeds).drop("source") if a.seeds else catalog.seeds(spark).drop("ord")
     raw = expand.expand(seeds, catalog.products(spark), catalog.toppings(spark), catalog.topics(spark), catalog.REFUSALS)
     if a.extra_file:
-        extras = [readers.jsonl(spark, p).withColumn("origin", T.base_name(F.lit(p), stem=True)) for p in a.extra_file]
-        raw = expand.union_all([raw, *extras])
+        raw = readers.with_extras(raw, a.extra_file)
     # First come the templates in their order, then the files; within them the hash of the row is an order as good as any.
     raw = raw.withColumn("ord", F.struct(F.col("prefix_id").isNull().alias("extra"), F.coalesce("prefix_id", F.lit(0)).alias("prefix"), F.xxhash64("origin", "intent", "q", "a").alias("h")))
     kept = clean.build_corpus(raw, dedup=a.dedup).cache()
@@ -31,12 +30,17 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.document(clean.corpus_stats(raw, kept, seeds.count()), a.stats)
 
 
+def answered(prompts: DataFrame, key: str, provider: generators.Provider, path: str | None) -> DataFrame:
+    """prompts with completion; those that the journal at path has aren't asked for again."""
+    return journal.complete(prompts, key, provider, path)[0] if path else generators.complete(prompts, provider)
+
+
 def evolve(spark: SparkSession, a: argparse.Namespace) -> None:
     """Variants of a stratified sample of seeds, by a chat-completion service."""
     seeds = sample.stratified(readers.jsonl(spark, a.seeds), "intent", a.sample, F.concat_ws("|", "q", "a"))
-    prompts = seeds.withColumn("prompt", generators.evolve_prompt(F.col("q"), F.col("a"), a.variants))
+    prompts = seeds.withColumns({"prompt": generators.evolve_prompt(F.col("q"), F.col("a"), a.variants), "key": F.md5(F.concat_ws("|", "q", "a"))})
     provider = generators.http_provider(os.environ[CHAT_URL], a.model, generators.credential("CHAT_API_KEY") or "")
-    done = generators.variants(generators.complete(prompts, provider), "evolved")
+    done = generators.variants(answered(prompts, "key", provider, a.journal), "evolved")
     names = F.array(*(F.lit(p[0]) for p in catalog.PRODUCTS))
     good = done.where(clean.quality_gate(F.col("q"), F.col("a"), F.col("keywords"), names))
     writers.jsonl(clean.first_wins(good, [T.normalize(F.col("q"))], [F.xxhash64("q", "a")]), a.out)
@@ -88,7 +92,7 @@ def questions(spark: SparkSession, a: argparse.Namespace) -> None:
 def infer(spark: SparkSession, a: argparse.Namespace) -> None:
     """A service's answers to the prompts that try a model out."""
     provider = generators.http_provider(os.environ[CHAT_URL], a.model, generators.credential("CHAT_API_KEY") or "", temperature=a.temperature, max_tokens=a.max_new_tokens)
-    writers.jsonl(generators.complete(catalog.prompts(spark), provider), a.out)
+    writers.jsonl(answered(catalog.prompts(spark), "ord", provider, a.journal), a.out)
 
 
 def encode(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -130,13 +134,14 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     data, resp, out, seeds = ("--data-file", need), ("--responses", need), ("--out", need), ("--seeds", need)
     command(build, ("--seeds", {}), out, ("--stats", need), ("--extra-file", {"action": "append", "default": []}), ("--dedup", {"choices": ["qa", "q"], "default": "qa"}))
-    command(evolve, seeds, out, ("--sample", {"type": int, "default": 30}), ("--variants", {"type": int, "default": 3}), ("--model", need))
+    kept = ("--journal", {"help": "a folder in shared storage that remembers answers across runs"})
+    command(evolve, seeds, out, kept, ("--sample", {"type": int, "default": 30}), ("--variants", {"type": int, "default": 3}), ("--model", need))
     command(evaluation, data, resp, ("--report", need), ("--ood-only", {"action": "store_true"}), ("--judgements", {}), name="evaluate")
     command(rft, data, resp, out, ("--min-score", {"type": float, "default": 1.0}))
     command(pairs, data, resp, out)
     command(prompts, data, out, ("--ood-ratio", {"type": float, "default": 0.2}))
     command(questions, out, ("--num-questions", {"type": int, "default": 50}), ("--seed", {"default": "2026"}))
-    command(infer, out, ("--model", need), ("--temperature", {"type": float, "default": 0.7}), ("--max-new-tokens", {"type": int, "default": 256}))
+    command(infer, out, kept, ("--model", need), ("--temperature", {"type": float, "default": 0.7}), ("--max-new-tokens", {"type": int, "default": 256}))
     command(encode, data, out, ("--tokenizer", need), ("--key", need), ("--text", {"default": "text"}), ("--end", {"type": int, "default": 0}), ("--block", {"type": int, "default": 1 << 20}))
     command(generated, data, ("--report", need))
     command(scaling, ("--logs", need))

@@ -1,6 +1,8 @@
 """The command line from seeds to reports."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from corpusloom.__main__ import main
 
@@ -50,3 +52,34 @@ def test_encode_and_generated(spark, tmp_path):
     (tmp_path / "gen.jsonl").write_text("\n".join(json.dumps({"key": k, "text": t}) for k, t in enumerate(["a b", "a b"])))
     main(["generated", "--data-file", at("gen.jsonl"), "--report", at("gen.md")], spark)
     assert "distinct-1: 0.5000" in (tmp_path / "gen.md").read_text()
+
+
+def test_a_service_is_asked_once(spark, tmp_path, monkeypatch):
+    asked = []
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            asked.append(prompt)
+            items = json.dumps([{"question": f"新的说法 {len(asked)}?", "answer": "15 元一杯。"}], ensure_ascii=False)
+            body = json.dumps({"choices": [{"message": {"content": items}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("CHAT_URL", f"http://127.0.0.1:{server.server_port}/")
+    at = lambda x: str(tmp_path / x)
+    seeds = [{"intent": "price", "q": f"问题 {i} 多少钱?", "a": f"{i} 元一杯。", "keywords": [str(i)], "ood": False} for i in range(12)]
+    (tmp_path / "seeds.jsonl").write_text("\n".join(json.dumps(s, ensure_ascii=False) for s in seeds))
+    for k in range(2):
+        main(["evolve", "--seeds", at("seeds.jsonl"), "--sample", "12", "--model", "m", "--journal", at("journal"), "--out", at(f"evolved{k}")], spark)
+        main(["infer", "--model", "m", "--journal", at("journal"), "--out", at(f"inferred{k}")], spark)
+    server.shutdown()
+    assert len(asked) == len(set(asked)) == 12 + 5
+    assert sorted(map(str, lines(tmp_path / "evolved0"))) == sorted(map(str, lines(tmp_path / "evolved1"))) and len(lines(tmp_path / "evolved0")) == 12
+    assert {r["completion"] for r in lines(tmp_path / "inferred0")} == {r["completion"] for r in lines(tmp_path / "inferred1")}
