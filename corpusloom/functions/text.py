@@ -73,13 +73,19 @@ def folder_label(path: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.element_at(F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]"), -1))
 
 
+def fixed(x: Column, digits: int = 1) -> Column:
+    """x with that many decimals: its exact binary value is rounded, half to even, as C and Python do (`format_string` rounds the shortest decimal half up); null for null."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def points(x: Column, digits: int = 1) -> Column:
     """A difference of shares in points, with its sign."""
-    return F.format_string(f"%+.{digits}f", x * 100)
+    out = fixed(x * 100, digits)
+    return F.when(F.startswith(out, F.lit("-")), out).otherwise(F.concat(F.lit("+"), out))
 
 
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
+    return F.concat(fixed(x * 100, digits), F.lit("%"))
 
 
 def hash_order(seed: str, *keys: Column) -> Column:

@@ -77,7 +77,7 @@ def side_by_side_lines(pairs: DataFrame, key: str = "qid") -> DataFrame:
 def report_lines(table: DataFrame) -> DataFrame:
     """One Markdown line for each row of metrics."""
     p = [T.percent(F.col(c)) for c in ("domain_acc", "refusal_rate", "overall_acc", "miss_rate")]
-    return table.select("model", F.concat(F.lit("| "), "model", *(x for c in p for x in (F.lit(" | "), c)), F.lit(" | "), F.format_string("%.1f", F.col("avg_len")), F.lit(" |")).alias("line"))
+    return table.select("model", F.concat(F.lit("| "), "model", *(x for c in p for x in (F.lit(" | "), c)), F.lit(" | "), T.fixed(F.col("avg_len")), F.lit(" |")).alias("line"))
 
 
 def report(table: DataFrame, judge: DataFrame | None = None, examples: DataFrame | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def report(table: DataFrame, judge: DataFrame | None = None, examples: DataFrame
     parts = [report_lines(table).select(F.lit(0).alias("part"), key(F.col("model")).alias("ord"), "line"), top]
     if judge is not None:
         fixed += head(2, "| model | judge | n |", "| --- | --- | --- |")
-        parts.append(judge.select(F.lit(2).alias("part"), key(F.col("model")).alias("ord"), F.concat(F.lit("| "), "model", F.lit(" | "), F.format_string("%.2f", F.col("mean")), F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line")))
+        parts.append(judge.select(F.lit(2).alias("part"), key(F.col("model")).alias("ord"), F.concat(F.lit("| "), "model", F.lit(" | "), T.fixed(F.col("mean"), 2), F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line")))
     if examples is not None:
         parts.append(examples.select(F.lit(3).alias("part"), key(F.col("model"), F.lpad(F.col("ord").cast("string"), 3, "0")).alias("ord"), F.concat(F.lit("* "), "model", F.lit(" ["), "outcome", F.lit("] "), F.replace(F.left("resp", F.lit(120)), F.lit("\n"), F.lit(" "))).alias("line")))
     out = table.sparkSession.createDataFrame(fixed, "part int, ord string, line string")

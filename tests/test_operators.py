@@ -281,3 +281,14 @@ def test_gelu_is_that_of_the_error_function(spark):
     xs = [x / 8 for x in range(-48, 49)]
     got = one(spark, A.gelu(F.array(*map(F.lit, xs))))
     assert got == pytest.approx([0.5 * x * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=5e-7)
+
+
+def test_report_figures_are_rounded_half_to_even(spark):
+    xs = [12.25, 12.35, 0.15, 0.25, 2.625, 3.375, -0.25, -0.04, 99.95, 1234567.25, 0.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.fixed(F.col("x")), T.fixed(F.col("x"), 2), T.percent(F.col("x")), T.points(F.col("x"))).collect()
+    for x, one, two, percent, points in got:
+        assert (one, two, percent, points) == (f"{x:.1f}", f"{x:.2f}", f"{x * 100:.1f}%", f"{x * 100:+.1f}")
+    table = spark.createDataFrame([("m", 0.12345, 0.5, 0.0005, 1.0, 12.25, 8)], "model string, domain_acc double, refusal_rate double, overall_acc double, miss_rate double, avg_len double, samples long")
+    judge = spark.createDataFrame([("m", 2.625, 8)], "model string, mean double, n long")
+    lines = evaluate.report_text(evaluate.report(table, judge)).split("\n")
+    assert "| m | 12.3% | 50.0% | 0.1% | 100.0% | 12.2 |" in lines and "| m | 2.62 | 8 |" in lines
