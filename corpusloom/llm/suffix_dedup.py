@@ -41,6 +41,8 @@ STRETCH, PIECE, LONGEST = 1 << 22, 1 << 21, 64
 #: Runs of a bucket in step 1; suffixes of a bucket in step 2; runs of an anchor from which its windows go one by one.
 BUCKET, SUFFIXES, FREQUENT = 1 << 19, 1 << 19, 2000
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of texts that meet, as one part, what is found in them.
+PART = 1 << 23
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
@@ -190,17 +192,53 @@ def _differ(x: np.ndarray) -> np.ndarray:
     return x[1:] != x[:-1]
 
 
-def _by_row(doc: np.ndarray, rid: np.ndarray, cols: dict[str, np.ndarray], rows: _Rows) -> dict[tuple[int, int], bytes]:
-    """(doc, rid) -> the row's values, packed."""
-    order = np.lexsort((cols["first"], rid, doc))
-    if not len(order):
+def _by_part(doc: np.ndarray, rid: np.ndarray, cols: dict[str, np.ndarray], rows: _Rows, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, its rows' values, packed): a row's part follows from doc and rid (see `_repeated_spans`), so what is shuffled is one value a bucket and part, however many rows there are."""
+    if not len(doc):
+        return
+    part = (doc ^ rid) % parts
+    order = np.lexsort((cols["first"], rid, doc, part))
+    doc, rid, part = doc[order], rid[order], part[order]
+    new = np.r_[True, _differ(doc) | _differ(rid)]
+    cut = np.flatnonzero(np.r_[True, _differ(part)])
+    for a, z in zip(cut, np.r_[cut[1:], len(order)], strict=True):
+        head = np.flatnonzero(new[a:z]) + a
+        yield int(part[a]), DOCS.pack(doc=doc[head], rid=rid[head], n=np.diff(np.r_[head, z])) + rows.pack(**{c: v[order[a:z]] for c, v in cols.items()})
+
+
+def _of_rows(blobs: pa.ChunkedArray, rows: _Rows) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+    """(doc, rid) -> the row's values of all that `_by_part` has packed for a part."""
+    docs, values = [], []
+    for x in blobs:
+        raw = memoryview(x.as_buffer())
+        d, at = DOCS.unpack(raw)
+        docs.append(d)
+        values.append(rows.unpack(raw[at:])[0])
+    if not docs:
         return {}
-    cut = np.flatnonzero(np.r_[True, _differ(rid[order]) | _differ(doc[order])])
-    return {(int(doc[order[a]]), int(rid[order[a]])): rows.pack(**{c: v[order[a:z]] for c, v in cols.items()}) for a, z in zip(cut, np.r_[cut[1:], len(order)], strict=True)}
+    d = {c: np.concatenate([x[c] for x in docs]) for c in DOCS.kinds}
+    v = {c: np.concatenate([x[c] for x in values]) for c in rows.kinds}
+    n = d["n"].astype(np.int64)
+    doc, rid = np.repeat(d["doc"], n), np.repeat(d["rid"], n)
+    order = np.lexsort((rid, doc))
+    doc, rid, v = doc[order], rid[order], {c: x[order] for c, x in v.items()}
+    cut = np.flatnonzero(np.r_[True, _differ(doc) | _differ(rid)])
+    keys = zip(doc[cut].tolist(), rid[cut].tolist(), strict=True)
+    return {k: {c: x[a:z] for c, x in v.items()} for k, a, z in zip(keys, cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True)}
 
 
-def _keys(keys: Iterable[tuple[int, int]]) -> dict[str, pa.Array]:
-    return {c: pa.array(list(x), pa.int64()) for c, x in zip(("doc", "rid"), zip(*keys) if keys else ([], []), strict=True)}
+def _packed(kinds: Iterable[tuple[int, Iterator[tuple[int, bytes]]]]) -> pa.Table:
+    """part, kind, data of what `_by_part` gives for each kind."""
+    rows = [(part, kind, blob) for kind, blobs in kinds for part, blob in blobs]
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())))})
+
+
+PACKED = "part int, kind byte, data binary"
+
+
+def _met(rows: DataFrame, packed: DataFrame, run, schema: str) -> DataFrame:
+    """run(texts, packed): the rows of a part (`part`, rid, doc_id, text) and what has been packed for them."""
+    return rows.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(run, schema)
 
 
 def _stretches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
@@ -269,8 +307,8 @@ def _deal(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
 
 
-def _decide(frequent: int):
-    """Step 1 on a bucket: doc, rid, found (windows that go), asked (runs to be decided on their bytes)."""
+def _decide(frequent: int, dests: int):
+    """Step 1 on a bucket: packed by part, kind 0 (windows that go) or 1 (runs to be decided on their bytes)."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -284,7 +322,7 @@ def _decide(frequent: int):
         of, rid = (np.concatenate([x[k] for x in known] or [np.zeros(0, np.int64)]) for k in (0, 1))
         first = np.concatenate([e["first"] for *_, e in known] or [np.zeros(0, np.uint32)]).astype(np.int64)
         count = np.concatenate([e["count"] for *_, e in known] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        asked: dict[tuple[int, int], bytes] = {}
+        asked: Iterator[tuple[int, bytes]] = iter(())
         if parts[0]:
             doc, r = (np.concatenate([p[k] for p in parts[0]]) for k in (0, 1))
             e = {c: np.concatenate([p[2][c] for p in parts[0]]) for c in RUNS.kinds}
@@ -303,23 +341,24 @@ def _decide(frequent: int):
             left = np.repeat(open_, size) & ~goes
             alone = np.repeat(kinds > frequent, size)
             number = (anchor.astype(np.uint64) << U(32)) | U(bucket)
-            asked = _by_row(doc[left], r[left], {"group": number[left], "first": at[left], "count": n[left], "alone": alone[left]}, ASKED)
-        found = _by_row(of, rid, {"first": first, "count": count}, FOUND)
-        keys = sorted(found.keys() | asked.keys())
-        return pa.table(_keys(keys) | {"found": pa.array([found.get(x) for x in keys], pa.binary()), "asked": pa.array([asked.get(x) for x in keys], pa.binary())})
+            asked = _by_part(doc[left], r[left], {"group": number[left], "first": at[left], "count": n[left], "alone": alone[left]}, ASKED, dests)
+        return _packed([(0, _by_part(of, rid, {"first": first, "count": count}, FOUND, dests)), (1, asked)])
 
     return run
 
 
-def _cut_out(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Step 2, dealt: of rows (rid, doc_id, text, asked) the bytes of the asked runs, as bucket, kind, data like step 1."""
+def _cut_out(buckets: int, length: int):
+    """Step 2, dealt: of a part's rows the bytes of the asked runs, as bucket, kind, data like step 1."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _stretches(batches, STRETCH):
+    def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
+        asks, out = _of_rows(packed.column("data"), ASKED), []
+        for held in _stretches(texts.select(["rid", "doc_id", "text"]).to_batches(), STRETCH):
             recs: list[tuple] = []
             ones: dict[bytes, list[tuple[int, int, int]]] = {}
-            for rid, doc, raw, asks in held:
-                a = ASKED.concat(memoryview(x.as_buffer()) for x in asks.values)
+            for rid, doc, raw in held:
+                a = asks.get((doc, rid))
+                if a is None:
+                    continue
                 for g, f, c, alone in zip(*(a[k].tolist() for k in ASKED.kinds), strict=True):
                     if alone:
                         for w in range(f, f + c):
@@ -346,13 +385,14 @@ def _cut_out(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 ids.append(int(r[0] % buckets))
                 kinds.append(1)
                 blobs.append(DOCS.pack(doc=doc[new], rid=r[new], n=np.diff(np.r_[new, len(r)])) + FOUND.pack(first=at, count=np.ones(len(r))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+            out.append(pa.table([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "data"]))
+        return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "kind": pa.array([], pa.int8()), "data": pa.array([], pa.binary())})
 
-    return rows.mapInArrow(lean(run), "bucket int, kind byte, data binary")
+    return run
 
 
-def _sort_bucket(length: int):
-    """Step 2 on a bucket: doc, rid, found."""
+def _sort_bucket(length: int, dests: int):
+    """Step 2 on a bucket: the windows that go, packed by part."""
 
     def run(group: pa.Table) -> pa.Table:
         (doc, rid, first, count), heads, bodies = ([np.zeros(0, np.int64)] for _ in range(4)), [], []
@@ -382,8 +422,8 @@ def _sort_bucket(length: int):
             rid.append(t["rid"][rec[goes]])
             first.append(t["first"].astype(np.int64)[rec[goes]] + step[goes])
             count.append(np.ones(int(goes.sum()), np.int64))
-        found = _by_row(np.concatenate(doc), np.concatenate(rid), {"first": np.concatenate(first), "count": np.concatenate(count)}, FOUND)
-        return pa.table(_keys(list(found)) | {"found": pa.array(list(found.values()), pa.binary())})
+        doc, rid, first, count = (np.concatenate(x) for x in (doc, rid, first, count))
+        return _packed([(0, _by_part(doc, rid, {"first": first, "count": count}, FOUND, dests))])
 
     return run
 
@@ -400,45 +440,41 @@ def spans_of(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndar
     return a[at], z[np.r_[at[1:] - 1, len(z) - 1]]
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """doc_id, text, found (list of packed windows that go) of every row of docs (doc_id, text)."""
+def _spans(docs: DataFrame, length: int, schema: str, make) -> DataFrame:
+    """make(bytes, starts, ends) of every row of docs (doc_id, text), beside its doc_id; starts and ends are those of the maximal runs that go."""
     with small_batches(docs.sparkSession):
-        return _repeated_spans(docs, length)
+        return _repeated_spans(docs, length, schema, make)
 
 
-def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+def _repeated_spans(docs: DataFrame, length: int, schema: str, make) -> DataFrame:
     # A row is known by its doc_id and a hash of its text: rows of different documents are never taken for each other.
     rows = only(docs, "doc_id", "text").select(F.xxhash64("text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    row = ["doc", "rid"]
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, -(-int(total) // (16 * BUCKET)))
-    decided = materialize(_deal(rows.select("rid", "doc_id", "text"), buckets, length).groupBy("bucket").applyInArrow(_decide(FREQUENT), "doc long, rid long, found binary, asked binary"), "runs")
-    asked = decided.where("asked IS NOT NULL").groupBy(*row).agg(F.collect_list("asked").alias("asked"))
-    n = decided.agg(F.coalesce(F.sum(F.octet_length("asked")), F.lit(0))).first()[0]
+    total = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    buckets, dests = max(8, -(-total // (16 * BUCKET))), max(8, -(-total // PART))
+    decided = materialize(_deal(rows, buckets, length).groupBy("bucket").applyInArrow(_decide(FREQUENT, dests), PACKED), "runs")
+    n = decided.where("kind = 1").agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     parts = max(8, -(-int(n) * 17 // 14 // SUFFIXES))
     release(docs.sparkSession)
-    ends = materialize(_cut_out(rows.join(asked, row).select("rid", "doc_id", "text", "asked"), parts, length).groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, rid long, found binary"), "run-ends")
-    found = decided.select(*row, "found").where("found IS NOT NULL").union(ends).groupBy(*row).agg(F.collect_list("found").alias("found"))
-    return rows.join(found, row, "left").select("doc_id", "text", "found")
+    placed = rows.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.col("rid")), F.lit(dests)).cast("int"))
+    ends = _met(placed, decided.where("kind = 1"), _cut_out(parts, length), "bucket int, kind byte, data binary")
+    ends = materialize(ends.groupBy("bucket").applyInArrow(_sort_bucket(length, dests), PACKED), "run-ends")
+    return _met(placed, decided.where("kind = 0").union(ends), _apply(length, schema, make), schema)
 
 
-def _apply(found: DataFrame, length: int, schema: str, make) -> DataFrame:
-    """mapInArrow over found: make(doc_id, bytes, starts, ends) gives a row's values."""
+def _apply(length: int, schema: str, make):
+    """A part's rows and the windows that go: doc_id and make(bytes, starts, ends) of each row."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*((c, kinds[t]) for c, t in map(str.split, schema.split(", "))), strict=True)
+    none = np.zeros(0, np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, text, f in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                w = FOUND.concat(memoryview(x.as_buffer()) for x in f.values) if f.is_valid else {"first": np.zeros(0), "count": np.zeros(0)}
-                raw = (text.as_py() or "").encode()
-                out.append((doc, *make(raw, *spans_of(w["first"], w["count"], length))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+    def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
+        found, out = _of_rows(packed.column("data"), FOUND), []
+        for doc, rid, text in zip(texts.column("doc_id").to_pylist(), texts.column("rid").to_pylist(), texts.column("text"), strict=True):
+            w = found.get((NO_ID if doc is None else doc, rid), {"first": none, "count": none})
+            out.append((doc, *make((text.as_py() or "").encode(), *spans_of(w["first"], w["count"], length))))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    names, kinds = zip(*((x.split()[0], types[x.split()[1]]) for x in schema.split(", ")), strict=True)
-    names, kinds = list(names), list(kinds)
-    return found.mapInArrow(lean(run), schema)
+    return run
 
 
 def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -448,12 +484,12 @@ def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (binary: a cut may fall within a character) of every row of docs."""
-    return _apply(repeated_spans(docs, length=length), length, "doc_id long, kept binary", lambda raw, a, z: (kept_bytes(raw, a, z),))
+    return _spans(docs, length, "doc_id long, kept binary", lambda raw, a, z: (kept_bytes(raw, a, z),))
 
 
 def digest(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    return _apply(repeated_spans(docs, length=length), length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda raw, a, z: (len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept_bytes(raw, a, z)).hexdigest()))
+    return _spans(docs, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda raw, a, z: (len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept_bytes(raw, a, z)).hexdigest()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

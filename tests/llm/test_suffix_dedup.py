@@ -109,3 +109,17 @@ def test_runs_whose_first_hash_collides_stay_apart(spark, monkeypatch):
     assert len(set(zip(anchor.tolist(), whole.tolist(), check.tolist(), strict=True))) == len(set(content))
     monkeypatch.setattr(sd, "runs", blind)
     assert sorted((tuple(r) for r in sd.digest(docs(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_what_is_found_does_not_grow_with_documents_times_buckets(spark, monkeypatch):
+    """Tables on the way have a row for each bucket, part and kind at most, whatever the number of documents."""
+    monkeypatch.setattr(sd, "BUCKET", 64)
+    written = []
+    real = sd.materialize
+    monkeypatch.setattr(sd, "materialize", lambda df, tag: written.append(real(df, tag)) or written[-1])
+    rows = [(i, f"{PROSE} {i} {PROSE[: i % 50]}") for i in range(300)]
+    assert sorted((tuple(r) for r in sd.digest(docs(spark, rows)).collect()), key=str) == brute(rows)
+    runs, ends = written
+    buckets = -(-sum(len(t.encode()) for _, t in rows) // (16 * 64))
+    assert buckets > 8 and max(runs.count(), ends.count()) <= 2 * 8 * buckets
+    assert runs.select("part", "kind").distinct().count() <= 16
