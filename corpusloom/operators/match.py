@@ -2,7 +2,8 @@
 
 Keywords that fit HELD characters are sent to the tasks, which find all of a text's in one pass by an Aho-Corasick
 automaton.  A longer list stays distributed: every keyword is known by its rarest gram of GRAM characters, texts by
-the grams that are some keyword's, the two meet by gram, and what meets is compared.  Both give the same rows.
+the grams that are some keyword's, the two meet by gram, and what meets is compared.  A sieve of bits, of bounded size, drops nearly
+all other grams of a text before anything is shuffled; what it lets pass wrongly meets nothing.  Both give the same rows.
 
 Defined results: a null text holds nothing, the empty keyword is in every text that isn't null, null keywords are
 none, a repeated keyword counts once.
@@ -12,14 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Characters of all keywords that a task may hold; an automaton takes some 60 bytes for each.
 HELD = 4 << 20
 #: Characters of a gram, and the parts into which texts with one gram are dealt.
 GRAM, SALTS = 8, 16
+#: The bits, as an exponent of 2, of the sieve of grams that each task holds, and characters of texts that it searches at once.
+SIEVE, AT_ONCE = 27, 1 << 18
 
 
 def found(rows: DataFrame, text: str, key: str, keywords: DataFrame, word: str, *, held: int = HELD) -> DataFrame:
@@ -60,6 +66,63 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), cut), 1))
 
 
+def _slots(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where in a table of 2**bits bits each gram of n code points belongs."""
+    h = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+    for j in range(n):
+        h = (h ^ codes[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _sieve(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, their number's exponent) of a table of grams: a bit for each, in at most 2**SIEVE bits."""
+    bits = min(SIEVE, max(20, (32 * grams.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [int(_slots(_codes(g), len(g), bits)[0]) + 1 for g in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["at"])
+
+    t = grams.mapInArrow(run, "at long").groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in t.collect():
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out, bits
+
+
+def _held(t: DataFrame, lengths: list[int], sieve: tuple[np.ndarray, int]) -> DataFrame:
+    """key, gram: the distinct grams of the lengths in each of t (key, text) that the sieve lets pass."""
+    sent, bits = t.sparkSession.sparkContext.broadcast(sieve[0]), sieve[1]
+
+    def search(whole: str, ends: np.ndarray) -> set[tuple[int, str]]:
+        codes, found = _codes(whole), set()
+        for n in lengths:
+            at = _slots(codes, n, bits)
+            i = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = np.searchsorted(ends, i, side="right")
+            inside = i + n <= ends[row]
+            found.update((r, whole[k : k + n]) for r, k in zip(row[inside].tolist(), i[inside].tolist(), strict=True))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            size, first = np.array([len(x) for x in texts], np.int64), 0
+            while first < len(texts):  # about AT_ONCE characters
+                last = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), AT_ONCE)) + first)
+                found = list(search("".join(texts[first:last]), np.cumsum(size[first:last])))
+                keys = b.column(0).take(pa.array([r + first for r, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([g for _, g in found], pa.string())], ["key", "gram"])
+                first = last
+
+    return t.mapInArrow(run, StructType([t.schema["key"], StructField("gram", StringType())]))
+
+
 def _by_grams(rows: DataFrame, text: str, key: str, words: DataFrame) -> DataFrame:
     t = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
     n = F.least(F.length("word"), F.lit(GRAM))
@@ -68,18 +131,12 @@ def _by_grams(rows: DataFrame, text: str, key: str, words: DataFrame) -> DataFra
     shared = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = long.join(shared, "gram").groupBy("word").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     known = rarest.unionByName(words.where((F.length("word") < GRAM) & (F.col("word") != "")).withColumn("gram", F.col("word")))
+    sieve = _sieve(known.select("gram").distinct())
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.hash("key"), F.lit(SALTS))
-    each = [t.where(F.length("text") >= k).select("key", salt.alias("salt"), F.explode(_grams(F.col("text"), k)).alias("gram")) for k in lengths if k]
-    pairs = None
-    for part in each:
-        met = part.join(known, ["gram", "salt"]).select("key", "word")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    hits = t.where(F.lit(False)).select("key", F.col("text").alias("word"))
-    if pairs is not None:
-        hits = pairs.join(t, "key").where(F.contains("text", F.col("word"))).select("key", "word")
+    pairs = _held(t, [k for k in lengths if k], sieve).withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS))).join(known, ["gram", "salt"])
+    lists = pairs.groupBy("key").agg(F.collect_set("word").alias("words"))
+    out = rows.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).join(lists, "key", "left")
+    found = F.coalesce(F.filter("words", lambda w: F.contains("text", w)), F.array().cast("array<string>"))
     if 0 in lengths:
-        hits = hits.unionByName(t.select("key", F.lit("").alias("word")))
-    lists = hits.groupBy("key").agg(F.sort_array(F.collect_set("word")).alias("found"))
-    out = rows.select(F.struct("*").alias("row"), F.col(key).alias("key")).join(lists, "key", "left")
-    return out.select("row.*", F.coalesce("found", F.array().cast("array<string>")).alias("found"))
+        found = F.when(F.col("text").isNotNull(), F.concat(F.array(F.lit("")), found)).otherwise(found)
+    return out.select("row.*", F.sort_array(found).alias("found"))

@@ -54,3 +54,14 @@ def test_a_gram_that_all_share_is_dealt(spark):
     words = spark.createDataFrame([("the same words",), ("same words 29",)], "w string")
     got = {r.id: r.found for r in match.found(rows, "text", "id", words, "w", held=0).collect()}
     assert all(got[i] == (["same words 29"] if str(i).startswith("29") else []) + ["the same words"] for i in range(300))
+
+
+def test_grams_that_are_no_keywords_are_not_shuffled(spark):
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choices("abcdefgh é😀", k=2000)) + ("the keyword" if i % 2 else "")) for i in range(50)] + [(50, ""), (51, "keyword"), (52, "k")]
+    t = spark.createDataFrame(texts, "key long, text string")
+    sieve = match._sieve(spark.createDataFrame([("keyword",), ("😀é",)], "gram string"))
+    got = match._held(t, [2, 7], sieve)
+    want = {(i, w) for i, x in texts for w in ("keyword", "😀é") if w in x}
+    rows = {(r.key, r.gram) for r in got.collect()}
+    assert want <= rows and len(rows - want) < 50 and got.count() == len(rows)
