@@ -6,7 +6,8 @@ the whole log gives.  Events that are later still are dropped, as for any waterm
 anew, however the stream is cut into triggers; so a run that the watermark has left that far behind is forgotten,
 state and all.
 
-State is kept in RocksDB, one list and two numbers for each run, so it may exceed memory.  TTL exists
+State is kept in RocksDB, one list and three numbers for each run, so it may exceed memory; a run has one timer for all the
+events that wait in it.  TTL exists
 for processing time only, so runs expire by event-time timers.
 """
 
@@ -35,18 +36,31 @@ class Best(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
         self.best = handle.getValueState("best", "loss double, at long")
+        self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows))
         self.waiting.appendList([(int(a), int(o), float(x)) for a, o, x in zip(came["at"], came["ord"], came["loss"], strict=True)])
-        for at in {int(a) for a in came["at"]}:
-            self.handle.registerTimer(at)
+        self._wake(int(came["at"].min()))
         yield from ()
 
+    def _wake(self, at: int) -> None:
+        """A timer for the earliest event that waits: it fires in the trigger in which that event's own would, and all that the watermark has passed are judged then."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        if self.due.exists() and self.due.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            self.due.clear()
         waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
         ready = [x for x in waiting if x[0] <= passed]
+        if len(ready) < len(waiting):
+            self._wake(waiting[len(ready)][0])
         best, last = self.best.get() if self.best.exists() else (float("inf"), None)
         if ready:
             if len(ready) < len(waiting):

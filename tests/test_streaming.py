@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,51 @@ def test_streams_share_a_log(spark, tmp_path):
     assert sorted(r.stream_name for r in sink.log(spark, str(tmp_path / "log"), SCHEMA).collect()) == ["x", "y"]
     with pytest.raises(ValueError):
         sink.append_once(source(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "m"), name="a/b")
+
+
+def test_a_run_has_one_timer_for_all_its_events(monkeypatch):
+    """A trigger costs a run a few calls of the state store, however many events wait in it."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+        put = update
+        clear = lambda self: self.update(None)
+        appendList = lambda self, more: self.update((self.v or []) + more)
+
+    class Handle:
+        timers: set = set()
+        registered = 0
+
+        getListState = getValueState = lambda self, *a: Value()
+
+        def registerTimer(self, at):
+            self.registered += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
+
+    handle, best, got = Handle(), ordered.Best(10**9), []
+    best.init(handle)
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["at", "ord", "loss"])])
+    for rows, mark in (([(at, at, -float(at)) for at in range(1000, 2000)], 1499), ([(1600, 7, 9.0), (1550, 8, 9.0)], 1550), ([], 5000)):
+        if rows:
+            list(best.handleInputRows(("a",), frame(rows), Now(0)))
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(at)
+            got += [o for out in best.handleExpiredTimer(("a",), Now(mark), Now(at)) for o in out["ord"]]
+    assert sorted(got) == sorted([*range(1000, 2000), 7, 8]) and handle.registered < 20
