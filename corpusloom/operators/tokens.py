@@ -10,23 +10,36 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Texts that a task encodes at once.
+AT_ONCE = 64
+
 
 def bpe_encode(rows: DataFrame, tokenizer_json: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ids, encoded in Arrow batches by a public tokenizer given as its JSON text."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread of the library would hold caches of its own
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(tokenizer_json)
+
+        def each(texts: list[str]) -> Iterator[np.ndarray]:
+            for k in range(0, len(texts), AT_ONCE):  # an encoding holds far more than its ids
+                for e in t.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False):
+                    yield np.array(e.ids, np.int32)
+
         for s in batches:
-            yield pd.Series([e.ids for e in t.encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)], index=s.index)
+            yield pd.Series(list(each(s.fillna("").tolist())), index=s.index, dtype=object)
 
     return rows.withColumn(ids, encode(F.col(text)))
 
@@ -36,6 +49,9 @@ def decode(rows: DataFrame, tokenizer_json: str, *, ids: str = "ids", text: str
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(tokenizer_json)

@@ -88,3 +88,29 @@ def test_offsets_carry_columns_of_any_names(spark):
 def test_long_hashes(spark):
     got = [r.h for r in spark.range(100).select(T.hash_long("s", F.col("id")).alias("h")).collect()]
     assert len(set(got)) == 100 and all(0 <= h < 1 << 60 for h in got) and max(got) > 1 << 58
+
+
+def test_a_task_encodes_few_texts_at_once(spark, monkeypatch):
+    """Memory of a task doesn't grow with the rows of an Arrow batch."""
+    import json
+
+    import pandas as pd
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    got, most = [], []
+
+    class Counted:
+        from_str = staticmethod(lambda text: Counted())
+
+        def encode_batch_fast(self, texts, **how):
+            most.append(len(texts))
+            return tok.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    monkeypatch.setattr(tokens.F, "pandas_udf", lambda kind: lambda f: got.append(f) or (lambda c: c))
+    tokens.bpe_encode(spark.range(1).withColumn("text", F.lit("a")), json.dumps({}))
+    texts = ["a b " * (k % 5) for k in range(1000)] + [None]
+    out = pd.concat(list(got[0](iter([pd.Series(texts)]))))
+    assert [list(x) for x in out] == [[0, 1] * (k % 5) for k in range(1000)] + [[]] and max(most) <= tokens.AT_ONCE
