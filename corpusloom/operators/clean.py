@@ -60,11 +60,14 @@ def split_by_group(rows: DataFrame, group: Column, *, seed: str = "42", train: f
 
 def corpus_stats(raw: DataFrame, kept: DataFrame, seeds: int) -> DataFrame:
     """One row: raw_count, dedup_dropped, final_count, expansion_ratio, source, intent_dist, split, ood_ratio."""
-    n = raw.agg(F.count(F.lit(1)).alias("raw_count"))
-    source = raw.groupBy("origin").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("origin", "count")))).alias("source"))
-    intents = kept.groupBy("intent").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("intent", "count")))).alias("intent_dist"))
-    sums = kept.agg(F.count(F.lit(1)).alias("final_count"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")), F.count_if("ood").alias("n_ood"))
-    one = n.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(source)).crossJoin(F.broadcast(intents))  # one row each
+    # Each table is read once: a few rows an origin or intent are summed up.
+    entries = lambda key, n: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, n))))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counted = raw.groupBy("origin").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("raw_count"), entries("origin", "count").alias("source"))
+    parts = ("train", "val", "test")
+    each = kept.groupBy("intent").agg(F.count(F.lit(1)).alias("final_count"), *(F.count_if(F.col("split") == s).alias(s) for s in parts), F.count_if("ood").alias("n_ood"))
+    sums = each.agg(entries("intent", F.col("final_count").alias("count")).alias("intent_dist"), *map(add, ("final_count", *parts, "n_ood")))
+    one = counted.crossJoin(F.broadcast(sums))  # one row each
     return one.select(
         "raw_count", (F.col("raw_count") - F.col("final_count")).alias("dedup_dropped"), "final_count", F.round(F.col("final_count") / F.lit(float(seeds)), 1).alias("expansion_ratio"),
         "source", "intent_dist", F.struct("train", "val", "test").alias("split"), F.round(F.col("n_ood") / F.greatest("final_count", F.lit(1)), 3).alias("ood_ratio"),

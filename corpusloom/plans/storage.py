@@ -180,8 +180,10 @@ def literal_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds and topics, with `part` as products and toppings."""
-    toppings = read(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.floor("p_retailprice").cast("int").alias("price"))
-    raw = expand.expand(catalog.seeds(spark).drop("ord"), products(spark, sf), toppings, catalog.topics(spark), catalog.REFUSALS)
+    # A part gives a hundred rows, so few bytes of parts are work for many tasks.
+    dealt = products(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord")
+    toppings = dealt.select((F.col("ord") + 1).alias("ord"), "name", "price")
+    raw = expand.expand(catalog.seeds(spark).drop("ord"), dealt, toppings, catalog.topics(spark), catalog.REFUSALS)
     return raw.withColumn("ord", F.xxhash64("origin", "q", "a", "prefix_id"))
 
 
@@ -208,7 +210,8 @@ def template_corpus(spark: SparkSession, sf: str) -> DataFrame:
 def template_corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     """Gated and deduplicated by question."""
     raw = _templates(spark, sf)
-    return clean.corpus_stats(raw, clean.build_corpus(raw, dedup="q"), len(catalog.SEEDS)).select("raw_count", "dedup_dropped", "final_count", "expansion_ratio")
+    each = raw.select("intent", "q", "a", "ood", "ord").distinct()  # rows that products of one name and price share, before they are normalised and ranked
+    return clean.corpus_stats(raw, clean.build_corpus(each, dedup="q"), len(catalog.SEEDS)).select("raw_count", "dedup_dropped", "final_count", "expansion_ratio")
 
 
 # ---- prompts, providers, children

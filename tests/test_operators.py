@@ -292,3 +292,15 @@ def test_report_figures_are_rounded_half_to_even(spark):
     judge = spark.createDataFrame([("m", 2.625, 8)], "model string, mean double, n long")
     lines = evaluate.report_text(evaluate.report(table, judge)).split("\n")
     assert "| m | 12.3% | 50.0% | 0.1% | 100.0% | 12.2 |" in lines and "| m | 2.62 | 8 |" in lines
+
+
+def test_corpus_stats_read_each_table_once(spark):
+    rows = [("x", "a", "train", True), ("x", "b", "val", False), ("y", "a", "test", False)]
+    raw = spark.createDataFrame(rows, "origin string, intent string, split string, ood boolean")
+    kept = raw.withColumn("mark", F.lit(1)).where("mark = 1").drop("mark")
+    for n, got in ((3, clean.corpus_stats(raw, kept, 2)), (0, clean.corpus_stats(raw.limit(0), kept.limit(0), 2))):
+        r = got.first()
+        assert (r.raw_count, r.final_count, r.dedup_dropped, r.expansion_ratio) == (n, n, 0, n / 2)
+        assert (r.source, r.intent_dist, tuple(r.split)) == (({"x": 2, "y": 1}, {"a": 2, "b": 1}, (1, 1, 1)) if n else ({}, {}, (0, 0, 0)))
+    plan = clean.corpus_stats(raw, kept, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
