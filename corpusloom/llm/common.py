@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +145,14 @@ def in_small_batches(df: DataFrame, rows: int = 128) -> DataFrame:
     return type(df)(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().analyzed()), other)
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run, rows: int = 128, holds: str | None = None):
     """run(batches) for mapInArrow, which gets at most `rows` rows at once.
 
@@ -155,26 +165,34 @@ def lean(run, rows: int = 128, holds: str | None = None):
         for k in [k for k in have if k in HELD and k != holds]:
             del have[k]
         yield from run(b.slice(k, rows) for b in batches for k in range(0, max(1, b.num_rows), rows))
-        import ctypes
-
         for k in [k for k in have if isinstance(k, tuple)]:
             del have[k]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
+        trim()
 
     return wrapped
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; the driver's freed memory goes back to the machine."""
+    trim()
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
+        trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Like `trim`, for the driver's JVM: what its C library holds back, by the JVM's public management interface; nothing where the JVM has no such command."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    types = [jvm.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    given = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None]
+    signature, values = gateway.new_array(jvm.Class, 4), gateway.new_array(jvm.Object, 4)
+    for k in range(4):
+        signature[k], values[k] = types[k], given[k]
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    with contextlib.suppress(Py4JJavaError):
+        # By the interface's own method: the server's class is not open to reflection.
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", signature).invoke(server, values)
 
 
 def unit_hash(seed: str, key: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoder
-from .common import discard, lean, only, shared_dir, small_batches, table, utf8
+from .common import discard, lean, only, release, shared_dir, small_batches, table, utf8
 
 END_ID = 0
 PROB_BITS = 20
@@ -203,9 +203,11 @@ def _write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     e = encoder.Encoder(spec)
     vocab, width = e.vocab, e.width
     del e
+    release(spark)
     tokenize(docs, spec, end_id).write.option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.schema("doc_id long, ids binary").parquet(f"{path}/tokens")
     freq = scale(token_counts(tokens, vocab, width))
+    release(spark)
     low, _ = tables(freq)
     spark.createDataFrame([(PROB_BITS, freq.astype("<u4").tobytes())], "prob_bits int, freq binary").coalesce(1).write.parquet(f"{path}/freq")
 
@@ -234,6 +236,7 @@ def _write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     coded = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(lean(run), "shard int, block int, start long, n_tokens long, segment_tokens int, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
     discard(spark, f"{path}/tokens")
+    release(spark)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, only, positional, table
+from .common import in_small_batches, lean, only, positional, release, table, trim
 from .fitting import in_fold, labelled_texts, platt
 from .hashing import U, mix64, prefix_hashes, substring_hashes
 
@@ -251,11 +251,12 @@ def evidence(raw: list[bytes], y: np.ndarray, fold: np.ndarray, prior: float = P
     return [{f"{name}_odds": odds(n[k].sum(0)) for name, n in seen.items()} for k in without]
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(texts: Iterable[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"constant": np.array([y.mean() if len(y) else 0.0])}
     raw = [t.encode() for t in texts]
+    del texts
     m, rnd = new_model(seed), np.random.default_rng(seed)
     # A part of the sample sets the probabilities and teaches nothing else, where that leaves enough of either class.
     aside = rnd.permutation(len(y)) % ASIDE == 0
@@ -293,7 +294,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
             m[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     m |= odds[FOLDS]
     told = [k for k in range(len(every)) if aside[k] or not aside.any()]
-    top = np.concatenate([document_logits(m, [every[k] for k in told[lo : lo + 256]]) for lo in range(0, len(told), 256)])
+    top = np.concatenate([document_logits(m, part) for part in chunks(every[k] for k in told)])
     seen = np.isfinite(top)
     m["platt"] = np.array(platt(top[seen], y_every[told][seen])) if seen.any() else np.array([1.0, 0.0])
     return m
@@ -320,15 +321,20 @@ def score_texts(m: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """A model of labels (doc_id, toxic) that has not seen held-out ids."""
     rows = labelled_texts(docs, labels, "toxic", in_fold(F.col("doc_id"), 3, 1), {1: MAX_POSITIVE, 0: MAX_NEGATIVE}, MAX_CHARS)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    release(docs.sparkSession)
+    known, texts = [y for _, y in rows], iter([t for t, _ in rows])
+    del rows
+    model = fit(texts, known)
+    trim()
+    return model
 
 
-def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
-    """The texts as bytes, about CHUNK of them at once."""
+def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts, about CHUNK bytes of them at once."""
     held, size = [], 0
     for t in texts:
-        held.append((t.as_py() or "").encode())
-        size += len(held[-1])
+        held.append(t)
+        size += len(t)
         if size >= CHUNK:
             yield held
             held, size = [], 0
@@ -336,12 +342,16 @@ def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
         yield held
 
 
+def as_bytes(texts: pa.Array) -> Iterator[bytes]:
+    return ((t.as_py() or "").encode() for t in texts)
+
+
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(1)))])
+            out = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(as_bytes(b.column(1))))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -356,7 +366,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(b.column(at)))]) < threshold
+            keep = np.concatenate([np.zeros(0), *(score_texts(model, part) for part in chunks(as_bytes(b.column(at))))]) < threshold
             yield b.filter(pa.array(keep))
 
     return in_small_batches(rows).mapInArrow(lean(run), rows.schema).toDF(*docs.columns)
