@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,47 @@ def test_grams_that_are_no_keywords_are_not_shuffled(spark):
     want = {(i, w) for i, x in texts for w in ("keyword", "😀é") if w in x}
     rows = {(r.key, r.gram) for r in got.collect()}
     assert want <= rows and len(rows - want) < 50 and got.count() == len(rows)
+
+
+def test_a_chunk_of_texts_meets_a_gram_once(spark):
+    t = spark.range(500).select((F.col("id") % 2).alias("key"), F.concat(F.lit("another keyword "), F.col("id")).alias("text"))
+    sieve = match._sieve(spark.createDataFrame([("keyword",), ("another",)], "gram string"))
+    assert sorted((r.key, r.gram) for r in match._held(t, [7], sieve).collect()) == [(k, w) for k in (0, 1) for w in ("another", "keyword")]
+
+
+def test_many_chunks_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 100)
+    rng = random.Random(5)
+    texts = [(i if i else None, "".join(rng.choices("ab é😀", k=rng.randrange(60))) if i % 9 else None) for i in range(1, 80)] + [(None, "abab and é")]
+    words = ["".join(rng.choices("ab é😀", k=rng.randrange(1, 14))) for _ in range(300)] + ["and"]
+    rows = spark.createDataFrame(texts, "id long, text string").withColumn("for", F.make_interval(days=F.lit(2)))
+    keywords = spark.createDataFrame([(w,) for w in words], "w string")
+    want = {i: sorted({w for w in words if t is not None and w in t}) for i, t in texts}
+    for t in (rows, rows.drop("for").select("text", "id")):
+        got = match.found(t, "text", "id", keywords, "w", held=0)
+        assert got.columns == [*t.columns, "found"] and got.count() == len(texts)
+        assert {r.id: r.found for r in got.select("id", "found").collect()} == want
+
+
+def test_words_across_what_is_looked_at_at_once(monkeypatch):
+    monkeypatch.setattr(match, "AT_ONCE", 64)
+    monkeypatch.setattr(match, "HASHED", 16)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc\0é", k=k)) for k in (0, 1, 500, 7, 0, 90, 15, 16, 17, 64)]
+    words = sorted({"".join(rng.choices("abc\0é", k=rng.randrange(1, 12))) for _ in range(200)} | {texts[2][40:300], texts[5], texts[2] + "x"})
+    begin = [rng.randrange(max(1, len(w) - 7)) for w in words]
+    everything = np.full(1 << 17, 255, np.uint8)
+    held = match._Words([(w, w[b : b + 8]) for w, b in zip(words, begin, strict=True)], everything, 20)
+    got = set()
+    for first, _, _, codes in match._blocks(texts):
+        row = first + np.cumsum(codes == match.BORDER)
+        got.update((int(r), words[w]) for at, which in held.found(codes) for r, w in zip(row[at], which, strict=True))
+    assert got == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+
+
+def test_grams_of_one_hash_are_all_kept(monkeypatch):
+    """Keywords are compared by characters, whatever the hashes say."""
+    monkeypatch.setattr(match, "MIX", np.uint64(0))
+    words, text = ["hat", "the", "tea"], "the tea"
+    held = match._Words([(w, w) for w in words], np.full(1 << 17, 255, np.uint8), 20)
+    assert {sorted(words)[w] for _, _, _, codes in match._blocks([text]) for _, which in held.found(codes) for w in which} == {"the", "tea"}
