@@ -30,8 +30,8 @@ GRAM, CHUNK = 8, 32 << 20
 #: that it hashes at once, which its cache holds.
 SIEVE, AT_ONCE, HASHED = 27, 1 << 18, 1 << 16
 #: Odd factors of hashes: of a gram's characters, of the whole, and for each of its bits in the sieve.
-STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-PROBES = [np.uint64(k) for k in (1, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+STEP, MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+PROBES = [np.uint32(k) for k in (1, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 #: Stands between texts; no character has this code.
 BORDER = 0x110000
 
@@ -82,13 +82,13 @@ def _codes(texts: list[str]) -> np.ndarray:
 
 def _windows(codes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each length n, a hash of every n neighbours."""
-    codes, h = codes.astype(np.uint64), np.zeros(len(codes), np.uint64)
+    h = np.zeros(len(codes), np.uint32)
     for n in range(1, min(max(lengths, default=0), len(codes)) + 1):
         h = h[: len(codes) - n + 1]
         h += codes[n - 1 :]
         h *= STEP
         if n in lengths:
-            x = h >> np.uint64(32)
+            x = h >> np.uint32(15)
             x ^= h
             x *= MIX
             yield n, x
@@ -96,7 +96,7 @@ def _windows(codes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.nd
 
 def _hashes(grams: list[str], n: int) -> np.ndarray:
     """The hashes of grams of n characters each, as _windows gives them."""
-    return next((x for _, x in _windows(_codes(grams), [n])), np.zeros(0, np.uint64))[::n]
+    return next((x for _, x in _windows(_codes(grams), [n])), np.zeros(0, np.uint32))[::n]
 
 
 def _sieve(grams: DataFrame) -> tuple[np.ndarray, int]:
@@ -112,7 +112,7 @@ def _sieve(grams: DataFrame) -> tuple[np.ndarray, int]:
             for n, some in of.items():
                 x = _hashes(some, n)
                 for k in PROBES:
-                    at = (x * k >> np.uint64(64 - bits)).astype(np.int64)
+                    at = x * k >> np.uint32(32 - bits)
                     np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         for part, piece in enumerate(own.reshape(-1, 4096)):
             if piece.any():
@@ -133,9 +133,8 @@ def _passing(codes: np.ndarray, lengths: list[int], sieve: np.ndarray, bits: int
             for n, x in _windows(codes[first : first + HASHED + max(lengths) - 1], lengths):
                 x, i = x[:HASHED], None
                 for k in PROBES:
-                    at = (x if i is None else x * k) >> np.uint64(64 - bits)
-                    at = at.view(np.int64)
-                    held = np.flatnonzero(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    at = (x if i is None else x * k) >> np.uint32(32 - bits)
+                    held = np.flatnonzero((sieve[(at >> 3).astype(np.intp)] >> (at & 7).astype(np.uint8) & 1).view(bool))
                     i, x = held if i is None else i[held], x[held]
                 of.setdefault(n, []).append((i + first, x))
         for n, parts in of.items():
@@ -234,8 +233,8 @@ def _searched(t: DataFrame, known: DataFrame, sieve: tuple[np.ndarray, int]) ->
         n, size, held = len(words.size), [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
         for first, last, _, codes in _blocks([x or "" for x in of["text"].to_pylist()]) if n else []:
             row = np.cumsum(codes == BORDER)
-            pairs = [np.unique(row[start] * n + word) for start, word in words.found(codes)]
-            pairs = np.unique(np.concatenate(pairs)) if pairs else held[0]
+            pairs = [pd.unique(row[start] * n + word) for start, word in words.found(codes)]
+            pairs = np.sort(pd.unique(np.concatenate(pairs))) if pairs else held[0]
             size.append(np.bincount(pairs // n, minlength=last - first))
             held.append(pairs % n)
         ends = np.cumsum(np.concatenate(size if n else [np.zeros(of.num_rows + 1, np.int64)]))

@@ -106,7 +106,7 @@ def test_words_across_what_is_looked_at_at_once(monkeypatch):
 
 def test_grams_of_one_hash_are_all_kept(monkeypatch):
     """Keywords are compared by characters, whatever the hashes say."""
-    monkeypatch.setattr(match, "MIX", np.uint64(0))
+    monkeypatch.setattr(match, "MIX", np.uint32(0))
     words, text = ["hat", "the", "tea"], "the tea"
     held = match._Words([(w, w) for w in words], np.full(1 << 17, 255, np.uint8), 20)
     assert {sorted(words)[w] for _, _, _, codes in match._blocks([text]) for _, which in held.found(codes) for w in which} == {"the", "tea"}
