@@ -36,13 +36,18 @@ PROBES = [np.uint32(k) for k in (1, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 BORDER = 0x110000
 
 
+def _kept(t: DataFrame) -> DataFrame:
+    """t, computed once where spark.checkpoint.dir is set, in that folder; else whenever it is read."""
+    return t.checkpoint() if t.sparkSession.sparkContext.getCheckpointDir() else t
+
+
 def found(rows: DataFrame, text: str, key: str, keywords: DataFrame, word: str, *, held: int = HELD) -> DataFrame:
     """Adds found: the keywords in each row's text, sorted.  keywords: a table with a column `word`.
 
     `key` must be unique; beyond `held` characters of keywords, texts are dealt into chunks by it, and rows of more than
     the two columns meet what was found in them by it.
     """
-    words = keywords.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct().localCheckpoint()
+    words = _kept(keywords.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct())
     size = words.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0))).first()[0]
     return _by_automaton(rows, text, words) if size <= held else _by_grams(rows, text, key, words)
 
@@ -255,7 +260,7 @@ def _by_grams(rows: DataFrame, text: str, key: str, words: DataFrame) -> DataFra
     long = words.where(F.length("word") >= GRAM).withColumn("gram", F.explode(_grams(F.col("word"), GRAM)))
     shared = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = long.join(shared, "gram").groupBy("word").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    known = rarest.unionByName(words.where((F.length("word") < GRAM) & (F.col("word") != "")).withColumn("gram", F.col("word"))).localCheckpoint()
+    known = _kept(rarest.unionByName(words.where((F.length("word") < GRAM) & (F.col("word") != "")).withColumn("gram", F.col("word"))))
     sieve = _sieve(known.select("gram").distinct())
     size = rows.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     chunks = max(1, -(-size // CHUNK), min(4 * rows.sparkSession.sparkContext.defaultParallelism, size >> 20))
